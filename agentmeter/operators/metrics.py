@@ -264,3 +264,19 @@ def share_within(rows: DataFrame, dimension: str, value: str, counted: Column) -
         .withColumn("grade", F.when(F.col("share_percent").isNotNull(), concern(F.col("share_percent"))))
         .drop("_whole")
     )
+
+
+def corpus_drift(headers: DataFrame, first: str) -> DataFrame:
+    """Commands that read another corpus than the first one did."""
+    base = headers.filter(F.col("command") == first)
+    return (
+        headers.filter(F.col("command") != first)
+        .withColumns(
+            {
+                "first_files": base.select("files").scalar(),
+                "first_bytes": base.select("bytes").scalar(),
+            }
+        )
+        .filter("files <> first_files or bytes <> first_bytes")
+        .select("command", "files", "bytes", "first_files", "first_bytes")
+    )

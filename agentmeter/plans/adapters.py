@@ -32,7 +32,7 @@ _DUCK = {
     "@bytes(": "strlen(",
     "@sha256(input)": "sha256(input)",
     "@rfc(ts)": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')",
-    "@millis(ts)": "epoch_ms(ts)",
+    "@millis(ts)": "(epoch_us(ts) // 1000)",
     "@nl": "chr(10)",
 }
 

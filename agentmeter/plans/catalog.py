@@ -46,9 +46,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    prelude = duckdb_prelude()
-    return {
-        name: prelude + sql if not sql.lstrip().upper().startswith("WITH RECURSIVE")
-        else prelude.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + sql.lstrip()[len("WITH RECURSIVE"):]
-        for name, sql in _checks.items()
-    }
+    return {name: _with_views(sql.strip()) for name, sql in _checks.items()}
+
+
+def _with_views(sql: str) -> str:
+    """The check behind the shared views; its own WITH list joins theirs."""
+    prelude = duckdb_prelude().rstrip()
+    if sql.startswith("WITH RECURSIVE "):
+        recursive = prelude.replace("WITH ", "WITH RECURSIVE ", 1)
+        return f"{recursive},\n{sql.removeprefix('WITH RECURSIVE ')}"
+    if sql.startswith("WITH "):
+        return f"{prelude},\n{sql.removeprefix('WITH ')}"
+    return f"{prelude}\n{sql}"

@@ -1 +1,99 @@
-"""Queries."""
+"""Streaming forms, each run to completion over the given tables."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from agentmeter.plans import adapters
+from agentmeter.plans.catalog import query
+from agentmeter.session import scratch_path
+from agentmeter.streaming import streams
+
+
+def _stream(t, name: str) -> DataFrame:
+    """One table as a file stream (a glob, because a stream reads folders)."""
+    schema = t.table(name).schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.directory}/{name}*.parquet")
+
+
+def _run(t, df: DataFrame, mode: str) -> DataFrame:
+    """Drain the source and hand back what the sink holds."""
+    out, mark = scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-state")
+    if mode == "append":
+        writer = df.writeStream.format("parquet").option("path", out)
+    else:
+        writer = df.writeStream.foreachBatch(
+            lambda batch, _: batch.write.mode("overwrite").parquet(out)
+        )
+    started = (
+        writer.outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(out)
+
+
+@query(
+    "stream_daily_counts",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
+)
+def _(t):
+    events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _run(t, streams.daily_counts(events, "ts", ["event_type"], "2 days"), "complete")
+
+
+@query("stream_distinct_responses", "SELECT DISTINCT message_id FROM usage")
+def _(t):
+    events = _stream(t, "events")
+    events.createOrReplaceTempView("events")
+    staged = t.spark.sql(adapters.render(adapters.VIEWS["t"], adapters._SPARK))
+    staged.createOrReplaceTempView("t")
+    usage = t.spark.sql(adapters.render(adapters.VIEWS["usage"], adapters._SPARK))
+    timed = usage.select("message_id", F.to_timestamp("ts").alias("at"))
+    distinct = streams.distinct_responses(timed, "at", "90 days").select("message_id")
+    return _run(t, distinct, "append")
+
+
+@query(
+    "stream_answered_uses",
+    """SELECT o_orderkey AS use_id, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+       WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 700 DAY""",
+)
+def _(t):
+    """Orders as calls, line items as results, matched within 700 days."""
+    uses = _stream(t, "orders").select(
+        F.col("o_orderkey").alias("use_id"), F.col("o_orderdate").cast("timestamp").alias("use_time")
+    )
+    results = _stream(t, "lineitem").select(
+        F.col("l_orderkey").alias("result_of"), F.col("l_shipdate").cast("timestamp").alias("result_time"), "l_linenumber"
+    )
+    joined = streams.answered_uses(uses, results, "700 DAYS", "1 day").select("use_id", "result_of", "l_linenumber")
+    return _run(t, joined, "append").filter("result_of is not null").select("use_id", "l_linenumber")
+
+
+@query(
+    "stream_retry_loops",
+    """SELECT session, event_type AS tool, CAST(mono AS VARCHAR) AS hash, count(*) AS streak, min(pos) AS pos
+       FROM (SELECT *, sum(brk) OVER (PARTITION BY session ORDER BY pos) AS run FROM (
+                 SELECT *, CASE WHEN mono = lag(mono) OVER w AND err = lag(err) OVER w THEN 0 ELSE 1 END AS brk
+                 FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS session, event_id AS pos, 'x' AS event_type,
+                              user_id % 2 AS mono, event_type IN ('error', 'view') AS err FROM events)
+                 WINDOW w AS (PARTITION BY session ORDER BY pos)))
+       WHERE err GROUP BY session, event_type, mono, run HAVING count(*) >= 3""",
+)
+def _(t):
+    events = _stream(t, "events")
+    steps = events.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"),
+        F.floor(F.col("event_id") / adapters.ROWS_PER_CHUNK).cast("bigint").alias("chunk"),
+        F.col("event_id").alias("pos"),
+        F.lit(0).cast("bigint").alias("idx"),
+        F.lit("x").alias("tool"),
+        (F.col("user_id") % 2).cast("string").alias("hash"),
+        F.col("event_type").isin("error", "view").alias("is_error"),
+        F.lit(0).alias("denied"),
+    )
+    out, state = scratch_path(t.spark, "loops"), scratch_path(t.spark, "loop-state")
+    streams.start_retry_loops(steps, out, state, scratch_path(t.spark, "loop-mark")).awaitTermination()
+    last = streams.latest_state(t.spark, state)
+    closed = t.spark.read.parquet(out).drop("batch")
+    columns = ["session", "tool", "hash", "streak", "pos"]
+    return closed.select(*columns).unionByName(streams.still_open_loops(last).select(*columns))

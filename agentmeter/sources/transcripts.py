@@ -23,7 +23,7 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def read_events(spark: SparkSession, directory: str) -> DataFrame:
+def read_events(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     """One row per decoded line, in scan order by (chunk, pos).
 
     ``chunk`` is the file split: path components compare like the directory
@@ -34,7 +34,7 @@ def read_events(spark: SparkSession, directory: str) -> DataFrame:
     raw = (
         spark.read.schema(model.EVENT_SCHEMA)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", JSONL_GLOB)
+        .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -406,11 +406,11 @@ def read_corpus(spark: SparkSession, directory: str, landing: str) -> Corpus:
     return land(decode(spark, classified, manifest, directory), f"{landing}/silver")
 
 
-def line_accounting(spark: SparkSession, directory: str) -> DataFrame:
+def line_accounting(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     """Lines per file from the text source: total, blank and trimmed bytes."""
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", JSONL_GLOB)
+        .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
         .text(directory)
         .select(
