@@ -7,12 +7,15 @@ from agentmeter import model
 from agentmeter.operators.ordered import collapse_runs, rank_within
 
 
-def retry_loops(matched: DataFrame, in_window: Column, windowed: bool) -> DataFrame:
+def retry_loops(
+    matched: DataFrame, in_window: Column, windowed: bool, results: DataFrame | None = None
+) -> DataFrame:
     """Runs of at least three consecutive errors on one identical call.
 
     Consecutive means within the session's joined results, in scan order; the
     window only decides which finished runs are kept, so a cut can neither
-    break a run nor make one.
+    break a run nor make one. ``results`` (unjoined) is only counted, to find
+    sessions too large for one task.
     """
     steps = matched.select(
         "session", "chunk", "pos", "idx", "tool", "hash", "is_error",
@@ -21,7 +24,11 @@ def retry_loops(matched: DataFrame, in_window: Column, windowed: bool) -> DataFr
         in_window.cast("int").alias("in_window"),
     )
     runs = collapse_runs(
-        steps, ["session"], ["tool", "hash", "is_error"], ["streak", "denied", "in_window"]
+        steps,
+        ["session"],
+        ["tool", "hash", "is_error"],
+        ["streak", "denied", "in_window"],
+        population=results,
     )
     loops = runs.filter(F.col("is_error") & (F.col("streak") >= model.RETRY_LOOP_MIN))
     return loops.filter("in_window > 0") if windowed else loops

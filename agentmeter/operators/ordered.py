@@ -1,10 +1,15 @@
 """Order-dependent operators that stay bounded when one key is huge.
 
-Rows carry ``chunk`` (any orderable value, monotone with scan order and holding
-a bounded number of rows: a file split, a range of row ids) and ``pos``/``idx``
-inside it. A plain window over the key would sort everything a hot key owns in
-one task. Here the window runs over (key, chunk), so one task never holds more
-than one chunk of a key, and only one summary row per chunk crosses chunks.
+A window over a key sorts everything that key owns in one task. That is right
+for ordinary keys and takes one shuffle, so they all go that way. Keys with
+more than ``hot_rows`` rows are found by a combined count first and take a
+second, exact way: rows carry ``chunk`` (any orderable value, monotone with
+scan order and holding a bounded number of rows: a file split, a range of row
+ids) and ``pos``/``idx`` inside it, the window runs over (key, chunk), and only
+one summary row per chunk crosses chunks.
+
+The count decides the plan: while no key is hot, the second way is not even
+part of it.
 """
 
 from collections.abc import Sequence
@@ -12,7 +17,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentmeter.session import settle
+
 ORDER = ("chunk", "pos", "idx")
+HOT_ROWS = 1 << 20
+BROADCAST_KEYS = 1 << 20
+
+
+def hot_keys(
+    population: DataFrame, keys: Sequence[str], hot_rows: int | None = None
+) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None when there are none."""
+    limit = hot_rows or int(
+        population.sparkSession.conf.get("spark.agentmeter.hotRows", str(HOT_ROWS))
+    )
+    hot = (
+        population.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > limit)
+        .select(*keys)
+    )
+    return None if hot.isEmpty() else settle(hot)
+
+
+def split_hot(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(ordinary rows, rows of hot keys). Keys must not be NULL.
+
+    The list is broadcast only after its size is checked; a longer one is
+    joined whichever way Spark finds best.
+    """
+    listed = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    return rows.join(listed, list(keys), "left_anti"), rows.join(listed, list(keys), "left_semi")
 
 
 def with_chunk(df: DataFrame, row_id: str, rows_per_chunk: int = 1 << 20) -> DataFrame:
@@ -33,7 +68,9 @@ def _up_to_here(*keys, order):
     )
 
 
-def latest_before(sources: DataFrame, probes: DataFrame, key: str, hit: str) -> DataFrame:
+def latest_before(
+    sources: DataFrame, probes: DataFrame, key: str, hit: str, hot_rows: int | None = None
+) -> DataFrame:
     """Each probe with the latest earlier source row of the same key.
 
     A source in the same position counts as earlier. Probes keep every row;
@@ -41,112 +78,160 @@ def latest_before(sources: DataFrame, probes: DataFrame, key: str, hit: str) ->
     """
     payload = [c for c in sources.columns if c not in (key, *ORDER)]
     carried = [c for c in probes.columns if c not in (key, *ORDER)]
+    name = F.coalesce(F.col(key), F.lit("")).alias(key)
     source_rows = sources.select(
-        F.coalesce(F.col(key), F.lit("")).alias(key),
-        *ORDER,
-        F.lit(0).alias("_side"),
-        F.struct(*payload).alias("_source"),
+        name, *ORDER, F.lit(0).alias("_side"), F.struct(*payload).alias("_source")
     )
     probe_rows = probes.select(
-        F.coalesce(F.col(key), F.lit("")).alias(key),
-        *ORDER,
-        F.lit(1).alias("_side"),
-        F.struct(*carried).alias("_probe"),
+        name, *ORDER, F.lit(1).alias("_side"), F.struct(*carried).alias("_probe")
     )
     rows = source_rows.unionByName(probe_rows, allowMissingColumns=True)
+    keep = [F.col(key), *[F.col(c) for c in ORDER], F.col("_probe.*"), F.col(hit)]
+    whole_key = _up_to_here(key, order=("chunk", "pos", "_side", "idx"))
+
+    def plain(part):
+        answered = part.withColumn(hit, F.last("_source", ignorenulls=True).over(whole_key))
+        return answered.filter("_side = 1").select(*keep)
+
+    hot = hot_keys(sources.select(name).unionAll(probes.select(name)), [key], hot_rows)
+    if hot is None:
+        return plain(rows)
+    cold_rows, hot_part = split_hot(rows, hot, [key])
+    return plain(cold_rows).unionByName(_latest_before_chunked(hot_part, key, hit).select(*keep))
 
+
+def _latest_before_chunked(rows: DataFrame, key: str, hit: str) -> DataFrame:
     in_chunk = _up_to_here(key, "chunk", order=("pos", "_side", "idx"))
     local = rows.withColumn(hit, F.last("_source", ignorenulls=True).over(in_chunk)).filter(
         "_side = 1"
     )
-    found = local.filter(F.col(hit).isNotNull())
-    pending = local.filter(F.col(hit).isNull())
-
-    # Only keys that still wait for a source need the last source of each chunk.
-    waiting = pending.select(key, "chunk").distinct()
+    # What each chunk hands on: its last source. A chunk's probes see the
+    # sources of strictly earlier chunks, so side 0 asks before side 1 answers.
     tails = (
-        source_rows.join(waiting.select(key).distinct(), key, "left_semi")
+        rows.filter("_side = 0")
         .groupBy(key, "chunk")
         .agg(F.max_by("_source", F.struct("pos", "idx")).alias("_source"))
         .withColumn("_side", F.lit(1))
     )
+    asking = local.filter(F.col(hit).isNull()).select(key, "chunk").distinct()
     line = tails.unionByName(
-        waiting.withColumn("_side", F.lit(0)), allowMissingColumns=True
+        asking.withColumn("_side", F.lit(0)), allowMissingColumns=True
     ).withColumn(
         "_carry",
         F.last("_source", ignorenulls=True).over(_up_to_here(key, order=("chunk", "_side"))),
     )
     carry = line.filter("_side = 0").select(key, "chunk", "_carry")
-    late = (
-        pending.drop(hit)
-        .join(carry, [key, "chunk"], "left")
-        .withColumn(hit, F.col("_carry"))
-    )
-    keep = [F.col(key), *[F.col(c) for c in ORDER], F.col("_probe.*"), F.col(hit)]
-    return found.select(*keep).unionByName(late.select(*keep))
+    return local.join(carry, [key, "chunk"], "left").withColumn(hit, F.coalesce(hit, "_carry"))
 
 
 def fill_forward(
-    rows: DataFrame, keys: Sequence[str], value: Column, out: str, order=("pos",)
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    out: str,
+    order: Sequence[str] = ("pos",),
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Last non-NULL ``value`` at or before each row. Keys must not be NULL."""
-    tagged = rows.withColumn("_value", value)
-    local = tagged.withColumn(
-        "_local", F.last("_value", ignorenulls=True).over(_up_to_here(*keys, "chunk", order=order))
-    )
-    chunks = tagged.groupBy(*keys, "chunk").agg(
+    whole_key = _up_to_here(*keys, order=("chunk", *order))
+
+    def plain(part):
+        return part.withColumn(out, F.last("_value", ignorenulls=True).over(whole_key)).drop("_value")
+
+    valued = rows.withColumn("_value", value)
+    hot = hot_keys(rows, keys, hot_rows)
+    if hot is None:
+        return plain(valued)
+    cold, hot_part = split_hot(valued, hot, keys)
+    filled = plain(cold)
+
+    in_chunk = _up_to_here(*keys, "chunk", order=order)
+    local = hot_part.withColumn("_local", F.last("_value", ignorenulls=True).over(in_chunk))
+    chunks = hot_part.groupBy(*keys, "chunk").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail")
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
     carry = chunks.select(
-        *keys, "chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry")
-    ).filter("_carry is not null")
-    return (
+        *keys, "chunk", F.last("_tail", ignorenulls=True).over(_before(*keys)).alias("_carry")
+    )
+    chunked = (
         local.join(carry, [*keys, "chunk"], "left")
         .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_value", "_local", "_carry")
+        .select(*filled.columns)
+    )
+    return filled.unionByName(chunked)
+
+
+def _before(*keys):
+    return (
+        Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
 def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """1-based position inside each key, in (chunk, order). Keys must not be NULL."""
+    """1-based position inside each key, in (chunk, order). Keys must not be NULL.
+
+    Always counted per chunk: ranks inside a chunk plus the rows before it.
+    """
     local = rows.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy(*order))
     )
-    earlier = (
-        Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
     offsets = (
         rows.groupBy(*keys, "chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .select(*keys, "chunk", F.coalesce(F.sum("_rows").over(_before(*keys)), F.lit(0)).alias("_skip"))
     )
     return (
         local.join(offsets, [*keys, "chunk"])
-        .withColumn(out, F.col("_rank") + F.col("_before"))
-        .drop("_rank", "_before")
+        .withColumn(out, F.col("_rank") + F.col("_skip"))
+        .drop("_rank", "_skip")
     )
 
 
 def collapse_runs(
-    rows: DataFrame, keys: Sequence[str], state: Sequence[str], sums: Sequence[str]
+    rows: DataFrame,
+    keys: Sequence[str],
+    state: Sequence[str],
+    sums: Sequence[str],
+    population: DataFrame | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Maximal runs of consecutive rows with equal state inside each key.
 
     One row per run: keys, state, ``chunk``/``pos`` of its first row, and the
-    summed measures. Runs are found inside each chunk; only the first and last
-    run of a chunk can continue elsewhere, so only those are stitched.
+    summed measures. ``population`` is a cheaper table with at least as many
+    rows of each key, used to find the hot ones. Keys must not be NULL.
     """
+    hot = hot_keys(rows if population is None else population, keys, hot_rows)
+    if hot is None:
+        return _runs(rows, keys, state, sums)
+    cold, hot_part = split_hot(rows, hot, keys)
+    return _runs(cold, keys, state, sums).unionByName(_runs_chunked(hot_part, keys, state, sums))
+
+
+def _numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: Sequence[str]) -> DataFrame:
     same = F.struct(*state)
-    in_chunk = Window.partitionBy(*keys, "chunk").orderBy("pos", "idx")
-    starts = (~F.lag(same).over(in_chunk).eqNullSafe(same)).cast("int")
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    starts = (~F.lag(same).over(ordered).eqNullSafe(same)).cast("int")
+    return rows.withColumn("_start", starts).withColumn(
+        "_run", F.sum("_start").over(_up_to_here(*keys, order=order))
+    )
+
+
+def _runs(rows, keys, state, sums) -> DataFrame:
+    first = F.min(F.struct("chunk", "pos")).alias("_first")
+    return (
+        _numbered_runs(rows, keys, ORDER, state)
+        .groupBy(*keys, "_run", *state)
+        .agg(first, *[F.sum(c).alias(c) for c in sums])
+        .select(*keys, *state, "_first.chunk", "_first.pos", *sums)
+    )
+
+
+def _runs_chunked(rows, keys, state, sums) -> DataFrame:
+    """Runs inside each chunk, then stitching. Only the first and the last run
+    of a chunk can continue in another one, so only those meet."""
     runs = (
-        rows.withColumn("_start", starts)
-        .withColumn(
-            "_run", F.sum("_start").over(_up_to_here(*keys, "chunk", order=("pos", "idx")))
-        )
+        _numbered_runs(rows, [*keys, "chunk"], ("pos", "idx"), state)
         .groupBy(*keys, "chunk", "_run", *state)
         .agg(F.min("pos").alias("pos"), *[F.sum(c).alias(c) for c in sums])
         .withColumn("_last", F.max("_run").over(Window.partitionBy(*keys, "chunk")))
@@ -155,6 +240,7 @@ def collapse_runs(
     columns = [*keys, *state, "chunk", "pos", *sums]
     inner = runs.filter(~on_edge).select(*columns)
 
+    same = F.struct(*state)
     across = Window.partitionBy(*keys).orderBy("chunk", "_run")
     continues = (
         (F.col("_run") == 1)
@@ -170,8 +256,7 @@ def collapse_runs(
             F.min(F.struct("chunk", "pos")).alias("_first"),
             *[F.sum(c).alias(c) for c in sums],
         )
-        .withColumns({"chunk": F.col("_first.chunk"), "pos": F.col("_first.pos")})
-        .select(*columns)
+        .select(*keys, *state, "_first.chunk", "_first.pos", *sums)
     )
     return inner.unionByName(stitched)
 

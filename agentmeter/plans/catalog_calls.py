@@ -7,6 +7,7 @@ from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import audit, calls as call_ops
 from agentmeter.operators import corruption, failures, matching, metrics, tools
 from agentmeter.plans.catalog import query
+from agentmeter.session import settle
 
 EVERY = ALWAYS.includes(F.col("ts"))
 JANUARY = TimeWindow("2024-01-10", "2024-01-20")
@@ -418,14 +419,14 @@ def _loops_sql(windowed: bool) -> str:
 
 @query("retry_loops", _loops_sql(False))
 def _(t):
-    return failures.retry_loops(t.matched, EVERY, False).select(
+    return failures.retry_loops(t.matched, EVERY, False, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
     )
 
 
 @query("retry_loops_in_window", _loops_sql(True))
 def _(t):
-    return failures.retry_loops(t.matched, JAN, True).select(
+    return failures.retry_loops(t.matched, JAN, True, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
     )
 
@@ -436,7 +437,8 @@ def _(t):
         FROM (SELECT *, row_number() OVER (PARTITION BY session, tool, hash ORDER BY pos) AS n FROM ({_loops_sql(False)}))""",
 )
 def _(t):
-    return failures.numbered_loops(failures.retry_loops(t.matched, EVERY, False)).select("key", "streak")
+    loops = settle(failures.retry_loops(t.matched, EVERY, False, t.results))
+    return failures.numbered_loops(loops).select("key", "streak")
 
 
 @query(

@@ -661,8 +661,9 @@ def failures(
     calls = settle(call_ops.join_calls(corpus.uses, corpus.results))
     joined = call_ops.matched(calls)
     loops = settle(
-        failure_ops.numbered_loops(failure_ops.retry_loops(joined, run.in_window, window.active))
+        failure_ops.retry_loops(joined, run.in_window, window.active, corpus.results)
     )
+    loops = settle(failure_ops.numbered_loops(loops))
     pairs = settle(failure_ops.repeated_failures(failure_ops.call_outcomes(joined, run.in_window)))
     claimed = settle(failure_ops.by_attribution(joined, run.in_window))
     zero = F.lit(0)
