@@ -9,9 +9,15 @@ from agentmeter.operators import corruption, failures, matching, metrics, tools
 from agentmeter.plans.catalog import query
 from agentmeter.session import settle
 
-EVERY = ALWAYS.includes(F.col("ts"))
-JANUARY = TimeWindow("2024-01-10", "2024-01-20")
-JAN = JANUARY.includes(F.col("ts"))
+
+def every():
+    return ALWAYS.includes(F.col("ts"))
+
+
+def january():
+    return TimeWindow("2024-01-10", "2024-01-20").includes(F.col("ts"))
+
+
 IN_JAN = "ts <> '' AND ts >= '2024-01-10' AND substr(ts, 1, 10) <= '2024-01-20'"
 
 PLUGIN_NAMES = """
@@ -42,7 +48,7 @@ def _(t):
         AND use_id NOT IN (SELECT use_id FROM calls WHERE matched)""",
 )
 def _(t):
-    return call_ops.unanswered(t.uses, t.calls, JAN)
+    return call_ops.unanswered(t.uses, t.calls, january())
 
 
 SIDE_FILES = """
@@ -154,7 +160,7 @@ SERVER_SQL = "regexp_extract(tool, '^mcp__(.*?)__', 1)"
 
 @query("tools_by_tool", f"SELECT tool, {STAT_SQL} FROM calls WHERE matched GROUP BY tool")
 def _(t):
-    return tools.by_tool(tools.rollup(t.calls, EVERY))
+    return tools.by_tool(tools.rollup(t.calls, every()))
 
 
 @query(
@@ -162,7 +168,7 @@ def _(t):
     f"SELECT tool, {STAT_SQL} FROM calls WHERE matched AND {IN_JAN} GROUP BY tool",
 )
 def _(t):
-    return tools.by_tool(tools.rollup(t.calls, JAN))
+    return tools.by_tool(tools.rollup(t.calls, january()))
 
 
 @query(
@@ -170,7 +176,7 @@ def _(t):
     f"SELECT {SERVER_SQL} AS server, {STAT_SQL} FROM calls WHERE matched AND {SERVER_SQL} <> '' GROUP BY 1",
 )
 def _(t):
-    return tools.by_server(tools.by_tool(tools.rollup(t.calls, EVERY)))
+    return tools.by_server(tools.by_tool(tools.rollup(t.calls, every())))
 
 
 @query(
@@ -184,7 +190,7 @@ def _(t):
         WHERE matched AND starts_with({SERVER_SQL}, 'plugin_') GROUP BY 1""",
 )
 def _(t):
-    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, EVERY)))
+    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, every())))
     return tools.by_plugin(per_server, t.plugins)
 
 
@@ -195,7 +201,7 @@ def _(t):
                         AND length({SERVER_SQL}) > length(p.plugin) + 8)""",
 )
 def _(t):
-    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, EVERY)))
+    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, every())))
     return tools.unresolved_segments(per_server, t.plugins)
 
 
@@ -214,7 +220,7 @@ def _(t):
        FROM calls""",
 )
 def _(t):
-    rolled = tools.rollup(t.calls, EVERY)
+    rolled = tools.rollup(t.calls, every())
     return rolled.agg(
         F.sum("unmatched_results").alias("unmatched_results"),
         F.count_if(F.col("calls") > 0).alias("distinct_tools"),
@@ -250,7 +256,7 @@ def rent_with_calls(t):
         .groupBy(spelled.alias("key"))
         .agg(F.sum(F.col("c_custkey") + 1).alias("attachment_bytes"))
     )
-    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, EVERY)))
+    per_server = tools.by_server(tools.by_tool(tools.rollup(t.calls, every())))
     return tools.rent_with_calls(per_server, tools.rent_by_server(rent_keys, None), "server")
 
 
@@ -271,7 +277,7 @@ SKILL_RENT = "SELECT 'sk' || CAST(n_nationkey AS STRING) AS skill, CAST(count(*)
     "SELECT invoked_skill AS skill, count(*) AS skill_calls FROM uses WHERE invoked_skill IS NOT NULL GROUP BY 1",
 )
 def _(t):
-    return tools.skill_calls(t.uses, EVERY)
+    return tools.skill_calls(t.uses, every())
 
 
 @query(
@@ -286,7 +292,7 @@ def _(t):
     rent = nations.groupBy(F.concat(F.lit("sk"), F.col("n_nationkey").cast("string")).alias("skill")).agg(
         F.count(F.lit(1)).alias("rent_bytes")
     )
-    return tools.skill_usage(rent, tools.skill_calls(t.uses, EVERY))
+    return tools.skill_usage(rent, tools.skill_calls(t.uses, every()))
 
 
 @query(
@@ -298,7 +304,7 @@ def _(t):
              FROM calls WHERE matched GROUP BY tool)""",
 )
 def _(t):
-    rows = tools.by_tool(tools.rollup(t.calls, EVERY)).select("tool", "context_bytes")
+    rows = tools.by_tool(tools.rollup(t.calls, every())).select("tool", "context_bytes")
     return metrics.share_of_total(rows, "context_bytes").withColumn(
         "share_percent", F.round("share_percent", 6)
     )
@@ -311,7 +317,7 @@ def _(t):
            FROM calls WHERE matched GROUP BY tool)""",
 )
 def _(t):
-    rows = tools.by_tool(tools.rollup(t.calls, EVERY)).select("tool", "context_bytes")
+    rows = tools.by_tool(tools.rollup(t.calls, every())).select("tool", "context_bytes")
     graded = metrics.share_of_total(rows, "context_bytes")
     return graded.agg(F.bool_or(F.col("grade") != "").alias("gradeable"))
 
@@ -341,7 +347,7 @@ def _(t):
              FROM calls WHERE matched GROUP BY tool) WHERE rn <= 3""",
 )
 def _(t):
-    rows = tools.by_tool(tools.rollup(t.calls, EVERY)).select("tool", "context_bytes")
+    rows = tools.by_tool(tools.rollup(t.calls, every())).select("tool", "context_bytes")
     top = metrics.share_of_total(rows, "context_bytes").orderBy(F.desc("context_bytes"), "tool").limit(3)
     whole = rows.agg(F.sum("context_bytes"))
     return top.agg(
@@ -366,7 +372,7 @@ CORRUPT_SQL = """count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors,
         FROM (SELECT tool, {CORRUPT_SQL} FROM calls WHERE matched AND {IN_JAN} GROUP BY tool)""",
 )
 def _(t):
-    rows = corruption.by_tool(corruption.rollup(t.calls, JAN))
+    rows = corruption.by_tool(corruption.rollup(t.calls, january()))
     return rows.withColumns(
         {c: F.round(c, 6) for c in ("error_rate_percent", "failure_rate_percent")}
     )
@@ -377,7 +383,7 @@ def _(t):
     "SELECT denial, count(*) AS denied FROM calls WHERE matched AND is_error AND denial <> '' GROUP BY 1",
 )
 def _(t):
-    return corruption.by_denial(corruption.rollup(t.calls, EVERY))
+    return corruption.by_denial(corruption.rollup(t.calls, every()))
 
 
 @query(
@@ -385,7 +391,7 @@ def _(t):
     "SELECT marker, count(*) AS truncated_results FROM calls WHERE matched AND marker <> '' GROUP BY 1",
 )
 def _(t):
-    return corruption.by_marker(corruption.rollup(t.calls, EVERY))
+    return corruption.by_marker(corruption.rollup(t.calls, every()))
 
 
 @query(
@@ -396,7 +402,7 @@ def _(t):
         FROM calls WHERE matched""",
 )
 def _(t):
-    return corruption.totals(corruption.rollup(t.calls, EVERY)).drop(
+    return corruption.totals(corruption.rollup(t.calls, every())).drop(
         "error_rate_percent", "failure_rate_percent", "empty_rate_percent", "truncation_rate_percent"
     )
 
@@ -419,14 +425,14 @@ def _loops_sql(windowed: bool) -> str:
 
 @query("retry_loops", _loops_sql(False))
 def _(t):
-    return failures.retry_loops(t.matched, EVERY, False, t.results).select(
+    return failures.retry_loops(t.matched, every(), False, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
     )
 
 
 @query("retry_loops_in_window", _loops_sql(True))
 def _(t):
-    return failures.retry_loops(t.matched, JAN, True, t.results).select(
+    return failures.retry_loops(t.matched, january(), True, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
     )
 
@@ -437,7 +443,7 @@ def _(t):
         FROM (SELECT *, row_number() OVER (PARTITION BY session, tool, hash ORDER BY pos) AS n FROM ({_loops_sql(False)}))""",
 )
 def _(t):
-    loops = settle(failures.retry_loops(t.matched, EVERY, False, t.results))
+    loops = settle(failures.retry_loops(t.matched, every(), False, t.results))
     return failures.numbered_loops(loops).select("key", "streak")
 
 
@@ -450,7 +456,7 @@ def _(t):
         FROM calls WHERE matched AND {IN_JAN} GROUP BY tool, hash HAVING error_sessions >= 2""",
 )
 def _(t):
-    return failures.repeated_failures(failures.call_outcomes(t.matched, JAN))
+    return failures.repeated_failures(failures.call_outcomes(t.matched, january()))
 
 
 @query(
@@ -463,7 +469,7 @@ def _(t):
        WHERE key <> '' GROUP BY ALL""",
 )
 def _(t):
-    return failures.by_attribution(t.matched, EVERY)
+    return failures.by_attribution(t.matched, every())
 
 
 @query(
@@ -512,7 +518,7 @@ def _(t):
 def _(t):
     host = F.lit("")
     observed = audit.observed_servers(
-        t.events.withColumn("host", host), t.uses.withColumn("host", host), EVERY
+        t.events.withColumn("host", host), t.uses.withColumn("host", host), every()
     )
     return audit.server_sessions(observed).drop("host")
 
@@ -525,7 +531,7 @@ def _(t):
             FROM (SELECT tool, {STAT_SQL} FROM calls WHERE matched GROUP BY tool)) WHERE v IS NOT NULL""",
 )
 def _(t):
-    wide = tools.by_tool(tools.rollup(t.calls, EVERY))
+    wide = tools.by_tool(tools.rollup(t.calls, every()))
     rows = metrics.unpivot(
         wide, "tools", 0, "tool", F.col("tool"),
         [
@@ -560,10 +566,10 @@ def _(t):
 def _two_reports(t):
     calls = t.calls
     one = metrics.unpivot(
-        tools.by_tool(tools.rollup(calls, EVERY)), "tools", 0, "tool", F.col("tool"),
+        tools.by_tool(tools.rollup(calls, every())), "tools", 0, "tool", F.col("tool"),
         [metrics.Measure("calls", F.col("calls"), "calls"), metrics.Measure("errors", F.col("errors"), "calls")],
     )
-    counted = corruption.by_tool(corruption.rollup(calls, EVERY))
+    counted = corruption.by_tool(corruption.rollup(calls, every()))
     two = metrics.unpivot(
         counted, "corruption", 0, "tool", F.col("tool"),
         [

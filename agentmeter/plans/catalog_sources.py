@@ -9,7 +9,9 @@ from agentmeter.plans.catalog import query
 from agentmeter.session import scratch_path
 from agentmeter.sources import transcripts
 
-EVERY = ALWAYS.includes(F.col("ts"))
+
+def every():
+    return ALWAYS.includes(F.col("ts"))
 
 
 def _lines(t):
@@ -138,17 +140,17 @@ def _(t):
 
 @query("events_by_type", "SELECT type, count(*) AS events FROM t GROUP BY type")
 def _(t):
-    return inventory.by_type(inventory.rollup(t.events, EVERY))
+    return inventory.by_type(inventory.rollup(t.events, every()))
 
 
 @query("events_by_version", "SELECT version, count(*) AS events FROM t WHERE version <> '' GROUP BY version")
 def _(t):
-    return inventory.by_version(inventory.rollup(t.events, EVERY))
+    return inventory.by_version(inventory.rollup(t.events, every()))
 
 
 @query("unknown_types", "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'quantum-flux' GROUP BY type")
 def _(t):
-    return inventory.unknown_types(inventory.rollup(t.events, EVERY))
+    return inventory.unknown_types(inventory.rollup(t.events, every()))
 
 
 @query(
@@ -156,7 +158,7 @@ def _(t):
     "SELECT type, count(*) AS events FROM t GROUP BY type HAVING count(nullif(ts, '')) = 0",
 )
 def _(t):
-    return inventory.never_timestamped(inventory.rollup(t.events, EVERY))
+    return inventory.never_timestamped(inventory.rollup(t.events, every()))
 
 
 @query(
@@ -164,7 +166,7 @@ def _(t):
     "SELECT min(nullif(ts, '')) AS first_ts, max(nullif(ts, '')) AS last_ts, count(nullif(ts, '')) AS placed FROM t",
 )
 def _(t):
-    return inventory.date_range(inventory.rollup(t.events, EVERY))
+    return inventory.date_range(inventory.rollup(t.events, every()))
 
 
 WINDOWS = (
@@ -207,7 +209,7 @@ def _(t):
               '' AS since, '2024-01-15' AS until FROM {COUNTERS_SQL}""",
 )
 def _(t):
-    span = inventory.date_range(inventory.rollup(t.events, EVERY))
+    span = inventory.date_range(inventory.rollup(t.events, every()))
     one = _counters(t).select(
         "files", "bytes", span.select("first_ts").scalar().alias("first_ts"), span.select("last_ts").scalar().alias("last_ts")
     )

@@ -7,7 +7,11 @@ from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import attachments, attribute, metrics
 from agentmeter.plans.catalog import query
 
-JAN = TimeWindow("2024-01-10", "2024-01-20").includes(F.col("ts"))
+
+def january():
+    return TimeWindow("2024-01-10", "2024-01-20").includes(F.col("ts"))
+
+
 IN_JAN = "ts <> '' AND ts >= '2024-01-10' AND substr(ts, 1, 10) <= '2024-01-20'"
 
 ALLOCATED = """
@@ -60,7 +64,7 @@ def _(t):
               count(*) - count(DISTINCT message_id) AS responses_duplicate FROM usage WHERE {IN_JAN}""",
 )
 def _(t):
-    return attribute.duplicate_counters(attribute.distinct_responses(t.usage.filter(JAN))).drop(
+    return attribute.duplicate_counters(attribute.distinct_responses(t.usage.filter(january()))).drop(
         "duplicate_rate_percent"
     )
 
