@@ -16,40 +16,39 @@ def truncation_marker(text: Column) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
-def is_json_string(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+def json_string(value: Column, not_array: Column) -> Column:
+    """The decoded text when the VARIANT is a string, else NULL. The shape of
+    an array is never spelled out just to see that it is none."""
+    is_string = F.when(not_array, F.schema_of_variant(value) == "STRING")
+    return F.when(is_string, F.try_variant_get(value, "$", "string"))
 
 
 def measure(content: Column) -> Column:
-    """(text_bytes, image_bytes, marker) of a VARIANT content field.
+    """(context_bytes, image_bytes, marker) of a VARIANT content field.
 
     A string counts its decoded UTF-8 bytes. An array counts the text of its
     blocks and, apart from it, the inline data of image blocks. Any other shape
     measures zero.
     """
-    text = F.when(is_json_string(content), F.try_variant_get(content, "$", "string"))
-    blocks = F.coalesce(
-        F.when(text.isNull(), F.try_variant_get(content, "$", _BLOCKS)), F.array().cast(_BLOCKS)
-    )
+    blocks = F.try_variant_get(content, "$", _BLOCKS)
+    text = json_string(content, blocks.isNull())
+    zero = F.lit(0).cast("bigint")
     block_text = F.aggregate(
-        blocks,
-        F.lit(0).cast("bigint"),
-        lambda acc, b: acc + F.coalesce(F.octet_length(b["text"]), F.lit(0)),
+        blocks, zero, lambda acc, b: acc + F.coalesce(F.octet_length(b["text"]), F.lit(0))
     )
     block_image = F.aggregate(
         F.filter(blocks, lambda b: b["type"] == "image"),
-        F.lit(0).cast("bigint"),
+        zero,
         lambda acc, b: acc + F.coalesce(F.octet_length(b["source"]["data"]), F.lit(0)),
     )
     block_markers = F.filter(
         F.transform(blocks, lambda b: truncation_marker(b["text"])), lambda m: m != ""
     )
+    first_marker = F.when(blocks.isNotNull(), F.try_element_at(block_markers, F.lit(1)))
     return F.struct(
-        F.coalesce(F.octet_length(text).cast("bigint"), block_text).alias("context_bytes"),
-        F.when(text.isNotNull(), F.lit(0).cast("bigint")).otherwise(block_image).alias("image_bytes"),
-        F.when(text.isNotNull(), truncation_marker(text))
-        .otherwise(F.coalesce(F.try_element_at(block_markers, F.lit(1)), F.lit("")))
-        .alias("marker"),
+        F.coalesce(block_text, F.octet_length(text).cast("bigint"), zero).alias("context_bytes"),
+        F.coalesce(block_image, zero).alias("image_bytes"),
+        F.coalesce(first_marker, truncation_marker(text)).alias("marker"),
     )
 
 
@@ -59,8 +58,8 @@ _DATA_URL = r"(?s)^data:image/[^,]*;base64,"
 
 def measure_codex(output: Column) -> Column:
     """Text and inline image bytes of a rollout output, with what is known."""
-    text = F.when(is_json_string(output), F.try_variant_get(output, "$", "string"))
-    blocks = F.when(text.isNull(), F.try_variant_get(output, "$", _CODEX_BLOCKS))
+    blocks = F.try_variant_get(output, "$", _CODEX_BLOCKS)
+    text = json_string(output, blocks.isNull())
     known_shape = text.isNotNull() | blocks.isNotNull()
     safe = F.coalesce(blocks, F.array().cast(_CODEX_BLOCKS))
     is_text = lambda b: F.coalesce(b["type"] == "input_text", F.lit(False))

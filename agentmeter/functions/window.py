@@ -42,22 +42,26 @@ class TimeWindow:
         return bool(self.since or self.until)
 
     def includes(self, ts: Column) -> Column:
-        """Never NULL: an absent timestamp is outside any active window."""
+        """Plain comparisons, so a Parquet scan can skip row groups by them.
+
+        An empty timestamp is outside any active window; a NULL one yields
+        NULL, which no filter keeps and no conditional count counts.
+        """
         if not self.active:
             return F.lit(True)
-        inside = F.coalesce(ts, F.lit("")) != ""
+        inside = ts != ""
         if self.since:
             inside = inside & (ts >= self.since)
         if self.until:
-            upper = F.substring(ts, 1, 10) if _is_day(self.until) else ts
-            inside = inside & (upper <= self.until)
-        return F.coalesce(inside, F.lit(False))
+            # The highest code point stands for "anything later that day".
+            inside = inside & (ts <= self.until + ("\U0010ffff" if _is_day(self.until) else ""))
+        return inside
 
     def includes_nanos(self, ts: Column) -> Column:
         """The same bounds against nine-digit UTC strings."""
         if not self.active:
             return F.lit(True)
-        inside = F.coalesce(ts, F.lit("")) != ""
+        inside = ts != ""
         if self.since:
             low = f"{self.since}T00:00:00" if _is_day(self.since) else self.since[:19]
             fraction = "000" if _is_day(self.since) else self.since[20:23]
@@ -68,13 +72,13 @@ class TimeWindow:
             else:
                 high = f"{self.until[:23]}000000Z"
             inside = inside & (ts <= high)
-        return F.coalesce(inside, F.lit(False))
+        return inside
 
     def includes_millis(self, ms: Column) -> Column:
         """The same bounds against integer milliseconds since the epoch."""
         if not self.active:
             return F.lit(True)
-        inside = ms.isNotNull()
+        inside = F.lit(True)
         if self.since:
             inside = inside & (ms >= _epoch_ms(self.since))
         if self.until:
@@ -83,7 +87,7 @@ class TimeWindow:
                 inside = inside & (ms < _epoch_ms(next_day.isoformat()))
             else:
                 inside = inside & (ms <= _epoch_ms(self.until))
-        return F.coalesce(inside, F.lit(False))
+        return inside
 
 
 ALWAYS = TimeWindow()

@@ -87,46 +87,35 @@ def instruction_pairs(files: Column) -> Column:
     )
 
 
-def explode_keys(rows: DataFrame, pairs: Column, dimension: Column) -> DataFrame:
-    return (
-        rows.withColumn("dimension", dimension)
-        .withColumn("k", F.explode(_counted(pairs)))
-        .filter("dimension is not null")
-        .select("chunk", "pos", "ts", "dimension", "k.key", "k.bytes", "k.events")
-    )
-
-
-def keys_from_raw(attached: DataFrame) -> DataFrame:
-    """(dimension, key, bytes, events) rows of raw attachment objects."""
-    parsed = attached.withColumn("a", F.from_json("attachment", _PAYLOAD))
-    kind = F.coalesce(F.col("a.type"), F.lit(""))
-    hook = kind.startswith("hook_") & (F.coalesce("a.hookName", F.lit("")) != "")
+def raw_keys(attachment: Column) -> Column:
+    """(dimension, key, bytes, events) entries of one raw attachment object."""
+    a = F.from_json(attachment, _PAYLOAD)
+    kind = F.coalesce(a["type"], F.lit(""))
+    hook = kind.startswith("hook_") & (F.coalesce(a["hookName"], F.lit("")) != "")
     listing = F.when(
-        F.schema_of_variant("a.content") == "STRING",
-        F.try_variant_get(F.col("a.content"), "$", "string"),
-    )
-    dimension = (
-        F.when(hook, F.lit("hook_name"))
-        .when(kind == "skill_listing", F.lit("skill"))
-        .when(kind == "deferred_tools_delta", F.lit("mcp_tool"))
-        .when(kind == "mcp_instructions_delta", F.lit("mcp_server"))
-        .when(kind == "agent_listing_delta", F.lit("agent"))
-        .when(kind == "instructions", F.lit("instruction_file"))
+        F.schema_of_variant(a["content"]) == "STRING",
+        F.try_variant_get(a["content"], "$", "string"),
     )
-    pairs = (
-        F.when(hook, F.array(_pair(F.col("a.hookName"), F.col("bytes"))))
-        .when(kind == "skill_listing", listing_pairs(F.col("a.names"), listing))
-        .when(kind == "deferred_tools_delta", paired(F.col("a.addedNames"), F.col("a.addedLines")))
-        .when(kind == "mcp_instructions_delta", paired(F.col("a.addedNames"), F.col("a.addedBlocks")))
-        .when(kind == "agent_listing_delta", paired(F.col("a.addedTypes"), F.col("a.addedLines")))
-        .when(kind == "instructions", instruction_pairs(F.col("a.files")))
-    )
-    keyed = explode_keys(parsed, pairs, dimension)
     # Whole entries are charged by their exact source text, which only this
     # rare type needs; no other row is sent to Python.
-    records = attached.filter(F.get_json_object("attachment", "$.type") == "deferred_tools_record")
-    entries = records.withColumn("entries", payload.record_entry_bytes("attachment"))
-    return keyed.unionByName(explode_keys(entries, F.col("entries"), F.lit("mcp_tool")))
+    record = F.when(F.contains(attachment, F.lit("deferred_tools_record")), attachment)
+    shapes = (
+        ("hook_name", hook, F.array(_pair(a["hookName"], F.octet_length(attachment)))),
+        ("skill", kind == "skill_listing", listing_pairs(a["names"], listing)),
+        ("mcp_tool", kind == "deferred_tools_delta", paired(a["addedNames"], a["addedLines"])),
+        ("mcp_server", kind == "mcp_instructions_delta", paired(a["addedNames"], a["addedBlocks"])),
+        ("agent", kind == "agent_listing_delta", paired(a["addedTypes"], a["addedLines"])),
+        ("instruction_file", kind == "instructions", instruction_pairs(a["files"])),
+        ("mcp_tool", kind == "deferred_tools_record", payload.record_entry_bytes(record)),
+    )
+    dimension = pairs = F.lit(None)
+    for name, matches, found in reversed(shapes):
+        dimension = F.when(matches, F.lit(name)).otherwise(dimension)
+        pairs = F.when(matches, found).otherwise(pairs)
+    return F.transform(
+        _counted(pairs),
+        lambda k: F.struct(dimension.alias("dimension"), k["key"], k["bytes"], k["events"]),
+    )
 
 
 def by_type(attachments: DataFrame) -> DataFrame:

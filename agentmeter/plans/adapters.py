@@ -27,6 +27,8 @@ _SPARK = {
     "@rfc(ts)": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")",
     "@millis(ts)": "unix_millis(CAST(ts AS TIMESTAMP))",
     "@nl": "'\\n'",
+    "@explode(": "explode(",
+    "@array(": "array(",
 }
 _DUCK = {
     "@bytes(": "strlen(",
@@ -34,6 +36,8 @@ _DUCK = {
     "@rfc(ts)": "strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ')",
     "@millis(ts)": "(epoch_us(ts) // 1000)",
     "@nl": "chr(10)",
+    "@explode(": "unnest(",
+    "@array(": "list_value(",
 }
 
 VIEWS = {
@@ -83,9 +87,9 @@ VIEWS = {
             ) u0
         ) u1""",
     "results": """
-        SELECT pos, chunk, CAST(b.idx AS BIGINT) AS idx, session, ts,
-               'tu_' || CAST(user_id AS STRING) || '_' || CAST((k + b.idx) % 4 AS STRING) AS use_id,
-               CASE WHEN k % 13 = 0 THEN CAST(0 AS BIGINT) ELSE @bytes(props) * (k + 1 + b.idx) END AS context_bytes,
+        SELECT pos, chunk, CAST(block AS BIGINT) AS idx, session, ts,
+               'tu_' || CAST(user_id AS STRING) || '_' || CAST((k + block) % 4 AS STRING) AS use_id,
+               CASE WHEN k % 13 = 0 THEN CAST(0 AS BIGINT) ELSE @bytes(props) * (k + 1 + block) END AS context_bytes,
                CASE WHEN k % 17 = 0 THEN CAST(floor(value * 10) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS image_bytes,
                CASE WHEN k % 30 = 3 THEN '[truncated]' WHEN k = 44 THEN '<response clipped>' ELSE '' END AS marker,
                event_type = 'error' AS is_error,
@@ -95,8 +99,10 @@ VIEWS = {
                CASE WHEN k % 19 = 0 THEN pos * 10 + 5 ELSE 0 END AS persisted_size,
                CASE WHEN k >= 90 THEN 2 ELSE 1 END AS event_results,
                CASE WHEN event_type <> 'error' THEN 0 WHEN k >= 90 THEN 2 ELSE 1 END AS event_errors
-        FROM t JOIN (SELECT 0 AS idx UNION ALL SELECT 1 AS idx) b ON b.idx = 0 OR k >= 90
-        WHERE type = 'user'""",
+        FROM (
+            SELECT *, @explode(CASE WHEN k >= 90 THEN @array(0, 1) ELSE @array(0) END) AS block
+            FROM t WHERE type = 'user'
+        ) r0""",
     "usage": """
         SELECT pos, chunk, session, ts,
                'm' || CAST(user_id AS STRING) || '_' || CAST(CAST(floor(k / 10) AS BIGINT) AS STRING) AS message_id,

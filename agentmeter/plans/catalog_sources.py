@@ -265,7 +265,7 @@ def _(t):
         t.uses, block, type=F.lit("assistant"), attributionSkill=F.col("skill"),
         attributionPlugin=F.col("plugin"), attributionMcpServer=F.col("mcp_server"),
     )
-    return transcripts.decode_uses(live).drop("chunk", "file")
+    return transcripts.use_rows(transcripts.decode_lines(live)).drop("chunk", "file")
 
 
 @query(
@@ -308,7 +308,7 @@ def _(t):
     ).otherwise(F.lit('"plain"'))
     # Results too short for their marker carry none, as the SQL side says.
     live = _live(t.results, message, type=F.lit("user"), toolDenialKind=F.col("denial"), toolUseResult=persisted)
-    return transcripts.decode_results(live).drop("chunk", "file")
+    return transcripts.result_rows(transcripts.decode_lines(live)).drop("chunk", "file")
 
 
 @query(
@@ -340,7 +340,7 @@ def _(t):
         )
     )
     live = _live(t.usage, message, type=F.lit("assistant"), attributionSkill=F.col("skill"))
-    return transcripts.decode_usage(live).select(
+    return transcripts.usage_rows(transcripts.decode_lines(live)).select(
         "pos", "session", "ts", "message_id", "model", "input", "output", "thinking", "cache_read",
         "cache_5m", "cache_1h", "skill",
     )
@@ -361,7 +361,7 @@ def _(t):
     live = _live(
         t.bills, F.lit(None).cast("string"), type=F.lit("cost-state"), totalCostUSD=F.col("total_usd"), modelUsage=models
     )
-    return transcripts.decode_bills(live).select(
+    return transcripts.bill_rows(transcripts.decode_lines(live)).select(
         "pos", "session", "total_usd", F.explode("models").alias("model", "m")
     ).select("pos", "session", "total_usd", "model", "m.input", "m.cost_usd")
 

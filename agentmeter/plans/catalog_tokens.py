@@ -294,9 +294,12 @@ def _attached(t):
             ).alias("files"),
         )
     )
-    return t.listings.select(
-        F.col("pos"), F.lit(0).cast("bigint").alias("chunk"), F.lit("").alias("session"), F.lit("").alias("ts"),
-        body.alias("attachment"), F.octet_length("text").cast("bigint").alias("bytes"),
+    return t.listings.select("pos", body.alias("attachment"))
+
+
+def _keys(t):
+    return _attached(t).select("pos", F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select(
+        "pos", "k.*"
     )
 
 
@@ -328,12 +331,13 @@ KEYED_SQL = f"""
           FROM listings WHERE lang = 'de')
     GROUP BY pos, 3
     UNION ALL
-    SELECT pos, 'hook_name', source, CAST(strlen(text) AS BIGINT) FROM listings WHERE lang NOT IN ('en', 'fr', 'de')"""
+    SELECT pos, 'hook_name', source, CAST(strlen('{{"type":"hook_start","hookName":""}}') + strlen(source) AS BIGINT)
+    FROM listings WHERE lang NOT IN ('en', 'fr', 'de')"""
 
 
 @query("attachment_keys", KEYED_SQL)
 def _(t):
-    keys = attachments.keys_from_raw(_attached(t))
+    keys = _keys(t)
     return keys.groupBy("pos", "dimension", "key").agg(F.sum("bytes").alias("bytes"))
 
 
@@ -343,7 +347,7 @@ def _(t):
         FROM ({KEYED_SQL}) GROUP BY ALL""",
 )
 def _(t):
-    return attachments.by_key(attachments.keys_from_raw(_attached(t)))
+    return attachments.by_key(_keys(t))
 
 
 @query("listing_bytes", LISTING_SQL)

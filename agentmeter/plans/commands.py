@@ -4,17 +4,19 @@ Each command makes one pass over its large table, settles the small rollup and
 folds that. Nothing here collects rows.
 """
 
-from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentmeter import __version__, model
+from agentmeter.functions.names import millis_to_rfc3339
 from agentmeter.functions.numbers import microdollars, percent
 from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import attachments as attachment_ops
 from agentmeter.operators import attribute as attribute_ops
-from agentmeter.operators import audit, calls as call_ops
+from agentmeter.operators import audit
+from agentmeter.operators import calls as call_ops
 from agentmeter.operators import codex as codex_ops
 from agentmeter.operators import corruption as corruption_ops
 from agentmeter.operators import failures as failure_ops
@@ -24,17 +26,17 @@ from agentmeter.operators import tools as tool_ops
 from agentmeter.operators.metrics import (
     Envelope,
     Measure,
+    corpus_drift,
     corpus_rows,
-    derivations,
     disagreement_warnings,
     merge_reports,
-    no_warnings,
     run_header,
     stack_rows,
     unpivot,
     warning_rows,
 )
 from agentmeter.session import settle
+from agentmeter.sources import config, rollouts
 from agentmeter.sources.transcripts import Corpus
 
 REPORT_ORDER = ("scan", "tools", "attribute", "corruption")
@@ -64,6 +66,11 @@ class _Run:
         self.files = inventory_ops.file_counters(corpus.manifest)
         self.span = inventory_ops.date_range(self.rolled)
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        """Results joined to their calls, once for every command of the run."""
+        return settle(call_ops.join_calls(self.corpus.uses, self.corpus.results))
+
     def placed(self, one_row: DataFrame) -> DataFrame:
         """Windowed corpus rows disappear when the window matched no event."""
         if not self.window.active:
@@ -246,7 +253,7 @@ def tools(
     plugin rows are omitted and the command says so."""
     run = run or _Run(corpus, window, version)
     spark = corpus.events.sparkSession
-    calls = settle(call_ops.join_calls(corpus.uses, corpus.results))
+    calls = run.calls
     rolled = settle(tool_ops.rollup(calls, run.in_window))
     per_tool = tool_ops.by_tool(rolled)
     per_server = tool_ops.by_server(per_tool)
@@ -573,7 +580,7 @@ def corruption(
     corpus: Corpus, window: TimeWindow = ALWAYS, version: str = __version__, run=None
 ) -> Envelope:
     run = run or _Run(corpus, window, version)
-    calls = call_ops.join_calls(corpus.uses, corpus.results)
+    calls = run.calls
     rolled = settle(corruption_ops.rollup(calls, run.in_window))
     totals = settle(corruption_ops.totals(rolled))
     per_tool = corruption_ops.by_tool(rolled)
@@ -658,7 +665,7 @@ def failures(
     corpus: Corpus, window: TimeWindow = ALWAYS, version: str = __version__, run=None
 ) -> Envelope:
     run = run or _Run(corpus, window, version)
-    calls = settle(call_ops.join_calls(corpus.uses, corpus.results))
+    calls = run.calls
     joined = call_ops.matched(calls)
     loops = settle(
         failure_ops.retry_loops(joined, run.in_window, window.active, corpus.results)
@@ -749,8 +756,6 @@ def doctor(
     """Config audit, plus the configured-against-observed join when a corpus is
     given (its rows then belong to ``host``). Keys carry the host when there
     is more than the nameless one."""
-    from agentmeter.sources import config
-
     spark = files.sparkSession
     skills = audit.front_matter(config.skill_files(files))
     plugin_rows = config.plugin_files(files)
@@ -858,8 +863,14 @@ def report(
     ]
     every = settle(stack_rows([p.metrics for p in parts]))
     merged = merge_reports(every, REPORT_ORDER).select(*every.columns)
+    drift = corpus_drift(stack_rows([p.header for p in parts]), "scan")
+    changed = warning_rows(
+        drift, "report", "corpus_changed",
+        _counted("{} read {} files / {} bytes, not {} / {}", "command", "files", "bytes", "first_files", "first_bytes"),
+        F.col("command"),
+    )
     warnings = stack_rows(
-        [p.warnings for p in parts] + [disagreement_warnings(every, REPORT_ORDER)]
+        [p.warnings for p in parts] + [disagreement_warnings(every, REPORT_ORDER), changed]
     )
     return Envelope("report", merged, warnings, run.header("report"))
 
@@ -913,8 +924,6 @@ def codex_tools(
 ) -> Envelope:
     """``scoped`` comes from ``sources.rollouts.scope``; ``listing_bytes`` is a
     one-row total of file sizes."""
-    from agentmeter.sources import rollouts
-
     includes = window.includes_nanos
     item_rows = settle(codex_ops.items(scoped))
     collapsed = settle(codex_ops.collapse_copies(item_rows))
@@ -1063,8 +1072,6 @@ def opencode_tools(
     else:
         per_server = opencode_ops.by_server(per_tool, servers)
         metrics.append(unpivot(per_server, "tools", 2, "mcp_server", F.col("server"), stats, weight))
-    from agentmeter.functions.names import millis_to_rfc3339
-
     header = totals.select(
         F.lit(1).alias("files"),
         F.lit(size).alias("bytes"),
@@ -1084,8 +1091,6 @@ def opencode_doctor(
     version: str = __version__,
     host: str = "",
 ) -> Envelope:
-    from agentmeter.sources import config
-
     skills = audit.front_matter(config.skill_files(files, opencode=True))
     merged = audit.merge_servers(config.opencode_server_entries(files))
     state = config.source_state(files, opencode=True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from agentmeter import model
 from agentmeter.operators.ordered import fill_forward
-from agentmeter.sources.transcripts import JSONL_GLOB, plain_path
+from agentmeter.sources.transcripts import JSONL_GLOB, plain_path, scan_chunk
 
 _RFC3339 = (
     r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:[.,](\d+))?(?:Z|([+-])(\d{2}):(\d{2}))$"
@@ -47,10 +47,7 @@ def read_rollouts(spark: SparkSession, directory: str) -> DataFrame:
         .json(directory)
     )
     return raw.select(
-        F.struct(
-            F.split(plain_path(F.col("_metadata.file_path")), "/").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-        ).alias("chunk"),
+        scan_chunk().alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
         plain_path(F.col("_metadata.file_path")).alias("file"),
         "type",

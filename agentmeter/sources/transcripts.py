@@ -4,16 +4,17 @@ Two scans read a corpus: the JSON source decodes events (handing nested regions
 over as the exact bytes of the line) and the text source accounts for lines.
 """
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentmeter import model
 from agentmeter.functions import content, payload
+from agentmeter.operators import attachments as attachment_ops
 from agentmeter.session import settle
+from agentmeter.sources.listing import list_level
 
 JSONL_GLOB = "*.[jJ][sS][oO][nN][lL]"
 SIDE_FILE_SCHEMA = "path STRING, length BIGINT"
@@ -26,10 +27,9 @@ def _text(name: str) -> Column:
 def read_events(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     """One row per decoded line, in scan order by (chunk, pos).
 
-    ``chunk`` is the file split: path components compare like the directory
-    walk does, and a split bounds how many rows one chunk can hold. ``pos``
-    rises with the line order inside a split; both are taken on the scan
-    itself. Write the result (``land``) before using it in more than one plan.
+    ``chunk`` is the file split, which bounds how many rows it can hold, and
+    ``pos`` rises with the line order inside it. Both are taken on the scan
+    itself, so store the result before using it in more than one plan.
     """
     raw = (
         spark.read.schema(model.EVENT_SCHEMA)
@@ -41,10 +41,7 @@ def read_events(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) ->
         .json(directory)
     )
     return raw.select(
-        F.struct(
-            F.split(plain_path(F.col("_metadata.file_path")), "/").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-        ).alias("chunk"),
+        scan_chunk().alias("chunk"),
         F.monotonically_increasing_id().alias("pos"),
         plain_path(F.col("_metadata.file_path")).alias("file"),
         *[F.col(f.name) for f in model.EVENT_SCHEMA.fields],
@@ -84,22 +81,12 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(decoded, "^file:/+", "/")
 
 
-def _list_level(batches):
-    """Entries of each directory, one level deep (runs inside tasks)."""
-    from pyarrow import fs
-
-    for batch in batches:
-        rows = []
-        for directory in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(directory) if ":" in directory else (
-                fs.LocalFileSystem(),
-                directory,
-            )
-            prefix = directory[: len(directory) - len(inner)]
-            for entry in system.get_file_info(fs.FileSelector(inner)):
-                is_dir = entry.type == fs.FileType.Directory
-                rows.append((prefix + entry.path, is_dir, 0 if is_dir else entry.size))
-        yield pd.DataFrame(rows, columns=["path", "is_dir", "bytes"])
+def scan_chunk() -> Column:
+    """The file split a row came from, as text that sorts in walk order: path
+    components compare one by one because their separator sorts lowest."""
+    path = F.replace(plain_path(F.col("_metadata.file_path")), F.lit("/"), F.lit("\u0001"))
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")
+    return F.concat(path, F.lit("\u0001"), block)
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "(?i)[.]jsonl$") -> DataFrame:
@@ -114,7 +101,7 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "(?i)[.]jsonl
     while True:
         level = settle(
             frontier.repartition("path").mapInPandas(
-                _list_level, "path STRING, is_dir BOOLEAN, bytes BIGINT"
+                list_level, "path STRING, is_dir BOOLEAN, bytes BIGINT"
             )
         )
         levels.append(level.filter("not is_dir"))
@@ -158,137 +145,102 @@ class Corpus:
     side_files: DataFrame
     directory: str = ""
 
-    def tables(self):
-        return {
-            f.name: getattr(self, f.name) for f in fields(self) if f.name != "directory"
-        }
 
+def decode_lines(lines: DataFrame) -> DataFrame:
+    """Everything any command needs from a line, decoded in one pass.
 
-def decode(spark: SparkSession, classified: DataFrame, manifest: DataFrame, directory: str = "") -> Corpus:
-    """Silver tables of classified lines (see ``land`` for the stored form)."""
-    live = classified.filter("not is_broken and not is_journal")
-    events = live.select(
+    Blocks, billed counts and attachment keys become nested columns beside the
+    event's own fields, and the raw regions are dropped. Stored once, each
+    silver table is a column-pruned view of the result.
+    """
+    parsed = lines.withColumn("m", F.from_json("message", model.MESSAGE_SCHEMA)).withColumn(
+        "hashes",
+        # Only messages that ask for a tool are sent to Python.
+        payload.message_input_hashes(
+            F.when(F.contains("message", F.lit('"tool_use"')), F.col("message"))
+        ),
+    )
+    answers = F.filter("m.content", lambda b: b["type"] == "tool_result")
+    failed = F.filter(answers, lambda b: F.coalesce(b["is_error"], F.lit(False)))
+    record = F.when(
+        F.contains("toolUseResult", F.lit("persistedOutputPath")), F.try_parse_json("toolUseResult")
+    )
+    attachment = F.when(
+        (F.col("type") == "attachment") & (F.coalesce("attachment", F.lit("")) != ""), F.col("attachment")
+    )
+    kind = F.nullif(F.get_json_object(attachment, "$.type"), F.lit(""))
+    return parsed.select(
         "chunk",
         "pos",
         "file",
-        F.col("sessionId").alias("session"),
+        _text("sessionId").alias("session"),
         _text("type").alias("type"),
         _text("version").alias("version"),
         _text("timestamp").alias("ts"),
+        _text("toolDenialKind").alias("denial"),
+        _text("attributionSkill").alias("skill"),
+        _text("attributionPlugin").alias("plugin"),
+        _text("attributionAgent").alias("agent"),
         _text("attributionMcpServer").alias("mcp_server"),
-        "is_unknown",
-    ).withColumn("session", _text("session"))
-    attached = decode_attachments(live)
-    return Corpus(
-        events=events,
-        uses=decode_uses(live),
-        results=decode_results(live),
-        usage=decode_usage(live),
-        bills=decode_bills(live),
-        attachments=attached,
-        attachment_keys=decode_attachment_keys(live),
-        manifest=manifest,
-        side_files=spark.createDataFrame([], SIDE_FILE_SCHEMA),
-        directory=directory,
-    )
-
-
-def _parsed(live: DataFrame) -> DataFrame:
-    return live.filter(F.col("message").isNotNull()).withColumn(
-        "m", F.from_json("message", model.MESSAGE_SCHEMA)
+        _text("attributionMcpTool").alias("mcp_tool"),
+        *[F.col(c) for c in ("is_broken", "is_journal", "is_unknown") if c in lines.columns],
+        _uses(F.col("m.content"), F.col("hashes")).alias("uses"),
+        F.transform(answers, _result).alias("results"),
+        F.size(answers).alias("event_results"),
+        F.size(failed).alias("event_errors"),
+        F.nullif(
+            F.try_variant_get(record, "$.persistedOutputPath", "string"), F.lit("")
+        ).alias("persisted_path"),
+        F.coalesce(F.try_variant_get(record, "$.persistedOutputSize", "bigint"), F.lit(0)).alias(
+            "persisted_size"
+        ),
+        F.when(
+            (F.col("type") == "assistant")
+            & F.col("m.usage").isNotNull()
+            & (F.coalesce("m.id", F.lit("")) != ""),
+            _usage(),
+        ).alias("usage"),
+        F.coalesce("totalCostUSD", F.lit(0.0)).alias("total_usd"),
+        _models(F.when(F.col("type") == "cost-state", F.col("modelUsage"))).alias("models"),
+        F.when(
+            attachment.isNotNull(),
+            F.struct(
+                F.coalesce(kind, F.lit(model.UNTYPED)).alias("type"),
+                F.octet_length(attachment).cast("bigint").alias("bytes"),
+            ),
+        ).alias("attached"),
+        attachment_ops.raw_keys(attachment).alias("attachment_keys"),
     )
 
 
-def decode_uses(live: DataFrame) -> DataFrame:
-    """``tool_use`` blocks. Digests come from the exact message text."""
-    asking = live.filter(F.contains("message", F.lit("tool_use")))
-    return (
-        _parsed(asking)
-        .withColumn("hashes", payload.message_input_hashes("message"))
-        .select(
-            "chunk",
-            "pos",
-            "file",
-            _text("sessionId").alias("session"),
-            _text("timestamp").alias("ts"),
-            _text("attributionSkill").alias("skill"),
-            _text("attributionPlugin").alias("plugin"),
-            _text("attributionMcpServer").alias("mcp_server"),
-            "hashes",
-            F.posexplode("m.content").alias("idx", "block"),
-        )
-        .filter("block.type = 'tool_use'")
-        .select(
-            "chunk",
-            "pos",
-            F.col("idx").cast("bigint").alias("idx"),
-            "file",
-            "session",
-            "ts",
-            F.coalesce("block.id", F.lit("")).alias("use_id"),
-            F.coalesce("block.name", F.lit("")).alias("tool"),
-            F.coalesce(F.get(F.col("hashes"), F.col("idx")), F.lit(payload.digest(""))).alias("hash"),
-            invoked_skill(F.col("block.name"), F.col("block.input")).alias("invoked_skill"),
-            "skill",
-            "plugin",
-            "mcp_server",
-        )
+def _uses(blocks: Column, hashes: Column) -> Column:
+    no_input = F.lit(payload.digest(""))
+    every = F.transform(
+        blocks,
+        lambda b, i: F.struct(
+            b["type"].alias("type"),
+            i.cast("bigint").alias("idx"),
+            F.coalesce(b["id"], F.lit("")).alias("use_id"),
+            F.coalesce(b["name"], F.lit("")).alias("tool"),
+            F.coalesce(F.get(hashes, i), no_input).alias("hash"),
+            invoked_skill(b["name"], b["input"]).alias("invoked_skill"),
+        ),
     )
+    return F.filter(every, lambda u: u["type"] == "tool_use")
 
 
 def invoked_skill(tool: Column, tool_input: Column) -> Column:
     """Skill named by a ``Skill`` call; NULL for anything else."""
-    skill = F.try_variant_get(F.try_parse_json(tool_input), "$.skill", "string")
-    return F.when((tool == "Skill") & (F.coalesce(skill, F.lit("")) != ""), skill)
+    skill = F.get_json_object(F.when(tool == "Skill", tool_input), "$.skill")
+    return F.nullif(skill, F.lit(""))
 
 
-def decode_results(live: DataFrame) -> DataFrame:
-    """``tool_result`` blocks with what they measured and how the event was
-    labelled. Per-event counts are taken inside the row, before exploding."""
-    answering = live.filter(F.contains("message", F.lit("tool_result")))
-    outcome = F.filter("m.content", lambda b: b["type"] == "tool_result")
-    persisted = F.try_parse_json(F.col("toolUseResult"))
-    return (
-        _parsed(answering)
-        .withColumn("answers", outcome)
-        .select(
-            "chunk",
-            "pos",
-            "file",
-            _text("sessionId").alias("session"),
-            _text("timestamp").alias("ts"),
-            _text("toolDenialKind").alias("denial"),
-            F.nullif(
-                F.try_variant_get(persisted, "$.persistedOutputPath", "string"), F.lit("")
-            ).alias("persisted_path"),
-            F.coalesce(
-                F.try_variant_get(persisted, "$.persistedOutputSize", "bigint"), F.lit(0)
-            ).alias("persisted_size"),
-            F.size("answers").alias("event_results"),
-            F.size(F.filter("answers", lambda b: F.coalesce(b["is_error"], F.lit(False)))).alias(
-                "event_errors"
-            ),
-            F.posexplode("answers").alias("idx", "block"),
-        )
-        .withColumn("measured", content.measure(F.col("block.content")))
-        .select(
-            "chunk",
-            "pos",
-            F.col("idx").cast("bigint").alias("idx"),
-            "file",
-            "session",
-            "ts",
-            F.coalesce("block.tool_use_id", F.lit("")).alias("use_id"),
-            "measured.context_bytes",
-            "measured.image_bytes",
-            "measured.marker",
-            F.coalesce("block.is_error", F.lit(False)).alias("is_error"),
-            "denial",
-            "persisted_path",
-            "persisted_size",
-            "event_results",
-            "event_errors",
-        )
+def _result(block: Column, i: Column) -> Column:
+    return F.struct(
+        i.cast("bigint").alias("idx"),
+        F.coalesce(block["tool_use_id"], F.lit("")).alias("use_id"),
+        F.coalesce(block["is_error"], F.lit(False)).alias("is_error"),
+        content.measure(block["content"]).alias("measured"),
     )
 
 
@@ -296,114 +248,115 @@ def _count(path: str) -> Column:
     return F.coalesce(F.col(path), F.lit(0)).cast("bigint")
 
 
-def decode_usage(live: DataFrame) -> DataFrame:
-    """Billed token counts of assistant responses that have an id to dedupe by."""
-    split = F.coalesce(F.col("m.usage.cache_creation.ephemeral_5m_input_tokens"), F.lit(0)) + (
-        F.coalesce(F.col("m.usage.cache_creation.ephemeral_1h_input_tokens"), F.lit(0))
+def _usage() -> Column:
+    five, hour = (
+        _count(f"m.usage.cache_creation.ephemeral_{tier}_input_tokens") for tier in ("5m", "1h")
     )
-    return (
-        _parsed(live.filter("type = 'assistant'"))
-        .filter("m.usage is not null and coalesce(m.id, '') <> ''")
-        .select(
-            "chunk",
-            "pos",
-            _text("sessionId").alias("session"),
-            _text("timestamp").alias("ts"),
-            F.col("m.id").alias("message_id"),
-            F.coalesce("m.model", F.lit("")).alias("model"),
-            _count("m.usage.input_tokens").alias("input"),
-            _count("m.usage.output_tokens").alias("output"),
-            _count("m.usage.output_tokens_details.thinking_tokens").alias("thinking"),
-            _count("m.usage.cache_read_input_tokens").alias("cache_read"),
-            F.when(split > 0, _count("m.usage.cache_creation.ephemeral_5m_input_tokens"))
-            .otherwise(_count("m.usage.cache_creation_input_tokens"))
-            .alias("cache_5m"),
-            F.when(split > 0, _count("m.usage.cache_creation.ephemeral_1h_input_tokens"))
-            .otherwise(F.lit(0))
-            .cast("bigint")
-            .alias("cache_1h"),
-            _text("attributionSkill").alias("skill"),
-            _text("attributionPlugin").alias("plugin"),
-            _text("attributionAgent").alias("agent"),
-            _text("attributionMcpServer").alias("mcp_server"),
-            _text("attributionMcpTool").alias("mcp_tool"),
-        )
+    split = five + hour > 0
+    return F.struct(
+        F.col("m.id").alias("message_id"),
+        F.coalesce("m.model", F.lit("")).alias("model"),
+        _count("m.usage.input_tokens").alias("input"),
+        _count("m.usage.output_tokens").alias("output"),
+        _count("m.usage.output_tokens_details.thinking_tokens").alias("thinking"),
+        _count("m.usage.cache_read_input_tokens").alias("cache_read"),
+        F.when(split, five)
+        .otherwise(_count("m.usage.cache_creation_input_tokens"))
+        .alias("cache_5m"),
+        F.when(split, hour).otherwise(F.lit(0).cast("bigint")).alias("cache_1h"),
     )
 
 
-def decode_bills(live: DataFrame) -> DataFrame:
-    """``cost-state`` records with their per-model map."""
-    return (
-        live.filter("type = 'cost-state' and modelUsage is not null")
-        .withColumn("models", F.from_json("modelUsage", model.MODEL_USAGE_SCHEMA))
-        .filter("models is not null")
-        .select(
-            "chunk",
-            "pos",
-            _text("sessionId").alias("session"),
-            _text("timestamp").alias("ts"),
-            F.coalesce("totalCostUSD", F.lit(0.0)).alias("total_usd"),
-            F.transform_values(
-                "models",
-                lambda _, m: F.struct(
-                    F.coalesce(m["inputTokens"], F.lit(0)).alias("input"),
-                    F.coalesce(m["outputTokens"], F.lit(0)).alias("output"),
-                    F.coalesce(m["cacheReadInputTokens"], F.lit(0)).alias("cache_read"),
-                    F.coalesce(m["cacheCreationInputTokens"], F.lit(0)).alias("cache_create"),
-                    F.coalesce(m["costUSD"], F.lit(0.0)).alias("cost_usd"),
-                ),
-            ).alias("models"),
-        )
+def _models(raw: Column) -> Column:
+    zero = F.lit(0).cast("bigint")
+    return F.transform_values(
+        F.from_json(raw, model.MODEL_USAGE_SCHEMA),
+        lambda _, m: F.struct(
+            F.coalesce(m["inputTokens"], zero).alias("input"),
+            F.coalesce(m["outputTokens"], zero).alias("output"),
+            F.coalesce(m["cacheReadInputTokens"], zero).alias("cache_read"),
+            F.coalesce(m["cacheCreationInputTokens"], zero).alias("cache_create"),
+            F.coalesce(m["costUSD"], F.lit(0.0)).alias("cost_usd"),
+        ),
     )
 
 
-def _attached(live: DataFrame) -> DataFrame:
-    return live.filter("type = 'attachment' and coalesce(attachment, '') <> ''").select(
-        "chunk",
-        "pos",
-        _text("sessionId").alias("session"),
-        _text("timestamp").alias("ts"),
-        "attachment",
-        F.octet_length("attachment").cast("bigint").alias("bytes"),
+def event_rows(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        "chunk", "pos", "file", "session", "type", "version", "ts", "mcp_server", "is_unknown"
     )
 
 
-def decode_attachments(live: DataFrame) -> DataFrame:
-    """Type level: the attachment object's own raw length."""
-    kind = F.nullif(F.get_json_object("attachment", "$.type"), F.lit(""))
-    return _attached(live).select(
-        "chunk", "pos", "session", "ts", F.coalesce(kind, F.lit(model.UNTYPED)).alias("type"), "bytes"
+def use_rows(decoded: DataFrame) -> DataFrame:
+    """``tool_use`` blocks with the attribution of the turn that asked."""
+    return decoded.select(
+        "chunk", "pos", "file", "session", "ts", "skill", "plugin", "mcp_server", F.explode("uses").alias("u")
+    ).select(
+        "chunk", "pos", "u.idx", "file", "session", "ts", "u.use_id", "u.tool", "u.hash",
+        "u.invoked_skill", "skill", "plugin", "mcp_server",
     )
 
 
-def decode_attachment_keys(live: DataFrame) -> DataFrame:
-    """Key level, see ``operators.attachments``."""
-    from agentmeter.operators import attachments
+def result_rows(decoded: DataFrame) -> DataFrame:
+    """``tool_result`` blocks with their measures and the event's labels."""
+    event = ("denial", "persisted_path", "persisted_size", "event_results", "event_errors")
+    return decoded.select(
+        "chunk", "pos", "file", "session", "ts", *event, F.explode("results").alias("r")
+    ).select(
+        "chunk", "pos", "r.idx", "file", "session", "ts", "r.use_id", "r.measured.context_bytes",
+        "r.measured.image_bytes", "r.measured.marker", "r.is_error", *event,
+    )
 
-    return attachments.keys_from_raw(_attached(live))
 
+def usage_rows(decoded: DataFrame) -> DataFrame:
+    """Billed token counts of responses that have an id to dedupe by."""
+    return decoded.filter("usage is not null").select(
+        "chunk", "pos", "session", "ts", "usage.*", "skill", "plugin", "agent", "mcp_server", "mcp_tool"
+    )
 
-def land(corpus: Corpus, path: str) -> Corpus:
-    """Write the silver tables once and hand back the stored ones.
 
-    Parquet pruning and push-down then serve every command, and ``pos`` is
-    frozen: it is only stable inside the scan that assigned it.
-    """
-    spark = corpus.events.sparkSession
-    stored = {}
-    for name, table in corpus.tables().items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-        stored[name] = spark.read.schema(table.schema).parquet(f"{path}/{name}")
-    return replace(corpus, **stored)
+def bill_rows(decoded: DataFrame) -> DataFrame:
+    """``cost-state`` records with their per-model map."""
+    return decoded.filter("models is not null").select(
+        "chunk", "pos", "session", "ts", "total_usd", "models"
+    )
+
+
+def attachment_rows(decoded: DataFrame) -> DataFrame:
+    """Type level: the attachment object's own raw length."""
+    return decoded.filter("attached is not null").select("chunk", "pos", "session", "ts", "attached.*")
+
+
+def attachment_key_rows(decoded: DataFrame) -> DataFrame:
+    return decoded.select("chunk", "pos", "ts", F.explode("attachment_keys").alias("k")).select(
+        "chunk", "pos", "ts", "k.*"
+    )
 
 
 def read_corpus(spark: SparkSession, directory: str, landing: str) -> Corpus:
-    """Bronze once, silver from bronze, everything stored below ``landing``."""
-    events = read_events(spark, directory)
-    events.write.mode("overwrite").parquet(f"{landing}/bronze")
-    classified = classify(spark.read.schema(events.schema).parquet(f"{landing}/bronze"))
-    manifest = file_manifest(list_files(spark, directory), file_quality(classified))
-    return land(decode(spark, classified, manifest, directory), f"{landing}/silver")
+    """Decode a corpus once, store it below ``landing`` and view it as silver.
+
+    The lines are read and parsed exactly once. Storing them also freezes
+    ``pos``, which is only stable inside the scan that assigned it.
+    """
+    decoded = decode_lines(classify(read_events(spark, directory)))
+    decoded.write.mode("overwrite").parquet(f"{landing}/lines")
+    stored = spark.read.schema(decoded.schema).parquet(f"{landing}/lines")
+    manifest = file_manifest(list_files(spark, directory), file_quality(stored))
+    manifest.write.mode("overwrite").parquet(f"{landing}/manifest")
+    live = stored.filter("not is_broken and not is_journal")
+    return Corpus(
+        events=event_rows(live),
+        uses=use_rows(live),
+        results=result_rows(live),
+        usage=usage_rows(live),
+        bills=bill_rows(live),
+        attachments=attachment_rows(live),
+        attachment_keys=attachment_key_rows(live),
+        manifest=spark.read.schema(manifest.schema).parquet(f"{landing}/manifest"),
+        side_files=spark.createDataFrame([], SIDE_FILE_SCHEMA),
+        directory=directory,
+    )
 
 
 def line_accounting(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:

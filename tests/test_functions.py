@@ -84,13 +84,10 @@ def test_money_and_ratios(spark):
 
 
 def keys_of(spark, *objects):
-    rows = [(i, 0, "", "", json.dumps(o, separators=(",", ":"), ensure_ascii=False) if isinstance(o, dict) else o) for i, o in enumerate(objects)]
-    df = spark.createDataFrame(rows, "pos long, chunk long, session string, ts string, attachment string")
-    df = df.withColumn("bytes", F.octet_length("attachment").cast("long"))
-    return {
-        (r.dimension, r.key): (r.attachment_bytes, r.attachment_events)
-        for r in attachments.by_key(attachments.keys_from_raw(df)).collect()
-    }
+    rows = [(json.dumps(o, separators=(",", ":"), ensure_ascii=False) if isinstance(o, dict) else o,) for o in objects]
+    df = spark.createDataFrame(rows, "attachment string")
+    keys = df.select(F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select("k.*")
+    return {(r.dimension, r.key): (r.attachment_bytes, r.attachment_events) for r in attachments.by_key(keys).collect()}
 
 
 def test_attachment_keys(spark):
@@ -167,3 +164,11 @@ def test_top_rows_are_cut_before_the_shuffle(spark):
     assert sorted((r.dimension, r.v, r.total) for r in top.collect())[:2] == [(0, 996, 334), (0, 999, 334)]
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
     assert metrics.top_per_dimension(rows, "dimension", [F.desc("v")], 0).count() == 1000
+
+
+def test_window_reaches_the_scan(spark, tmp_path):
+    spark.range(10).select(F.col("id").cast("string").alias("ts"), "id").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p")).filter(TimeWindow("2024-01-10", "2024-01-20").includes(F.col("ts")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = df.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-10)" in plan and "LessThanOrEqual(ts,2024-01-20" in plan
