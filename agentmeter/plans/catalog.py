@@ -28,6 +28,7 @@ def _load() -> None:
     from agentmeter.plans import (  # noqa: F401
         catalog_audit,
         catalog_calls,
+        catalog_commands,
         catalog_rollouts,
         catalog_sources,
         catalog_streams,

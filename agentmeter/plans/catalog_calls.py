@@ -410,7 +410,7 @@ def _(t):
 # --- failure patterns --------------------------------------------------------
 
 
-def _loops_sql(windowed: bool) -> str:
+def loops_sql(windowed: bool) -> str:
     having = "count(*) >= 3" + (f" AND bool_or({IN_JAN})" if windowed else "")
     return f"""
         SELECT session, tool, hash, count(*) AS streak, CAST(count(*) FILTER (WHERE denial <> '') AS BIGINT) AS denied,
@@ -423,14 +423,14 @@ def _loops_sql(windowed: bool) -> str:
         WHERE is_error GROUP BY session, tool, hash, run HAVING {having}"""
 
 
-@query("retry_loops", _loops_sql(False))
+@query("retry_loops", loops_sql(False))
 def _(t):
     return failures.retry_loops(t.matched, every(), False, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
     )
 
 
-@query("retry_loops_in_window", _loops_sql(True))
+@query("retry_loops_in_window", loops_sql(True))
 def _(t):
     return failures.retry_loops(t.matched, january(), True, t.results).select(
         "session", "tool", "hash", "streak", "denied", "pos"
@@ -440,7 +440,7 @@ def _(t):
 @query(
     "numbered_loops",
     f"""SELECT session || '/' || tool || '/' || hash || CASE WHEN n > 1 THEN '#' || CAST(n AS VARCHAR) ELSE '' END AS key, streak
-        FROM (SELECT *, row_number() OVER (PARTITION BY session, tool, hash ORDER BY pos) AS n FROM ({_loops_sql(False)}))""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY session, tool, hash ORDER BY pos) AS n FROM ({loops_sql(False)}))""",
 )
 def _(t):
     loops = settle(failures.retry_loops(t.matched, every(), False, t.results))

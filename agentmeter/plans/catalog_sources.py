@@ -86,12 +86,12 @@ def _(t):
        FROM t GROUP BY user_id""",
 )
 def _(t):
-    rows = _file_rows(t)
+    rows = file_rows(t)
     listing = rows.groupBy("file").agg(F.sum("size").cast("bigint").alias("bytes"))
     return transcripts.file_manifest(listing, transcripts.file_quality(rows))
 
 
-def _file_rows(t):
+def file_rows(t):
     folder = F.when(F.col("user_id") % 3 == 0, F.lit("/c/subagents/")).otherwise(F.lit("/c/"))
     return t.t.select(
         F.concat(folder, F.col("user_id").cast("string")).alias("file"),
@@ -113,7 +113,7 @@ COUNTERS_SQL = """(
 
 
 def _counters(t):
-    rows = _file_rows(t)
+    rows = file_rows(t)
     listing = rows.groupBy("file").agg(F.sum("size").cast("bigint").alias("bytes"))
     return inventory.file_counters(transcripts.file_manifest(listing, transcripts.file_quality(rows)))
 

@@ -263,7 +263,7 @@ NAMES = ["The", "And", "Is", "And: the", "La", "The: of", "", "In", "To"]
 NAME_LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 
 
-def _attached(t):
+def attached_objects(t):
     """Every document as one raw attachment object, its shape by language."""
     lines = F.split("text", "\n")
     keys = F.transform(lines, lambda s: F.substring(s, 1, 6))
@@ -298,7 +298,7 @@ def _attached(t):
 
 
 def _keys(t):
-    return _attached(t).select("pos", F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select(
+    return attached_objects(t).select("pos", F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select(
         "pos", "k.*"
     )
 
