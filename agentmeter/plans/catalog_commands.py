@@ -2,13 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from agentmeter.functions.window import TimeWindow
 from agentmeter.operators import attachments
 from agentmeter.plans import commands
 from agentmeter.plans.catalog import query
+from agentmeter.plans.catalog_audit import PLUGIN_FINDINGS, SERVER_FINDINGS
 from agentmeter.plans.catalog_calls import CORRUPT_SQL, PLUGIN_NAMES, SERVER_SQL, STAT_SQL, loops_sql
+from agentmeter.plans.catalog_rollouts import BY_TOOL_SQL, JOINED_SQL
 from agentmeter.plans.catalog_sources import COUNTERS_SQL, file_rows
 from agentmeter.plans.catalog_tokens import ALLOCATED, KEYED_SQL, LISTING_SQL, attached_objects
-from agentmeter.sources import transcripts
+from agentmeter.sources import config, transcripts
 
 
 def corpus(t):
@@ -355,3 +358,112 @@ def _(t):
 def _(t):
     figures = commands.summary(commands.report(corpus(t), plugins=t.plugins).metrics)
     return figures.withColumn("value", F.round("value", 6))
+
+
+@query(
+    "windowed_report_metrics",
+    " UNION ALL ".join(
+        [
+            spread(
+                f"SELECT * FROM {COUNTERS_SQL}", "'corpus'", "''", "files:files", "bytes:bytes",
+                "files_top_level:files", "files_subagent:files", "parse_errors:errors", "files_non_transcript:files",
+                "non_transcript_records:records",
+            ),
+            spread("SELECT 21 AS known_event_types", "'corpus'", "''", "known_event_types:types"),
+            spread(
+                "SELECT count(*) AS unmatched_results FROM calls WHERE NOT matched", "'corpus'", "''",
+                "unmatched_results:blocks",
+            ),
+            spread(
+                "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'quantum-flux' GROUP BY type",
+                "'unknown_type'", "type", "unknown_type_events:events",
+            ),
+        ]
+    ),
+)
+def _(t):
+    """A window without events: only what no window restricts remains."""
+    beyond = TimeWindow(since="2031-01-01")
+    return shown(commands.report(corpus(t), beyond, plugins=t.plugins).metrics)
+
+
+@query(
+    "doctor_metrics",
+    " UNION ALL ".join(
+        [
+            spread(
+                """SELECT count(*) AS plugins_checked, sum(CASE WHEN c_acctbal >= 0 THEN 6 END) AS mcp_servers_checked
+                   FROM hosts""",
+                "'corpus'", "''", "plugins_checked:plugins", "mcp_servers_checked:servers",
+            ),
+            spread(
+                f"""SELECT dimension, host || '/' || key AS key, count(*) AS findings
+                    FROM (SELECT * FROM {PLUGIN_FINDINGS} UNION ALL SELECT * FROM {SERVER_FINDINGS}) GROUP BY ALL""",
+                "dimension", "key", "findings:findings",
+            ),
+        ]
+    ),
+)
+def _(t):
+    return shown(commands.doctor(t.config_files).metrics)
+
+
+@query(
+    "rollout_metrics",
+    " UNION ALL ".join(
+        [
+            spread(
+                f"""SELECT count(*) FILTER (WHERE status <> 'unmatched') AS tool_use_blocks,
+                          count(*) FILTER (WHERE status = 'joined') AS tool_result_blocks,
+                          count(*) FILTER (WHERE status = 'unanswered') AS unanswered_uses,
+                          count(DISTINCT tool) FILTER (WHERE status = 'joined') AS distinct_tools,
+                          count(*) FILTER (WHERE status = 'joined') AS calls,
+                          sum(bytes) FILTER (WHERE status = 'joined') AS context_bytes, 0 AS image_bytes, 0 AS image_results,
+                          count(*) FILTER (WHERE status = 'unmatched') AS unmatched_results
+                    FROM {JOINED_SQL}""",
+                "'corpus'", "''", "tool_use_blocks:blocks", "tool_result_blocks:blocks", "unanswered_uses:blocks",
+                "distinct_tools:tools", "calls:calls", "context_bytes:bytes", "image_bytes:bytes", "image_results:results",
+                "unmatched_results:blocks",
+            ),
+            spread(
+                f"""SELECT tool, count(*) AS calls, sum(bytes) AS context_bytes, 0 AS image_bytes
+                    FROM {JOINED_SQL} WHERE status = 'joined' GROUP BY tool""",
+                "'tool'", "tool", "calls:calls", "context_bytes:bytes", "image_bytes:bytes",
+            ),
+            spread(
+                f"""SELECT count(*) AS calls, sum(bytes) AS context_bytes, 0 AS image_bytes
+                    FROM {JOINED_SQL} WHERE status = 'joined'""",
+                "'mcp_server'", "'docs'", "calls:calls", "context_bytes:bytes", "image_bytes:bytes",
+            ),
+        ]
+    ),
+)
+def _(t):
+    size = t.table("conversations").agg(F.sum(F.octet_length("text")))
+    return shown(commands.codex_tools(t.scoped, size, strict=False).metrics)
+
+
+@query(
+    "parts_metrics",
+    " UNION ALL ".join(
+        [
+            spread(
+                f"SELECT count(*) AS distinct_tools, sum(calls) AS calls, sum(context_bytes) AS context_bytes FROM ({BY_TOOL_SQL} GROUP BY tool)",
+                "'corpus'", "''", "distinct_tools:tools", "calls:calls", "context_bytes:bytes",
+            ),
+            spread(
+                f"{BY_TOOL_SQL} GROUP BY tool", "'tool'", "tool", "calls:calls", "context_bytes:bytes", "errors:calls"
+            ),
+            spread(
+                f"""SELECT server, sum(calls) AS calls, sum(context_bytes) AS context_bytes, sum(errors) AS errors
+                    FROM (SELECT *, CASE WHEN starts_with(tool, 'engram_mem_') THEN 'engram_mem'
+                                         WHEN starts_with(tool, 'engram_') THEN 'engram' END AS server
+                          FROM ({BY_TOOL_SQL} GROUP BY tool)) WHERE server IS NOT NULL GROUP BY server""",
+                "'mcp_server'", "server", "calls:calls", "context_bytes:bytes", "errors:calls",
+            ),
+        ]
+    ),
+)
+def _(t):
+    servers = config.opencode_servers(t.config_files).select("server")
+    return shown(commands.opencode_tools(t.parts, servers).metrics)

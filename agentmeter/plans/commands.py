@@ -63,8 +63,8 @@ class _Run:
         self.corpus, self.window, self.version = corpus, window, version
         self.in_window = window.includes(F.col("ts"))
         self.rolled = rolled or settle(inventory_ops.rollup(corpus.events, self.in_window))
-        self.files = inventory_ops.file_counters(corpus.manifest)
-        self.span = inventory_ops.date_range(self.rolled)
+        self.files = settle(inventory_ops.file_counters(corpus.manifest))
+        self.span = settle(inventory_ops.date_range(self.rolled))
 
     @cached_property
     def calls(self) -> DataFrame:
