@@ -44,10 +44,12 @@ def split_hot(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[Dat
     """(ordinary rows, rows of hot keys). Keys must not be NULL.
 
     The list is broadcast only after its size is checked; a longer one is
-    joined whichever way Spark finds best.
+    joined whichever way Spark finds best. Rows of hot keys are read several
+    times from here on, so they are settled.
     """
     listed = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
-    return rows.join(listed, list(keys), "left_anti"), rows.join(listed, list(keys), "left_semi")
+    cold = rows.join(listed, list(keys), "left_anti")
+    return cold, settle(rows.join(listed, list(keys), "left_semi"))
 
 
 def with_chunk(df: DataFrame, row_id: str, rows_per_chunk: int = 1 << 20) -> DataFrame:

@@ -11,6 +11,7 @@ from agentmeter.plans.catalog_calls import CORRUPT_SQL, PLUGIN_NAMES, SERVER_SQL
 from agentmeter.plans.catalog_rollouts import BY_TOOL_SQL, JOINED_SQL
 from agentmeter.plans.catalog_sources import COUNTERS_SQL, file_rows
 from agentmeter.plans.catalog_tokens import ALLOCATED, KEYED_SQL, LISTING_SQL, attached_objects
+from agentmeter.session import scratch_path
 from agentmeter.sources import config, transcripts
 
 
@@ -467,3 +468,123 @@ def _(t):
 def _(t):
     servers = config.opencode_servers(t.config_files).select("server")
     return shown(commands.opencode_tools(t.parts, servers).metrics)
+
+
+# --- end to end: lines written to files, read back, every command run --------------
+
+
+def transcript_lines(t):
+    """The adapter's events and attachments as JSONL, (pos, line)."""
+    text = lambda c: F.col(c).cast("string")
+    counts = F.to_json(
+        F.struct(
+            F.col("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"),
+            F.struct(F.col("thinking").alias("thinking_tokens")).alias("output_tokens_details"),
+            F.struct(
+                F.col("cache_5m").alias("ephemeral_5m_input_tokens"), F.col("cache_1h").alias("ephemeral_1h_input_tokens")
+            ).alias("cache_creation"),
+        )
+    )
+    asked = F.concat(
+        F.lit(',"attributionSkill":"'), "skill", F.lit('","attributionPlugin":"'), "plugin",
+        F.lit('","attributionMcpServer":"'), "mcp_server", F.lit('","attributionMcpTool":"'), "mcp_tool",
+        F.lit('","message":{"id":"'), "message_id", F.lit('","model":"'), "model", F.lit('","usage":'), counts,
+        F.lit(',"content":[{"type":"tool_use","id":"'), "use_id", F.lit('","name":"'), "tool", F.lit('","input":'),
+        "tool_input", F.lit("}]}"),
+    )
+    uses = t.uses.select("pos", "use_id", "tool", F.col("input").alias("tool_input"))
+    usage = t.usage.drop("chunk", "session", "ts").withColumnRenamed("input", "input_tokens")
+    joined = uses.join(usage, "pos").select("pos", asked.alias("extra"))
+
+    body = F.concat("marker", F.repeat(F.lit("x"), (F.col("context_bytes") - F.length("marker")).cast("int")))
+    image = F.repeat(F.lit("A"), F.col("image_bytes").cast("int"))
+    shaped = F.when(
+        F.col("image_bytes") > 0,
+        F.concat(
+            F.lit('[{"type":"text","text":"'), body, F.lit('"},{"type":"image","source":{"data":"'), image, F.lit('"}}]')
+        ),
+    ).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+    block = F.concat(
+        F.lit('{"type":"tool_result","tool_use_id":"'), "use_id", F.lit('","is_error":'), text("is_error"),
+        F.lit(',"content":'), shaped, F.lit("}"),
+    )
+    # An event holds at most two results here.
+    answers = t.results.groupBy("pos", "denial", "persisted_path", "persisted_size").agg(
+        F.array_sort(F.collect_list(F.struct("idx", block.alias("block")))).alias("blocks")
+    )
+    stored = F.coalesce(
+        F.concat(
+            F.lit(',"toolUseResult":{"persistedOutputPath":"'), "persisted_path", F.lit('","persistedOutputSize":'),
+            text("persisted_size"), F.lit("}"),
+        ),
+        F.lit(""),
+    )
+    answered = answers.select(
+        "pos",
+        F.concat(
+            F.lit(',"toolDenialKind":"'), "denial", F.lit('"'), stored, F.lit(',"message":{"content":['),
+            F.array_join(F.transform("blocks", lambda b: b["block"]), ","), F.lit("]}"),
+        ).alias("extra"),
+    )
+    models = F.to_json(
+        F.transform_values(
+            "models",
+            lambda _, m: F.struct(
+                m["input"].alias("inputTokens"), m["output"].alias("outputTokens"),
+                m["cache_read"].alias("cacheReadInputTokens"), m["cache_create"].alias("cacheCreationInputTokens"),
+                m["cost_usd"].alias("costUSD"),
+            ),
+        )
+    )
+    billed = t.bills.select(
+        "pos", F.concat(F.lit(',"totalCostUSD":'), text("total_usd"), F.lit(',"modelUsage":'), models).alias("extra")
+    )
+    head = F.concat(
+        F.lit('{"type":"'), "type", F.lit('","sessionId":"'), "session", F.lit('","timestamp":"'), "ts",
+        F.lit('","version":"'), "version", F.lit('"'),
+    )
+    extras = joined.unionByName(answered).unionByName(billed)
+    events = t.t.join(extras, "pos", "left").select(
+        "pos", F.concat(head, F.coalesce("extra", F.lit("")), F.lit("}")).alias("line")
+    )
+    documents = attached_objects(t).select(
+        (-1 - F.col("pos")).alias("pos"),
+        F.concat(F.lit('{"type":"attachment","attachment":'), "attachment", F.lit("}")).alias("line"),
+    )
+    return events.unionByName(documents)
+
+
+def write_transcripts(t, files: int = 8) -> str:
+    """JSONL below the shared folder; file order is scan order."""
+    path = scratch_path(t.spark, "transcripts")
+    ordered = transcript_lines(t).repartitionByRange(files, "pos").sortWithinPartitions("pos")
+    ordered.select("line").write.text(path)
+    return path
+
+
+_MEASURED = "dimension <> 'attachment_type' AND NOT (dimension = 'corpus' AND name LIKE 'attachment_%')"
+
+
+@query(
+    "commands_from_files",
+    f"""SELECT * FROM (
+            SELECT 'tools' AS command, * FROM ({TOOLS_SQL}) UNION ALL SELECT 'corruption', * FROM ({CORRUPTION_SQL})
+            UNION ALL SELECT 'failures', * FROM ({FAILURES_SQL}) UNION ALL SELECT 'attribute', * FROM ({ATTRIBUTE_SQL}))
+        WHERE {_MEASURED}""",
+)
+def _(t):
+    """Written as lines, decoded from files, measured by four commands."""
+    found = transcripts.read_corpus(
+        t.spark, write_transcripts(t), scratch_path(t.spark, "silver"), glob="*.txt"
+    )
+    run = commands.start(found)
+    parts = [
+        commands.tools(found, plugins=t.plugins, run=run),
+        commands.corruption(found, run=run),
+        commands.failures(found, run=run),
+        commands.attribute(found, run=run),
+    ]
+    every = commands.stack_rows([p.metrics for p in parts]).filter(_MEASURED)
+    return every.select(
+        "command", "name", "dimension", "key", "value_long", F.round("value_double", 6).alias("value_double"), "unit", "derivation"
+    )

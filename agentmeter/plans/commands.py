@@ -138,6 +138,11 @@ class _Run:
         )
 
 
+def start(corpus: Corpus, window: TimeWindow = ALWAYS, version: str = __version__) -> _Run:
+    """Shared tables for several commands over one corpus and window."""
+    return _Run(corpus, window, version)
+
+
 def scan(corpus: Corpus, window: TimeWindow = ALWAYS, version: str = __version__, cached: DataFrame | None = None, run=None) -> Envelope:
     run = run or _Run(corpus, window, version)
     types = inventory_ops.by_type(run.rolled)

@@ -333,13 +333,15 @@ def attachment_key_rows(decoded: DataFrame) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, directory: str, landing: str) -> Corpus:
+def read_corpus(
+    spark: SparkSession, directory: str, landing: str, glob: str = JSONL_GLOB
+) -> Corpus:
     """Decode a corpus once, store it below ``landing`` and view it as silver.
 
     The lines are read and parsed exactly once. Storing them also freezes
     ``pos``, which is only stable inside the scan that assigned it.
     """
-    decoded = decode_lines(classify(read_events(spark, directory)))
+    decoded = decode_lines(classify(read_events(spark, directory, glob)))
     decoded.write.mode("overwrite").parquet(f"{landing}/lines")
     stored = spark.read.schema(decoded.schema).parquet(f"{landing}/lines")
     manifest = file_manifest(list_files(spark, directory), file_quality(stored))
