@@ -278,6 +278,7 @@ def tools(
             "unanswered_uses": open_ids.scalar(),
         }
     )
+    totals = settle(totals)
     rent = settle(
         attachment_ops.by_key(
             corpus.attachment_keys.filter(run.in_window).filter("dimension in ('mcp_server', 'skill')")
@@ -288,7 +289,9 @@ def tools(
         F.col("key").alias("skill"), F.col("attachment_bytes").alias("rent_bytes")
     )
     server_rent = tool_ops.rent_by_server(server_keys, plugins)
-    skill_rows = tool_ops.skill_usage(skill_rent, tool_ops.skill_calls(corpus.uses, run.in_window))
+    skill_rows = settle(
+        tool_ops.skill_usage(skill_rent, tool_ops.skill_calls(corpus.uses, run.in_window))
+    )
 
     stats = _measures(*_STAT_MEASURES)
     weight = [F.col("context_bytes")]
@@ -396,7 +399,7 @@ def attribute(
     )
     covered = settle(attribute_ops.coverage(bills, attribute_ops.by_session_model(rolled)))
     types = settle(attachment_ops.by_type(corpus.attachments.filter(inside)))
-    keys = attachment_ops.by_key(corpus.attachment_keys.filter(inside))
+    keys = settle(attachment_ops.by_key(corpus.attachment_keys.filter(inside)))
     session_rows = per_dimension.filter("dimension = 'session'")
     # One row per session, billed or not, with which side it was seen on.
     seen = attribute_ops.sessions_seen(corpus.events, inside)
@@ -429,6 +432,7 @@ def attribute(
             .scalar(),
         }
     ).withColumn("unallocated_cost_usd", F.col("billed") - F.col("allocated_cost_usd"))
+    totals = settle(totals)
     sessions = billing.withColumn(
         "cost_state_coverage_percent",
         percent(F.col("sessions_with_cost_state"), F.col("sessions")),
