@@ -23,15 +23,20 @@ def json_string(value: Column, not_array: Column) -> Column:
     return F.when(is_string, F.try_variant_get(value, "$", "string"))
 
 
-def measure(content: Column) -> Column:
-    """(context_bytes, image_bytes, marker) of a VARIANT content field.
+def open_content(content: Column) -> Column:
+    """(blocks, text) of a VARIANT content field; both NULL in other shapes."""
+    blocks = F.try_variant_get(content, "$", _BLOCKS)
+    return F.struct(blocks.alias("blocks"), json_string(content, blocks.isNull()).alias("text"))
+
+
+def measure_opened(opened: Column) -> Column:
+    """(context_bytes, image_bytes, marker) of opened content.
 
     A string counts its decoded UTF-8 bytes. An array counts the text of its
     blocks and, apart from it, the inline data of image blocks. Any other shape
     measures zero.
     """
-    blocks = F.try_variant_get(content, "$", _BLOCKS)
-    text = json_string(content, blocks.isNull())
+    blocks, text = opened["blocks"], opened["text"]
     zero = F.lit(0).cast("bigint")
     block_text = F.aggregate(
         blocks, zero, lambda acc, b: acc + F.coalesce(F.octet_length(b["text"]), F.lit(0))

@@ -37,7 +37,11 @@ def day(ts: Column) -> Column:
 
 
 def millis_to_rfc3339(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Whole seconds in UTC, whatever the session's time zone is."""
+    seconds = F.floor(ms / 1000).cast("decimal(18,6)")
+    since_epoch = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    utc = (F.lit("1970-01-01").cast("timestamp_ntz") + since_epoch).cast("string")
+    return F.concat(F.replace(utc, F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def prefixes(name: Column, separator: str) -> Column:

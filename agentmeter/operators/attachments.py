@@ -37,35 +37,44 @@ def _counted(pairs: Column) -> Column:
     return F.coalesce(F.concat(sized, once), F.array()).cast(_KEY_BYTES)
 
 
-def listing_pairs(names: Column, listing: Column) -> Column:
-    """Bytes of each listing entry, by the declared name that opens it.
-
-    The text is cut in front of every line ``- <declared name>:``; a piece then
-    holds the entry line, its continuation lines and the newlines joining them.
-    Names are tried longest first, so a name that prefixes another never wins
-    over it.
-    """
-    usable = F.filter(names, lambda n: n != "")
-    longest_first = F.transform(
-        F.sort_array(
-            F.transform(usable, lambda n: F.struct(-F.octet_length(n), n.alias("name"))),
+def names_pattern(names: Column) -> Column:
+    """The declared names as regex alternatives, longest first, so a name that
+    prefixes another never wins over it. NULL when none is usable."""
+    longest_first = F.sort_array(
+        F.transform(
+            F.filter(names, lambda n: n != ""), lambda n: F.struct(-F.octet_length(n), n.alias("name"))
+        )
+    )
+    quoted = F.transform(
+        longest_first,
+        lambda s: F.concat(
+            F.lit("\\Q"), F.replace(s["name"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
         ),
-        lambda s: F.concat(F.lit("\\Q"), F.replace(s["name"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")),
     )
-    any_name = F.array_join(longest_first, "|")
-    cut = F.concat(F.lit("(?:^|(?<=\\n))(?=- (?:"), any_name, F.lit("):)"))
-    opening = F.concat(F.lit("(?s)^- ("), any_name, F.lit("):"))
-    pieces = F.transform(
-        F.split(listing, cut),
-        lambda piece: _pair(
-            F.call_function("regexp_extract", piece, opening, F.lit(1)), F.octet_length(piece)
+    return F.nullif(F.array_join(quoted, "|"), F.lit(""))
+
+
+def listing_pieces(pattern: Column, listing: Column) -> Column:
+    """The listing cut in front of every line ``- <declared name>:``.
+
+    A piece then holds the entry line, its continuation lines and the newlines
+    joining them; text before the first entry stays a piece of its own.
+    """
+    cut = F.concat(F.lit("(?:^|(?<=\n))(?=- (?:"), pattern, F.lit("):)"))
+    return F.when(listing != "", F.split(listing, cut))
+
+
+def listing_pairs(pattern: Column, pieces: Column) -> Column:
+    """Bytes of each piece by the declared name that opens it."""
+    opening = F.concat(F.lit("(?s)^- ("), pattern, F.lit("):"))
+    pairs = F.zip_with(
+        pieces,
+        F.array_repeat(opening, F.size(pieces)),
+        lambda piece, regex: _pair(
+            F.call_function("regexp_extract", piece, regex, F.lit(1)), F.octet_length(piece)
         ),
     )
-    nothing = F.array().cast("array<struct<key: string, bytes: bigint>>")
-    return F.when(
-        (F.size(usable) > 0) & (F.coalesce(listing, F.lit("")) != ""),
-        F.filter(pieces, lambda p: p["key"] != ""),
-    ).otherwise(nothing)
+    return F.filter(pairs, lambda p: p["key"] != "")
 
 
 def paired(keys: Column, rendered: Column) -> Column:
@@ -87,37 +96,78 @@ def instruction_pairs(files: Column) -> Column:
     )
 
 
-def raw_keys(attachment: Column) -> Column:
-    """(dimension, key, bytes, events) entries of one raw attachment object."""
-    a = F.from_json(attachment, _PAYLOAD)
+def with_keys(rows: DataFrame, attachment: Column, out: str = "attachment_keys") -> DataFrame:
+    """``out``: (dimension, key, bytes, events) entries of a raw attachment.
+
+    Each step is a column of its own: an expression inlined into a per-element
+    function would be evaluated for every element. Tool records are left to
+    ``record_keys``.
+    """
+    a = F.col("_a")
     kind = F.coalesce(a["type"], F.lit(""))
     hook = kind.startswith("hook_") & (F.coalesce(a["hookName"], F.lit("")) != "")
+    is_listing = kind == "skill_listing"
     listing = F.when(
-        F.schema_of_variant(a["content"]) == "STRING",
+        is_listing & (F.schema_of_variant(a["content"]) == "STRING"),
         F.try_variant_get(a["content"], "$", "string"),
     )
-    # Whole entries are charged by their exact source text, which only this
-    # rare type needs; no other row is sent to Python.
-    record = F.when(F.contains(attachment, F.lit("deferred_tools_record")), attachment)
     shapes = (
-        ("hook_name", hook, F.array(_pair(a["hookName"], F.octet_length(attachment)))),
-        ("skill", kind == "skill_listing", listing_pairs(a["names"], listing)),
+        ("hook_name", hook, F.array(_pair(a["hookName"], F.octet_length("_raw")))),
+        ("skill", is_listing, listing_pairs(F.col("_names"), F.col("_pieces"))),
         ("mcp_tool", kind == "deferred_tools_delta", paired(a["addedNames"], a["addedLines"])),
         ("mcp_server", kind == "mcp_instructions_delta", paired(a["addedNames"], a["addedBlocks"])),
         ("agent", kind == "agent_listing_delta", paired(a["addedTypes"], a["addedLines"])),
         ("instruction_file", kind == "instructions", instruction_pairs(a["files"])),
-        ("mcp_tool", kind == "deferred_tools_record", payload.record_entry_bytes(record)),
     )
     dimension = pairs = F.lit(None)
     for name, matches, found in reversed(shapes):
         dimension = F.when(matches, F.lit(name)).otherwise(dimension)
         pairs = F.when(matches, found).otherwise(pairs)
-    return F.transform(
-        _counted(pairs),
-        lambda k: F.struct(dimension.alias("dimension"), k["key"], k["bytes"], k["events"]),
+    return (
+        rows.withColumn("_raw", attachment)
+        .withColumn("_a", F.from_json("_raw", _PAYLOAD))
+        .withColumn("_names", F.when(is_listing, names_pattern(a["names"])))
+        .withColumn("_pieces", listing_pieces(F.col("_names"), listing))
+        .withColumns({"_dimension": dimension, "_pairs": pairs})
+        .withColumn(
+            out,
+            F.transform(
+                _counted(F.col("_pairs")),
+                lambda k: F.struct(
+                    F.col("_dimension").alias("dimension"), k["key"], k["bytes"], k["events"]
+                ),
+            ),
+        )
+        .drop("_raw", "_a", "_names", "_pieces", "_dimension", "_pairs")
+    )
+
+
+def raw_record(attachment: Column) -> Column:
+    """The object itself where it is a tool record, else NULL. The substring
+    test spares every other object a second parse."""
+    maybe = F.when(F.contains(attachment, F.lit("deferred_tools_record")), attachment)
+    return F.when(F.get_json_object(maybe, "$.type") == "deferred_tools_record", attachment)
+
+
+def record_keys(rows: DataFrame, record: str, *keep: str) -> DataFrame:
+    """Key entries of tool records: whole entries, charged by their exact source
+    text. Only rows that hold a record reach the Python function."""
+    pairs = payload.record_entry_bytes(record)
+    return (
+        rows.filter(F.col(record).isNotNull())
+        .withColumn("_pairs", pairs)
+        .select(*keep, F.explode(_counted(F.col("_pairs"))).alias("k"))
+        .select(*keep, F.lit("mcp_tool").alias("dimension"), "k.*")
     )
 
 
+def key_rows(rows: DataFrame, attachment: Column, *keep: str) -> DataFrame:
+    """Every key entry of raw attachments, one row each."""
+    keyed = with_keys(rows, attachment).select(*keep, F.explode("attachment_keys").alias("k"))
+    records = rows.withColumn("_record", raw_record(attachment))
+    return keyed.select(*keep, "k.*").unionByName(record_keys(records, "_record", *keep))
+
+
 def by_type(attachments: DataFrame) -> DataFrame:
     return attachments.groupBy("type").agg(
         F.count(F.lit(1)).alias("attachment_events"), F.sum("bytes").alias("attachment_bytes")

@@ -52,16 +52,6 @@ def split_hot(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[Dat
     return cold, settle(rows.join(listed, list(keys), "left_semi"))
 
 
-def with_chunk(df: DataFrame, row_id: str, rows_per_chunk: int = 1 << 20) -> DataFrame:
-    """Order columns for a table that already has a scan-ordered row id."""
-    return df.withColumns(
-        {
-            "chunk": F.floor(F.col(row_id) / F.lit(rows_per_chunk)).cast("bigint"),
-            "pos": F.col(row_id).cast("bigint"),
-        }
-    )
-
-
 def _up_to_here(*keys, order):
     return (
         Window.partitionBy(*keys)

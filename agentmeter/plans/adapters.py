@@ -25,7 +25,7 @@ _SPARK = {
     "@bytes(": "octet_length(",
     "@sha256(input)": "sha2(input, 256)",
     "@rfc(ts)": "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")",
-    "@millis(ts)": "unix_millis(CAST(ts AS TIMESTAMP))",
+    "@millis(ts)": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', CAST(ts AS TIMESTAMP_NTZ))",
     "@nl": "'\\n'",
     "@explode(": "explode(",
     "@array(": "array(",

@@ -24,9 +24,7 @@ def corpus(t):
         "pos", F.lit(0).cast("bigint").alias("chunk"), F.lit("").alias("session"), F.lit("").alias("ts"),
         F.col("lang").alias("type"), F.octet_length("text").cast("bigint").alias("bytes"),
     )
-    keys = attached_objects(t).select(
-        "pos", F.lit("").alias("ts"), F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")
-    )
+    keys = attachments.key_rows(attached_objects(t), F.col("attachment"), "pos")
     return transcripts.Corpus(
         events=t.events,
         uses=t.uses,
@@ -34,7 +32,7 @@ def corpus(t):
         usage=t.usage,
         bills=t.bills,
         attachments=lines,
-        attachment_keys=keys.select("pos", "ts", "k.*"),
+        attachment_keys=keys.withColumn("ts", F.lit("")),
         manifest=transcripts.file_manifest(listing, transcripts.file_quality(rows)),
         side_files=t.spark.createDataFrame([], transcripts.SIDE_FILE_SCHEMA),
     )
@@ -554,10 +552,10 @@ def transcript_lines(t):
     return events.unionByName(documents)
 
 
-def write_transcripts(t, files: int = 8) -> str:
+def write_transcripts(t) -> str:
     """JSONL below the shared folder; file order is scan order."""
     path = scratch_path(t.spark, "transcripts")
-    ordered = transcript_lines(t).repartitionByRange(files, "pos").sortWithinPartitions("pos")
+    ordered = transcript_lines(t).repartitionByRange("pos").sortWithinPartitions("pos")
     ordered.select("line").write.text(path)
     return path
 

@@ -392,6 +392,7 @@ def _(t):
         .otherwise(F.to_json(F.struct(F.struct(text.alias("text")).alias("c"))))
     )
     value = F.try_variant_get(F.parse_json(shape), "$.c", "variant")
-    return t.table("documents").select("doc_id", content.measure(value).alias("m")).select(
+    opened = t.table("documents").select("doc_id", content.open_content(value).alias("c"))
+    return opened.select("doc_id", content.measure_opened(F.col("c")).alias("m")).select(
         "doc_id", "m.context_bytes", "m.image_bytes", "m.marker"
     )

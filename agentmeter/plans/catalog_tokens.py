@@ -298,9 +298,7 @@ def attached_objects(t):
 
 
 def _keys(t):
-    return attached_objects(t).select("pos", F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select(
-        "pos", "k.*"
-    )
+    return attachments.key_rows(attached_objects(t), F.col("attachment"), "pos")
 
 
 LISTING_SQL = f"""
@@ -352,9 +350,12 @@ def _(t):
 
 @query("listing_bytes", LISTING_SQL)
 def _(t):
-    pairs = attachments.listing_pairs(F.array(*[F.lit(n) for n in NAMES]), F.col("content"))
+    pattern = attachments.names_pattern(F.array(*[F.lit(n) for n in NAMES]))
+    pairs = attachments.listing_pairs(F.col("pattern"), F.col("pieces"))
     return (
         t.listings.filter("lang = 'en'")
+        .withColumn("pattern", pattern)
+        .withColumn("pieces", attachments.listing_pieces(F.col("pattern"), F.col("content")))
         .select("pos", F.lit("skill").alias("dimension"), F.explode(pairs).alias("p"))
         .groupBy("pos", "dimension", F.col("p.key").alias("key"))
         .agg(F.sum("p.bytes").alias("bytes"))

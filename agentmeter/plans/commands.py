@@ -755,6 +755,17 @@ def failures(
     return run.envelope("failures", metrics, warnings)
 
 
+def _withheld(denominators: DataFrame, *names: str) -> list[DataFrame]:
+    """A denominator nobody could count is omitted and said to be."""
+    return [
+        warning_rows(
+            denominators.filter(f"{name} is null"), "doctor", "withheld",
+            F.lit(f"{name} is omitted, not zero: no source was readable"), F.lit(name),
+        )
+        for name in names
+    ]
+
+
 def doctor(
     files: DataFrame,
     corpus: Corpus | None = None,
@@ -809,6 +820,7 @@ def doctor(
             _counted("a server source of host {} is unreadable: its set is partial", "host"),
             F.col("host"),
         ),
+        *_withheld(denominators, "skills_checked", "plugins_checked", "mcp_servers_checked"),
     ]
     sizes = files.filter("content is not null").agg(
         F.count(F.lit(1)).alias("files"),
@@ -1023,6 +1035,20 @@ def codex_tools(
             _counted("{} lines failed to decode", "parse_errors"),
         ),
     ]
+    if window.active:
+        warnings.append(
+            warning_rows(
+                live.filter("ts = ''").groupBy("type").agg(F.count(F.lit(1)).alias("n")),
+                "tools", "untimestamped_type",
+                _counted("{} {} events have no valid timestamp and fit no window", "n", "type"), F.col("type"),
+            )
+        )
+        warnings.append(
+            warning_rows(
+                spark.range(1), "tools", "window",
+                F.lit("inclusive UTC bounds restrict the counts; bytes and unmatched results remain whole-corpus"),
+            )
+        )
     header = quality.select(
         "files",
         listing_bytes.scalar().alias("bytes"),
@@ -1116,7 +1142,8 @@ def opencode_doctor(
         F.sum("skills_checked").alias("skills_checked"),
         F.sum("mcp_servers_checked").alias("mcp_servers_checked"),
     )
-    sessions = seen.agg(F.countDistinct("session").alias("tool_sessions"))
+    sessions = settle(seen.agg(F.countDistinct("session").alias("tool_sessions")))
+    visible = sessions.filter("tool_sessions > 0") if window.active else sessions
     metrics = [
         corpus_rows(
             denominators, "doctor", 0,
@@ -1126,7 +1153,7 @@ def opencode_doctor(
             audit.findings_per_key(found), "doctor", 1, F.col("dimension"), F.col("key"),
             _measures(("findings", "findings")),
         ),
-        corpus_rows(sessions, "doctor", 2, _measures(("tool_sessions", "sessions"))),
+        corpus_rows(visible, "doctor", 2, _measures(("tool_sessions", "sessions"))),
         unpivot(
             misses, "doctor", 3, "mcp_server", F.col("key"),
             _measures(("never_observed", "sessions"), ("unconfigured_observed", "sessions")),
@@ -1142,6 +1169,25 @@ def opencode_doctor(
             files.sparkSession.range(1), "doctor", "plugins_unavailable",
             F.lit("there is no plugin manifest to validate here: plugins_checked is omitted"),
         ),
+        warning_rows(
+            misses.filter("never_observed is not null"), "doctor", "never_observed",
+            _counted("{} is configured but none of {} sessions names it", "key", "never_observed"),
+            F.col("key"),
+        ),
+        warning_rows(
+            misses.filter("unconfigured_observed is not null"), "doctor", "unconfigured_observed",
+            _counted("{} is used by {} sessions but no server name prefixes it", "key", "unconfigured_observed"),
+            F.col("key"),
+        ),
+        warning_rows(
+            sessions.filter("tool_sessions = 0"), "doctor", "zero_denominator",
+            F.lit("no tool call was seen, so never_observed is not claimed"),
+        ),
+        warning_rows(
+            state.filter("is_partial"), "doctor", "partial_config",
+            _counted("a server source of host {} is unreadable: its set is partial", "host"), F.col("host"),
+        ),
+        *_withheld(denominators, "skills_checked", "mcp_servers_checked"),
     ]
     sizes = files.filter("content is not null").agg(
         F.count(F.lit(1)).alias("files"),

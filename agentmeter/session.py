@@ -15,6 +15,8 @@ def build_session(app: str = "agentmeter", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Settled rollups are deleted once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Plans here are built from thousands of column calls; recording a Python
         # call site for each of them costs more than planning them.
         "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -16,10 +16,10 @@ def list_level(batches):
     for batch in batches:
         rows = []
         for directory in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(directory) if ":" in directory else (
-                fs.LocalFileSystem(),
-                directory,
-            )
+            if ":" in directory:
+                system, inner = fs.FileSystem.from_uri(directory.replace("s3a:", "s3:", 1))
+            else:
+                system, inner = fs.LocalFileSystem(), directory
             prefix = directory[: len(directory) - len(inner)]
             for entry in system.get_file_info(fs.FileSelector(inner)):
                 is_dir = entry.type == fs.FileType.Directory

@@ -153,21 +153,21 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     event's own fields, and the raw regions are dropped. Stored once, each
     silver table is a column-pruned view of the result.
     """
-    parsed = lines.withColumn("m", F.from_json("message", model.MESSAGE_SCHEMA)).withColumn(
-        "hashes",
-        # Only messages that ask for a tool are sent to Python.
-        payload.message_input_hashes(
-            F.when(F.contains("message", F.lit('"tool_use"')), F.col("message"))
-        ),
+    attachment = F.when(
+        (F.col("type") == "attachment") & (F.coalesce("attachment", F.lit("")) != ""), F.col("attachment")
+    )
+    # Only messages that ask for a tool are sent to Python, before parsing
+    # makes the waiting rows wide.
+    asking = F.when(F.contains("message", F.lit('"tool_use"')), F.col("message"))
+    hashed = lines.withColumn("hashes", payload.message_input_hashes(asking))
+    parsed = attachment_ops.with_keys(hashed, attachment).withColumn(
+        "m", F.from_json("message", model.MESSAGE_SCHEMA)
     )
     answers = F.filter("m.content", lambda b: b["type"] == "tool_result")
     failed = F.filter(answers, lambda b: F.coalesce(b["is_error"], F.lit(False)))
     record = F.when(
         F.contains("toolUseResult", F.lit("persistedOutputPath")), F.try_parse_json("toolUseResult")
     )
-    attachment = F.when(
-        (F.col("type") == "attachment") & (F.coalesce("attachment", F.lit("")) != ""), F.col("attachment")
-    )
     kind = F.nullif(F.get_json_object(attachment, "$.type"), F.lit(""))
     return parsed.select(
         "chunk",
@@ -185,7 +185,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
         _text("attributionMcpTool").alias("mcp_tool"),
         *[F.col(c) for c in ("is_broken", "is_journal", "is_unknown") if c in lines.columns],
         _uses(F.col("m.content"), F.col("hashes")).alias("uses"),
-        F.transform(answers, _result).alias("results"),
+        _results(answers).alias("results"),
         F.size(answers).alias("event_results"),
         F.size(failed).alias("event_errors"),
         F.nullif(
@@ -209,7 +209,8 @@ def decode_lines(lines: DataFrame) -> DataFrame:
                 F.octet_length(attachment).cast("bigint").alias("bytes"),
             ),
         ).alias("attached"),
-        attachment_ops.raw_keys(attachment).alias("attachment_keys"),
+        "attachment_keys",
+        attachment_ops.raw_record(attachment).alias("tool_record"),
     )
 
 
@@ -222,7 +223,7 @@ def _uses(blocks: Column, hashes: Column) -> Column:
             i.cast("bigint").alias("idx"),
             F.coalesce(b["id"], F.lit("")).alias("use_id"),
             F.coalesce(b["name"], F.lit("")).alias("tool"),
-            F.coalesce(F.get(hashes, i), no_input).alias("hash"),
+            F.coalesce(F.when(hashes.isNotNull(), F.get(hashes, i)), no_input).alias("hash"),
             invoked_skill(b["name"], b["input"]).alias("invoked_skill"),
         ),
     )
@@ -235,12 +236,24 @@ def invoked_skill(tool: Column, tool_input: Column) -> Column:
     return F.nullif(skill, F.lit(""))
 
 
-def _result(block: Column, i: Column) -> Column:
-    return F.struct(
-        i.cast("bigint").alias("idx"),
-        F.coalesce(block["tool_use_id"], F.lit("")).alias("use_id"),
-        F.coalesce(block["is_error"], F.lit(False)).alias("is_error"),
-        content.measure(block["content"]).alias("measured"),
+def _results(answers: Column) -> Column:
+    """Two steps, so the content is taken apart once per block."""
+    opened = F.transform(
+        answers,
+        lambda b: F.struct(
+            F.coalesce(b["tool_use_id"], F.lit("")).alias("use_id"),
+            F.coalesce(b["is_error"], F.lit(False)).alias("is_error"),
+            content.open_content(b["content"]).alias("content"),
+        ),
+    )
+    return F.transform(
+        opened,
+        lambda r, i: F.struct(
+            i.cast("bigint").alias("idx"),
+            r["use_id"],
+            r["is_error"],
+            content.measure_opened(r["content"]).alias("measured"),
+        ),
     )
 
 
@@ -328,13 +341,17 @@ def attachment_rows(decoded: DataFrame) -> DataFrame:
 
 
 def attachment_key_rows(decoded: DataFrame) -> DataFrame:
-    return decoded.select("chunk", "pos", "ts", F.explode("attachment_keys").alias("k")).select(
-        "chunk", "pos", "ts", "k.*"
-    )
+    place = ("chunk", "pos", "ts")
+    keyed = decoded.select(*place, F.explode("attachment_keys").alias("k")).select(*place, "k.*")
+    return keyed.unionByName(attachment_ops.record_keys(decoded, "tool_record", *place))
 
 
 def read_corpus(
-    spark: SparkSession, directory: str, landing: str, glob: str = JSONL_GLOB
+    spark: SparkSession,
+    directory: str,
+    landing: str,
+    glob: str = JSONL_GLOB,
+    side_files: DataFrame | None = None,
 ) -> Corpus:
     """Decode a corpus once, store it below ``landing`` and view it as silver.
 
@@ -356,7 +373,7 @@ def read_corpus(
         attachments=attachment_rows(live),
         attachment_keys=attachment_key_rows(live),
         manifest=spark.read.schema(manifest.schema).parquet(f"{landing}/manifest"),
-        side_files=spark.createDataFrame([], SIDE_FILE_SCHEMA),
+        side_files=side_files or spark.createDataFrame([], SIDE_FILE_SCHEMA),
         directory=directory,
     )
 

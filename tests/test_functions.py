@@ -86,7 +86,7 @@ def test_money_and_ratios(spark):
 def keys_of(spark, *objects):
     rows = [(json.dumps(o, separators=(",", ":"), ensure_ascii=False) if isinstance(o, dict) else o,) for o in objects]
     df = spark.createDataFrame(rows, "attachment string")
-    keys = df.select(F.explode(attachments.raw_keys(F.col("attachment"))).alias("k")).select("k.*")
+    keys = attachments.key_rows(df, F.col("attachment"))
     return {(r.dimension, r.key): (r.attachment_bytes, r.attachment_events) for r in attachments.by_key(keys).collect()}
 
 
