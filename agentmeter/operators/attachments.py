@@ -163,7 +163,10 @@ def record_keys(rows: DataFrame, record: str, *keep: str) -> DataFrame:
 
 def key_rows(rows: DataFrame, attachment: Column, *keep: str) -> DataFrame:
     """Every key entry of raw attachments, one row each."""
-    keyed = with_keys(rows, attachment).select(*keep, F.explode("attachment_keys").alias("k"))
+    # explode would first filter on the array's size, and that filter is pushed
+    # to the scan with every step above inlined into it.
+    keyed = with_keys(rows, attachment).select(*keep, F.explode_outer("attachment_keys").alias("k"))
+    keyed = keyed.filter("k is not null")
     records = rows.withColumn("_record", raw_record(attachment))
     return keyed.select(*keep, "k.*").unionByName(record_keys(records, "_record", *keep))
 

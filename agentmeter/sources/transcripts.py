@@ -303,8 +303,9 @@ def event_rows(decoded: DataFrame) -> DataFrame:
 def use_rows(decoded: DataFrame) -> DataFrame:
     """``tool_use`` blocks with the attribution of the turn that asked."""
     return decoded.select(
-        "chunk", "pos", "file", "session", "ts", "skill", "plugin", "mcp_server", F.explode("uses").alias("u")
-    ).select(
+        "chunk", "pos", "file", "session", "ts", "skill", "plugin", "mcp_server",
+        F.explode_outer("uses").alias("u"),
+    ).filter("u is not null").select(
         "chunk", "pos", "u.idx", "file", "session", "ts", "u.use_id", "u.tool", "u.hash",
         "u.invoked_skill", "skill", "plugin", "mcp_server",
     )
@@ -314,8 +315,8 @@ def result_rows(decoded: DataFrame) -> DataFrame:
     """``tool_result`` blocks with their measures and the event's labels."""
     event = ("denial", "persisted_path", "persisted_size", "event_results", "event_errors")
     return decoded.select(
-        "chunk", "pos", "file", "session", "ts", *event, F.explode("results").alias("r")
-    ).select(
+        "chunk", "pos", "file", "session", "ts", *event, F.explode_outer("results").alias("r")
+    ).filter("r is not null").select(
         "chunk", "pos", "r.idx", "file", "session", "ts", "r.use_id", "r.measured.context_bytes",
         "r.measured.image_bytes", "r.measured.marker", "r.is_error", *event,
     )
@@ -342,7 +343,8 @@ def attachment_rows(decoded: DataFrame) -> DataFrame:
 
 def attachment_key_rows(decoded: DataFrame) -> DataFrame:
     place = ("chunk", "pos", "ts")
-    keyed = decoded.select(*place, F.explode("attachment_keys").alias("k")).select(*place, "k.*")
+    keyed = decoded.select(*place, F.explode_outer("attachment_keys").alias("k"))
+    keyed = keyed.filter("k is not null").select(*place, "k.*")
     return keyed.unionByName(attachment_ops.record_keys(decoded, "tool_record", *place))
 
 
