@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agentmeter.llm import simhash
+from agentmeter.llm import decontaminate, simhash
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,8 +15,20 @@ def op1_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.groups(table(spark, directory, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash,)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
