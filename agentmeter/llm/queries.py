@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentmeter.llm import decontaminate, packing, simhash
+from agentmeter.llm import decontaminate, packing, secrets, simhash
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,12 @@ def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, directory, "documents")))
 
 
+def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, directory, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontamination, op7_packing)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontamination, op7_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
