@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentmeter.llm import decontaminate, packing, secrets, simhash
+from agentmeter.llm import decontaminate, packing, quality, secrets, simhash
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.groups(table(spark, directory, "documents"))
 
 
+def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.classify(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = decontaminate.scan(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -36,7 +40,7 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontamination, op7_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op7_packing, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
