@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from agentmeter.llm import decontaminate, packing, quality, secrets, simhash
 from agentmeter.llm.common import table
 
@@ -39,9 +40,13 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, directory, "documents")))
 
 
+def pipeline(spark: SparkSession, directory: str) -> DataFrame:
+    return corpus_pipeline.run(spark, directory)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op7_packing, op10_secrets)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op7_packing, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
