@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import decontaminate, packing, quality, secrets, simhash
+from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, warc
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.round_trip(table(spark, directory, "pages"))
+
+
 def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, directory, "documents")))
 
@@ -45,7 +49,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op7_packing, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
