@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, warc
+from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, topk, warc
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,28 @@ def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, directory, "documents")))
 
 
+def op8_topk(spark: SparkSession, directory: str) -> DataFrame:
+    return topk.top(table(spark, directory, "embeddings"))
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, directory, "documents")))
 
@@ -49,8 +71,9 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op8_topk, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    stated = {"op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in stated.items() if sql}
