@@ -29,6 +29,17 @@ def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("body"))
 
 
+#: Bytes to lower-case word bytes or blanks.
+_FOLD = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
+
+
+def words(body: bytes | None) -> list[bytes]:
+    """Runs of ASCII letters, digits and all beyond ASCII, with A-Z in lower case."""
+    return (body or b"").translate(_FOLD).split()
+
+
 def per_row(function: Callable[[bytes | None], tuple], kinds: list[pa.DataType]):
     """A mapInArrow function over (key, body) that appends ``function(body)``'s values to each key."""
 

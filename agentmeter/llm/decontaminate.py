@@ -16,14 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agentmeter.llm.common import words as words_of
+
 WINDOW_WORDS = 10
 #: Bytes of item texts whose windows are broadcast at once.
 SLICE_BYTES = 4 << 20
 
-#: Bytes to lower-case word bytes or blanks.
-_FOLD = bytes(
-    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
-)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +38,7 @@ class Windows:
         self.vocabulary = _Vocabulary()
         found: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for name, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in text.translate(_FOLD).split()]
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             width = min(WINDOW_WORDS, len(words))
             for at in range(len(words) - width + 1 if words else 0):
                 found.setdefault(width, {}).setdefault(tuple(words[at : at + width]), set()).add(name)
@@ -120,7 +118,7 @@ def _scanner(windows):
         for batch in batches:
             rows = []
             for body, spans, items in zip(*(batch.column(c) for c in ("body", "spans", "items")), strict=True):
-                words = (body.as_py() or b"").translate(_FOLD).split()
+                words = words_of(body.as_py())
                 found, names = scan(words)
                 pairs = [(s["start"], s["end"]) for s in spans.as_py()] + found.tolist()
                 rows.append((len(words), _merged(pairs), sorted(names.union(items.as_py()))))

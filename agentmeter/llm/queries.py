@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, topk, warc
+from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, topk, toxicity, warc
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    return toxicity.score(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
 def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, directory, "documents")))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op8_topk, op10_secrets, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op8_topk, op9_toxicity, op10_secrets, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
