@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import decontaminate, packing, quality, secrets, simhash, topk, toxicity, warc
+from agentmeter.llm import chat, decontaminate, packing, quality, secrets, separators, simhash, topk, toxicity, warc
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,25 @@ def op2_quality(spark: SparkSession, directory: str) -> DataFrame:
     return quality.classify(table(spark, directory, "documents"), table(spark, directory, "labels"))
 
 
+def op3_chat(spark: SparkSession, directory: str) -> DataFrame:
+    return chat.collapse(table(spark, directory, "conversations"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY turn) AS said FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM c)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS copies
+  FROM c ANTI JOIN p USING (said) GROUP BY said
+)
+SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS segment, n_turns, copies, string_agg(
+    '<|im_start|>' || replace(coalesce(role, 'unknown'), '<|im_', '<| im_') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS rendered
+FROM kept JOIN t USING (conv_id) GROUP BY ALL
+"""
+
+
 def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     found = decontaminate.scan(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
     return found.select(
@@ -36,6 +55,10 @@ def op5_warc(spark: SparkSession, directory: str) -> DataFrame:
     return warc.round_trip(table(spark, directory, "pages"))
 
 
+def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return separators.counts(table(spark, directory, "documents"))
+
+
 def op7_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, directory, "documents")))
 
@@ -75,9 +98,24 @@ def pipeline(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op4_decontamination, op5_warc, op7_packing, op8_topk, op9_toxicity, op10_secrets, pipeline)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_simhash,
+            op2_quality,
+            op3_chat,
+            op4_decontamination,
+            op5_warc,
+            op6_token_counts,
+            op7_packing,
+            op8_topk,
+            op9_toxicity,
+            op10_secrets,
+            pipeline,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    stated = {"op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    stated = {"op3_chat": OP3_SQL, "op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in stated.items() if sql}

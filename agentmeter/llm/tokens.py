@@ -45,10 +45,14 @@ _PIECE = re.compile(
 
 
 class Encoder:
-    """Ids of whole texts, ``width`` bytes each; equal to the tokenizer's own."""
+    """Ids of whole texts, ``width`` bytes each; equal to the tokenizer's own.
 
-    def __init__(self, path: str, width: int = 4) -> None:
+    With ``plain`` the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, width: int = 4, plain: bool = False) -> None:
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = plain
         # array() writes in the machine's order, which is little-endian wherever Spark runs.
         self.kind, self.tokenizer = {2: "H", 4: "I"}[width], tokenizer
         # What the splitter does to the bytes of a piece before the model sees them.
@@ -99,9 +103,9 @@ class _Pieces(dict):
 
 
 @cache
-def encoder(path: str, width: int = 4) -> Encoder:
+def encoder(path: str, width: int = 4, plain: bool = False) -> Encoder:
     """One encoder for each Python worker, so that what it remembers serves the next task too."""
-    return Encoder(path, width)
+    return Encoder(path, width, plain)
 
 
 def default_path() -> str:
