@@ -1,15 +1,11 @@
 """Order-dependent operators that stay bounded when one key is huge.
 
-A window over a key sorts everything that key owns in one task. That is right
-for ordinary keys and takes one shuffle, so they all go that way. Keys with
-more than ``hot_rows`` rows are found by a combined count first and take a
-second, exact way: rows carry ``chunk`` (any orderable value, monotone with
-scan order and holding a bounded number of rows: a file split, a range of row
-ids) and ``pos``/``idx`` inside it, the window runs over (key, chunk), and only
-one summary row per chunk crosses chunks.
-
-The count decides the plan: while no key is hot, the second way is not even
-part of it.
+A window over a key would sort everything that key owns in one task. Rows carry
+``chunk`` (any orderable value, monotone with scan order and holding a bounded
+number of rows: a file split, a range of row ids) and ``pos``/``idx`` inside it.
+Every window over rows runs over (key, chunk), for every key alike; one summary
+row per chunk crosses chunks and comes back by a join on (key, chunk), which is the
+partitioning the rows already have. So wide rows are shuffled once.
 """
 
 from collections.abc import Sequence
@@ -17,39 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentmeter.session import settle
-
 ORDER = ("chunk", "pos", "idx")
-HOT_ROWS = 1 << 20
-BROADCAST_KEYS = 1 << 20
-
-
-def hot_keys(
-    population: DataFrame, keys: Sequence[str], hot_rows: int | None = None
-) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows, or None when there are none."""
-    limit = hot_rows or int(
-        population.sparkSession.conf.get("spark.agentmeter.hotRows", str(HOT_ROWS))
-    )
-    hot = (
-        population.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .select(*keys)
-    )
-    return None if hot.isEmpty() else settle(hot)
-
-
-def split_hot(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(ordinary rows, rows of hot keys). Keys must not be NULL.
-
-    The list is broadcast only after its size is checked; a longer one is
-    joined whichever way Spark finds best. Rows of hot keys are read several
-    times from here on, so they are settled.
-    """
-    listed = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
-    cold = rows.join(listed, list(keys), "left_anti")
-    return cold, settle(rows.join(listed, list(keys), "left_semi"))
 
 
 def _up_to_here(*keys, order):
@@ -60,9 +24,7 @@ def _up_to_here(*keys, order):
     )
 
 
-def latest_before(
-    sources: DataFrame, probes: DataFrame, key: str, hit: str, hot_rows: int | None = None
-) -> DataFrame:
+def latest_before(sources: DataFrame, probes: DataFrame, key: str, hit: str) -> DataFrame:
     """Each probe with the latest earlier source row of the same key.
 
     A source in the same position counts as earlier. Probes keep every row;
@@ -77,80 +39,51 @@ def latest_before(
     probe_rows = probes.select(
         name, *ORDER, F.lit(1).alias("_side"), F.struct(*carried).alias("_probe")
     )
-    rows = source_rows.unionByName(probe_rows, allowMissingColumns=True)
-    keep = [F.col(key), *[F.col(c) for c in ORDER], F.col("_probe.*"), F.col(hit)]
-    whole_key = _up_to_here(key, order=("chunk", "pos", "_side", "idx"))
-
-    def plain(part):
-        answered = part.withColumn(hit, F.last("_source", ignorenulls=True).over(whole_key))
-        return answered.filter("_side = 1").select(*keep)
-
-    hot = hot_keys(sources.select(name).unionAll(probes.select(name)), [key], hot_rows)
-    if hot is None:
-        return plain(rows)
-    cold_rows, hot_part = split_hot(rows, hot, [key])
-    return plain(cold_rows).unionByName(_latest_before_chunked(hot_part, key, hit).select(*keep))
-
-
-def _latest_before_chunked(rows: DataFrame, key: str, hit: str) -> DataFrame:
     in_chunk = _up_to_here(key, "chunk", order=("pos", "_side", "idx"))
-    local = rows.withColumn(hit, F.last("_source", ignorenulls=True).over(in_chunk)).filter(
-        "_side = 1"
-    )
-    # What each chunk hands on: its last source. A chunk's probes see the
-    # sources of strictly earlier chunks, so side 0 asks before side 1 answers.
-    tails = (
-        rows.filter("_side = 0")
-        .groupBy(key, "chunk")
-        .agg(F.max_by("_source", F.struct("pos", "idx")).alias("_source"))
-        .withColumn("_side", F.lit(1))
+    local = (
+        source_rows.unionByName(probe_rows, allowMissingColumns=True)
+        .withColumn("_local", F.last("_source", ignorenulls=True).over(in_chunk))
+        .filter("_side = 1")
+    )
+    # What each chunk hands on is its last source; a chunk's probes see the
+    # sources of strictly earlier chunks, so asking comes before answering.
+    tails = source_rows.groupBy(key, "chunk").agg(
+        F.max_by("_source", F.struct("pos", "idx")).alias("_tail")
+    )
+    asking = probes.select(name, "chunk").distinct()
+    line = tails.withColumn("_turn", F.lit(1)).unionByName(
+        asking.withColumn("_turn", F.lit(0)), allowMissingColumns=True
+    )
+    carry = (
+        line.withColumn(
+            "_carry",
+            F.last("_tail", ignorenulls=True).over(_up_to_here(key, order=("chunk", "_turn"))),
+        )
+        .filter("_turn = 0")
+        .select(key, "chunk", "_carry")
     )
-    asking = local.filter(F.col(hit).isNull()).select(key, "chunk").distinct()
-    line = tails.unionByName(
-        asking.withColumn("_side", F.lit(0)), allowMissingColumns=True
-    ).withColumn(
-        "_carry",
-        F.last("_source", ignorenulls=True).over(_up_to_here(key, order=("chunk", "_side"))),
+    return local.join(carry, [key, "chunk"], "left").select(
+        F.col(key), *[F.col(c) for c in ORDER], F.col("_probe.*"), F.coalesce("_local", "_carry").alias(hit)
     )
-    carry = line.filter("_side = 0").select(key, "chunk", "_carry")
-    return local.join(carry, [key, "chunk"], "left").withColumn(hit, F.coalesce(hit, "_carry"))
 
 
 def fill_forward(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    out: str,
-    order: Sequence[str] = ("pos",),
-    hot_rows: int | None = None,
+    rows: DataFrame, keys: Sequence[str], value: Column, out: str, order: Sequence[str] = ("pos",)
 ) -> DataFrame:
     """Last non-NULL ``value`` at or before each row. Keys must not be NULL."""
-    whole_key = _up_to_here(*keys, order=("chunk", *order))
-
-    def plain(part):
-        return part.withColumn(out, F.last("_value", ignorenulls=True).over(whole_key)).drop("_value")
-
     valued = rows.withColumn("_value", value)
-    hot = hot_keys(rows, keys, hot_rows)
-    if hot is None:
-        return plain(valued)
-    cold, hot_part = split_hot(valued, hot, keys)
-    filled = plain(cold)
-
     in_chunk = _up_to_here(*keys, "chunk", order=order)
-    local = hot_part.withColumn("_local", F.last("_value", ignorenulls=True).over(in_chunk))
-    chunks = hot_part.groupBy(*keys, "chunk").agg(
-        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail")
-    )
-    carry = chunks.select(
-        *keys, "chunk", F.last("_tail", ignorenulls=True).over(_before(*keys)).alias("_carry")
+    local = valued.withColumn("_local", F.last("_value", ignorenulls=True).over(in_chunk))
+    carry = (
+        valued.groupBy(*keys, "chunk")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail"))
+        .select(*keys, "chunk", F.last("_tail", ignorenulls=True).over(_before(*keys)).alias("_carry"))
     )
-    chunked = (
+    return (
         local.join(carry, [*keys, "chunk"], "left")
         .withColumn(out, F.coalesce("_local", "_carry"))
-        .select(*filled.columns)
+        .select(*rows.columns, out)
     )
-    return filled.unionByName(chunked)
 
 
 def _before(*keys):
@@ -162,7 +95,7 @@ def _before(*keys):
 def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1-based position inside each key, in (chunk, order). Keys must not be NULL.
 
-    Always counted per chunk: ranks inside a chunk plus the rows before it.
+    Counted per chunk: ranks inside a chunk plus the rows before it.
     """
     local = rows.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy(*order))
@@ -179,27 +112,6 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
 
 
-def collapse_runs(
-    rows: DataFrame,
-    keys: Sequence[str],
-    state: Sequence[str],
-    sums: Sequence[str],
-    population: DataFrame | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Maximal runs of consecutive rows with equal state inside each key.
-
-    One row per run: keys, state, ``chunk``/``pos`` of its first row, and the
-    summed measures. ``population`` is a cheaper table with at least as many
-    rows of each key, used to find the hot ones. Keys must not be NULL.
-    """
-    hot = hot_keys(rows if population is None else population, keys, hot_rows)
-    if hot is None:
-        return _runs(rows, keys, state, sums)
-    cold, hot_part = split_hot(rows, hot, keys)
-    return _runs(cold, keys, state, sums).unionByName(_runs_chunked(hot_part, keys, state, sums))
-
-
 def _numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: Sequence[str]) -> DataFrame:
     same = F.struct(*state)
     ordered = Window.partitionBy(*keys).orderBy(*order)
@@ -209,19 +121,16 @@ def _numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], s
     )
 
 
-def _runs(rows, keys, state, sums) -> DataFrame:
-    first = F.min(F.struct("chunk", "pos")).alias("_first")
-    return (
-        _numbered_runs(rows, keys, ORDER, state)
-        .groupBy(*keys, "_run", *state)
-        .agg(first, *[F.sum(c).alias(c) for c in sums])
-        .select(*keys, *state, "_first.chunk", "_first.pos", *sums)
-    )
-
+def collapse_runs(
+    rows: DataFrame, keys: Sequence[str], state: Sequence[str], sums: Sequence[str]
+) -> DataFrame:
+    """Maximal runs of consecutive rows with equal state inside each key.
 
-def _runs_chunked(rows, keys, state, sums) -> DataFrame:
-    """Runs inside each chunk, then stitching. Only the first and the last run
-    of a chunk can continue in another one, so only those meet."""
+    One row per run: keys, state, ``chunk``/``pos`` of its first row, and the
+    summed measures. Keys must not be NULL. Runs are found inside each chunk and
+    then stitched: only the first and the last run of a chunk can continue in
+    another one, so only those meet.
+    """
     runs = (
         _numbered_runs(rows, [*keys, "chunk"], ("pos", "idx"), state)
         .groupBy(*keys, "chunk", "_run", *state)

@@ -393,7 +393,7 @@ class Tables:
         second = F.lpad(F.col("turn").cast("string"), 9, "0")
         return rows.select(
             "file",
-            F.lit(0).cast("bigint").alias("chunk"),
+            F.floor(F.col("pos") / ROWS_PER_CHUNK).alias("chunk"),
             F.col("pos").cast("bigint").alias("pos"),
             "type",
             F.concat(F.lit("2024-01-01T02:00:00."), second, F.lit("+02:00")).alias("timestamp"),
