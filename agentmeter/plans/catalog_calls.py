@@ -42,11 +42,15 @@ def _(t):
     return call_ops.unmatched(t.calls).select("pos", "idx", "use_id", "session")
 
 
-@query(
-    "unanswered_uses",
-    f"""SELECT DISTINCT use_id FROM uses WHERE {IN_JAN}
-        AND use_id NOT IN (SELECT use_id FROM calls WHERE matched)""",
-)
+UNANSWERED_SQL = "SELECT DISTINCT use_id FROM uses WHERE use_id NOT IN (SELECT use_id FROM calls WHERE matched)"
+
+
+@query("unanswered_uses", UNANSWERED_SQL)
+def _(t):
+    return call_ops.unanswered(t.uses, t.calls, every())
+
+
+@query("unanswered_uses_in_window", f"{UNANSWERED_SQL} AND {IN_JAN}")
 def _(t):
     return call_ops.unanswered(t.uses, t.calls, january())
 
@@ -447,14 +451,20 @@ def _(t):
     return failures.numbered_loops(loops).select("key", "streak")
 
 
-@query(
-    "repeated_failures",
-    f"""SELECT tool, hash, tool || '/' || hash AS key, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors,
+def _repeated_sql(window: str = "true") -> str:
+    return f"""SELECT tool, hash, tool || '/' || hash AS key, count(*) AS calls, count(*) FILTER (WHERE is_error) AS errors,
               count(*) FILTER (WHERE is_error AND denial = '') AS failures,
               count(*) FILTER (WHERE is_error AND denial <> '') AS denied,
               count(DISTINCT session) FILTER (WHERE is_error) AS error_sessions
-        FROM calls WHERE matched AND {IN_JAN} GROUP BY tool, hash HAVING error_sessions >= 2""",
-)
+        FROM calls WHERE matched AND {window} GROUP BY tool, hash HAVING error_sessions >= 2"""
+
+
+@query("repeated_failures", _repeated_sql())
+def _(t):
+    return failures.repeated_failures(failures.call_outcomes(t.matched, every()))
+
+
+@query("repeated_failures_in_window", _repeated_sql(IN_JAN))
 def _(t):
     return failures.repeated_failures(failures.call_outcomes(t.matched, january()))
 

@@ -244,17 +244,26 @@ def _(t):
     return top.withColumn("place", F.col("place").cast("bigint"))
 
 
+WINDOWS = {"whole": TimeWindow(), "january": TimeWindow("2024-01-10", "2024-01-20"), "beyond": TimeWindow(since="2031-01-01")}
+
+
 @query(
     "windowed_totals_omitted",
-    """SELECT NULL::BIGINT AS responses WHERE 1 = 0""",
+    f"""SELECT win, count(DISTINCT message_id) AS responses FROM (
+            SELECT 'whole' AS win, message_id FROM usage
+            UNION ALL SELECT 'january', message_id FROM usage WHERE {IN_JAN}
+            UNION ALL SELECT 'beyond', message_id FROM usage WHERE ts >= '2031-01-01') GROUP BY win""",
 )
 def _(t):
-    """A window beyond the data: the figure is omitted, not zero."""
-    window = TimeWindow(since="2031-01-01")
-    inside = window.includes(F.col("ts"))
-    placed = t.events.agg(F.count_if(inside & (F.col("ts") != "")) > 0)
-    totals = attribute.totals(attribute.rollup(attribute.distinct_responses(t.usage.filter(inside))))
-    return totals.filter(placed.scalar()).select("responses")
+    """Responses in each window; where a window holds no event the figure is omitted, not zero."""
+    rows = None
+    for name, window in WINDOWS.items():
+        inside = window.includes(F.col("ts"))
+        placed = t.events.agg(F.count_if(inside) > 0)
+        totals = attribute.totals(attribute.rollup(attribute.distinct_responses(t.usage.filter(inside))))
+        one = totals.filter(placed.scalar()).select(F.lit(name).alias("win"), "responses")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 # --- attachments -------------------------------------------------------------
@@ -266,7 +275,6 @@ NAME_LIST = "[" + ", ".join(f"'{n}'" for n in NAMES) + "]"
 def attached_objects(t):
     """Every document as one raw attachment object, its shape by language."""
     lines = F.split("text", "\n")
-    keys = F.transform(lines, lambda s: F.substring(s, 1, 6))
     tail = F.slice(lines, F.lit(2), F.size(lines))
     string_array = F.array(*[F.lit(n) for n in NAMES])
     field = lambda when, value: F.when(F.col("lang") == when, value)
@@ -280,7 +288,7 @@ def attached_objects(t):
             field("es", F.col("source")).alias("hookName"),
             field("en", string_array).alias("names"),
             field("en", F.col("content")).alias("content"),
-            field("fr", keys).alias("addedNames"),
+            field("fr", lines).alias("addedNames"),
             field("fr", tail).alias("addedLines"),
             field(
                 "de",
@@ -317,7 +325,7 @@ LISTING_SQL = f"""
 KEYED_SQL = f"""
     {LISTING_SQL}
     UNION ALL
-    SELECT pos, 'mcp_tool', substr(line, 1, 6), CAST(sum(strlen(coalesce(nxt, substr(line, 1, 6)))) AS BIGINT)
+    SELECT pos, 'mcp_tool', line, CAST(sum(strlen(coalesce(nxt, line))) AS BIGINT)
     FROM (SELECT pos, line, lead(line) OVER (PARTITION BY pos ORDER BY i) AS nxt FROM (
               SELECT pos, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
               FROM listings WHERE lang = 'fr'))
@@ -348,13 +356,12 @@ def _(t):
     return attachments.by_key(_keys(t))
 
 
-@query("listing_bytes", LISTING_SQL)
+@query("listing_bytes", LISTING_SQL.replace("WHERE lang = 'en'", ""))
 def _(t):
     pattern = attachments.names_pattern(F.array(*[F.lit(n) for n in NAMES]))
     pairs = attachments.listing_pairs(F.col("pattern"), F.col("pieces"))
     return (
-        t.listings.filter("lang = 'en'")
-        .withColumn("pattern", pattern)
+        t.listings.withColumn("pattern", pattern)
         .withColumn("pieces", attachments.listing_pieces(F.col("pattern"), F.col("content")))
         .select("pos", F.lit("skill").alias("dimension"), F.explode(pairs).alias("p"))
         .groupBy("pos", "dimension", F.col("p.key").alias("key"))

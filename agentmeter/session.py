@@ -30,8 +30,8 @@ def build_session(app: str = "agentmeter", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) is a private temporary folder used instead.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session, whose
+    executors share the driver's disk, gets a temporary folder where nothing is set.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -40,7 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
+    if not configured:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        configured = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
