@@ -144,8 +144,9 @@ def with_keys(rows: DataFrame, attachment: Column, out: str = "attachment_keys")
 
 def raw_record(attachment: Column) -> Column:
     """The object itself where it is a tool record, else NULL. The substring
-    test spares every other object a second parse."""
-    maybe = F.when(F.contains(attachment, F.lit("deferred_tools_record")), attachment)
+    test, which lets escaped spellings through, spares other objects a second parse."""
+    named = F.contains(attachment, F.lit("deferred_tools_record")) | F.contains(attachment, F.lit("\\u"))
+    maybe = F.when(named, attachment)
     return F.when(F.get_json_object(maybe, "$.type") == "deferred_tools_record", attachment)
 
 

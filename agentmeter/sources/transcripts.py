@@ -146,6 +146,11 @@ class Corpus:
     directory: str = ""
 
 
+def _may_hold(json: str, text: str) -> Column:
+    """Whether a JSON text can hold ``text``: as it is, or with escapes in it."""
+    return F.contains(json, F.lit(text)) | F.contains(json, F.lit("\\u"))
+
+
 def decode_lines(lines: DataFrame) -> DataFrame:
     """Everything any command needs from a line, decoded in one pass.
 
@@ -158,7 +163,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     )
     # Only messages that ask for a tool are sent to Python, before parsing
     # makes the waiting rows wide.
-    asking = F.when(F.contains("message", F.lit('"tool_use"')), F.col("message"))
+    asking = F.when(_may_hold("message", '"tool_use"'), F.col("message"))
     hashed = lines.withColumn("hashes", payload.message_input_hashes(asking))
     parsed = attachment_ops.with_keys(hashed, attachment).withColumn(
         "m", F.from_json("message", model.MESSAGE_SCHEMA)
@@ -166,7 +171,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     answers = F.filter("m.content", lambda b: b["type"] == "tool_result")
     failed = F.filter(answers, lambda b: F.coalesce(b["is_error"], F.lit(False)))
     record = F.when(
-        F.contains("toolUseResult", F.lit("persistedOutputPath")), F.try_parse_json("toolUseResult")
+        _may_hold("toolUseResult", "persistedOutputPath"), F.try_parse_json("toolUseResult")
     )
     kind = F.nullif(F.get_json_object(attachment, "$.type"), F.lit(""))
     return parsed.select(
