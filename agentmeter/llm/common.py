@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentmeter.session import scratch_path
@@ -24,11 +24,48 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that Spark hands to Python at once; a longer row is a batch by itself.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session cut Arrow batches by size: ten thousand whole texts may be more than a worker can hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, body): the text as UTF-8 bytes, null as it is; every other column is left behind."""
+    small_batches(df.sparkSession)
     return df.select(F.col(key).alias("key"), F.col(text).cast("string").cast("binary").alias("body"))
 
 
+def opened(df: DataFrame, text: str) -> DataFrame:
+    """(row, body): the text by itself, and all other columns packed away from clashing names."""
+    small_batches(df.sparkSession)
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns) if c != text]
+    return df.select(F.struct(F.lit(0).alias("none"), *others).alias("row"), F.col(f"`{text}`").cast("string").alias("body"))
+
+
+def closed(df: DataFrame, text: str, new: Column | None = None, length: str | None = None) -> list[Column]:
+    """The columns of ``df`` out of (row, body) again; ``new``, where it isn't null, replaces the text.
+
+    ``length`` (where there is such a column) then follows the text.
+    """
+    columns = []
+    for i, c in enumerate(df.columns):
+        value = F.col("body") if c == text else F.col("row")[f"c{i}"]
+        if new is not None and c == text:
+            value = F.coalesce(new, value)
+        elif new is not None and c == length:
+            value = F.coalesce(F.char_length(new).cast(df.schema[c].dataType), value)
+        columns.append(value.alias(c))
+    return columns
+
+
+def bodies(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("body").cast(pa.binary()).to_pylist()
+
+
 #: Bytes to lower-case word bytes or blanks.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)

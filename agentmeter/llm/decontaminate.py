@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agentmeter.llm.common import bodies, closed, opened
 from agentmeter.llm.common import words as words_of
 
 WINDOW_WORDS = 10
@@ -117,10 +118,10 @@ def _scanner(windows):
         scan = windows.value.scan
         for batch in batches:
             rows = []
-            for body, spans, items in zip(*(batch.column(c) for c in ("body", "spans", "items")), strict=True):
-                words = words_of(body.as_py())
+            for body, spans, items in zip(bodies(batch), batch.column("spans"), batch.column("items"), strict=True):
+                words = words_of(body)
                 found, names = scan(words)
-                pairs = [(s["start"], s["end"]) for s in spans.as_py()] + found.tolist()
+                pairs = [(s["start"], s["end"]) for s in spans.as_py()] + [tuple(f) for f in found.tolist()]
                 rows.append((len(words), _merged(pairs), sorted(names.union(items.as_py()))))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -140,10 +141,10 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _scanned(documents: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
-    """(row, body, n_words, spans, items): row is the whole input row, spans are in words."""
-    out = documents.select(
-        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
-        F.col(text).cast("string").cast("binary").alias("body"),
+    """(row, body, n_words, spans, items) of every document; spans are in words."""
+    out = opened(documents, text).select(
+        "row",
+        "body",
         F.lit(0).cast("long").alias("n_words"),
         F.expr("CAST(array() AS array<struct<start: long, end: long>>)").alias("spans"),
         F.expr("CAST(array() AS array<string>)").alias("items"),
@@ -173,7 +174,7 @@ def scan(
     slim = documents.select(key, text)
     width = F.transform("spans", lambda s: s["end"] - s["start"])
     return _scanned(slim, text, benchmark, item, item_text).select(
-        F.col("row")[key].alias(key),
+        closed(slim, text)[0],
         "n_words",
         F.aggregate(width, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_hit"),
         "items",
@@ -194,14 +195,13 @@ def _without(body: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cleaned, left = [], []
-        for body, n_words, spans in zip(*(batch.column(c) for c in ("body", "n_words", "spans")), strict=True):
+        for body, n_words, spans in zip(bodies(batch), batch.column("n_words"), batch.column("spans"), strict=True):
             pairs = [(s["start"], s["end"]) for s in spans.as_py()]
-            value = body.as_py()
-            cleaned.append(_without(value, pairs).decode("utf-8", "replace") if pairs else None)
+            cleaned.append(_without(body, pairs).decode("utf-8", "replace") if pairs else None)
             left.append(n_words.as_py() - sum(b - a for a, b in pairs))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(cleaned, pa.string()), pa.array(left, pa.int64())],
-            names=["row", "cleaned", "left"],
+            [batch.column("row"), batch.column("body"), pa.array(cleaned, pa.string()), pa.array(left, pa.int64())],
+            names=["row", "body", "cleaned", "left"],
         )
 
 
@@ -219,14 +219,6 @@ def remove(
     its text is null or empty. ``length`` (where there is such a column) follows the text.
     """
     scanned = _scanned(documents, text, benchmark, item, item_text)
-    row = f"row {documents.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}"
-    cut = scanned.mapInArrow(_remover, f"{row}, cleaned string, left long").where("cleaned IS NULL OR left > 0")
-    columns = []
-    for c in documents.columns:
-        value = F.col("row")[c]
-        if c == text:
-            value = F.coalesce("cleaned", value)
-        elif c == length:
-            value = F.coalesce(F.char_length("cleaned").cast(documents.schema[c].dataType), value)
-        columns.append(value.alias(c))
-    return cut.select(*columns)
+    row = scanned.schema["row"].dataType.simpleString()
+    cut = scanned.mapInArrow(_remover, f"row {row}, body string, cleaned string, left long")
+    return cut.where("cleaned IS NULL OR left > 0").select(*closed(documents, text, F.col("cleaned"), length))

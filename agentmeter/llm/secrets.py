@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import texts
+from agentmeter.llm.common import bodies, closed, opened, small_batches, texts
 
 KINDS = ("assign", "access", "hex", "random")
 KEY_SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -116,6 +116,7 @@ def train(documents: DataFrame, text: str = "text") -> np.ndarray:
     Both models are smoothed with half a count. The counts of random strings mix in one
     uniform transition for each pair of classes seen together in no sample.
     """
+    small_batches(documents.sparkSession)
     body = documents.select(F.col(text).cast("string").cast("binary").alias("body"))
     rows = body.mapInArrow(_count, "random boolean, pair long, n long").groupBy("random", "pair").agg(F.sum("n"))
     counts = np.zeros((2, CLASSES, CLASSES))
@@ -228,11 +229,12 @@ def _redactor(ratio: np.ndarray, rule: Rule, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for scalar in batch.column("body"):
-                body = scalar.as_py()
+            for body in bodies(batch):
                 spans = [(a, b) for a, _, b in find(body, ratio, rule)]
                 out.append(_cut(body.decode("utf-8", "replace"), spans, mark) if spans else None)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "clean"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("body"), pa.array(out, pa.string())], names=["row", "body", "clean"]
+            )
 
     return run
 
@@ -250,21 +252,10 @@ def redact(
     empty text. ``length`` (where there is such a column) follows the text.
     """
     ratio = train(documents, text)
-    whole = documents.select(
-        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"),
-        F.col(text).cast("string").cast("binary").alias("body"),
-    )
+    whole = opened(documents, text)
     row = whole.schema["row"].dataType.simpleString()
-    clean = whole.mapInArrow(_redactor(ratio, rule or Rule(), mark), f"row {row}, clean string")
-    columns = []
-    for c in documents.columns:
-        value = F.col("row")[c]
-        if c == text:
-            value = F.coalesce("clean", value)
-        elif c == length:
-            value = F.coalesce(F.char_length("clean").cast(documents.schema[c].dataType), value)
-        columns.append(value.alias(c))
-    return clean.select(*columns)
+    clean = whole.mapInArrow(_redactor(ratio, rule or Rule(), mark), f"row {row}, body string, clean string")
+    return clean.select(*closed(documents, text, F.col("clean"), length))
 
 
 def digests(spans: DataFrame, key: str = "doc_id") -> DataFrame:

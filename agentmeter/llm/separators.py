@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentmeter.llm import tokens
-from agentmeter.llm.common import texts
+from agentmeter.llm.common import small_batches
 from agentmeter.session import scratch_path
 
 END_ID = 49407
@@ -40,6 +40,7 @@ def write(documents: DataFrame, path: str, text: str = "text", vocabulary: str |
     Null and empty texts are documents without tokens. The line end of Spark's text files
     serves as the separator.
     """
+    small_batches(documents.sparkSession)
     bodies = documents.select(F.col(text).cast("string").cast("binary").alias("body"))
     (
         bodies.mapInArrow(_tokenizer(vocabulary or tokens.default_path()), "ids binary")
@@ -88,6 +89,7 @@ def scan(spark: SparkSession, path: str, end_id: int = END_ID, block: int = BLOC
     """
     if block % WIDTH:
         raise ValueError("a block must hold whole ids")
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).where("length > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block).cast("long"))
     cut = F.transform(

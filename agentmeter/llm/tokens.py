@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces remembered by a Python worker; beyond it the memory starts anew.
-PIECES = 800_000
+PIECES = 300_000
 
 
 _SIGNS = bytes(range(256)).decode("latin-1")

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import land
+from agentmeter.llm.common import land, small_batches
 from agentmeter.session import scratch_path
 
 FRAME_BYTES = 1 << 20
@@ -179,6 +179,7 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     empty one, a null URL is about:blank. Rows that repeat are archived as often as they
     came. Other columns are ignored; no rows give no bundles.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(key).alias("key"),
         F.col(url).cast("string").alias("url"),
@@ -248,6 +249,7 @@ def read(spark: SparkSession, path: str, wanted: list[str] | None = None) -> Dat
 
     With ``wanted``, a short list of keys, only the frames that hold those records are unpacked.
     """
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(None if wanted is None else frozenset(wanted)), _FIELDS)
 
