@@ -122,11 +122,11 @@ def features(body: bytes | None, lexicon: Lexicon) -> list[float]:
         float(len(words)),
         float(len(at)),
         len(at) / n,
-        sum(weights),
+        float(sum(weights)),
         max(weights, default=0.0),
         float(len(of_stem)),
         len(of_stem) / n,
-        sum(of_stem),
+        float(sum(of_stem)),
         float(near),
         len(you) / n,
         (size - len(body.translate(None, _CAPITALS))) / size if body else 0.0,
