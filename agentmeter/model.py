@@ -166,6 +166,21 @@ MESSAGE_SCHEMA = """
         tool_use_id: STRING, content: VARIANT, is_error: BOOLEAN>>
 """
 
+#: The blocks of a message with their content read as one JSON type, NULL where it is another.
+CONTENT_READINGS = {
+    kind: f"""content ARRAY<STRUCT<
+        type: STRING, id: STRING, name: STRING, input: STRING,
+        tool_use_id: STRING, content: {spelled}, is_error: BOOLEAN>>"""
+    for kind, spelled in {
+        "blocks": "ARRAY<STRUCT<type: STRING, text: STRING, source: STRUCT<data: STRING>>>",
+        "text": "STRING",
+        "array": "ARRAY<STRING>",
+        "object": "MAP<STRING, STRING>",
+        "number": "DOUBLE",
+        "truth": "BOOLEAN",
+    }.items()
+}
+
 MODEL_USAGE_SCHEMA = """
     MAP<STRING, STRUCT<
         inputTokens: BIGINT, outputTokens: BIGINT, thinkingTokens: BIGINT,

@@ -168,7 +168,9 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     parsed = attachment_ops.with_keys(hashed, attachment).withColumn(
         "m", F.from_json("message", model.MESSAGE_SCHEMA)
     )
-    answers = F.filter("m.content", lambda b: b["type"] == "tool_result")
+    blocks = _message_blocks()
+    parsed = parsed.withColumn("blocks", blocks)
+    answers = F.filter("blocks", lambda b: b["type"] == "tool_result")
     failed = F.filter(answers, lambda b: F.coalesce(b["is_error"], F.lit(False)))
     record = F.when(
         _may_hold("toolUseResult", "persistedOutputPath"), F.try_parse_json("toolUseResult")
@@ -189,7 +191,7 @@ def decode_lines(lines: DataFrame) -> DataFrame:
         _text("attributionMcpServer").alias("mcp_server"),
         _text("attributionMcpTool").alias("mcp_tool"),
         *[F.col(c) for c in ("is_broken", "is_journal", "is_unknown") if c in lines.columns],
-        _uses(F.col("m.content"), F.col("hashes")).alias("uses"),
+        _uses(F.col("blocks"), F.col("hashes")).alias("uses"),
         _results(answers).alias("results"),
         F.size(answers).alias("event_results"),
         F.size(failed).alias("event_errors"),
@@ -219,6 +221,37 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def _message_blocks() -> Column:
+    """Content blocks with their content as (blocks, text).
+
+    A value in which a key occurs twice has no VARIANT: it is lost, and what comes after it
+    may be. A message that lost something against its reading as plain text is
+    read once for each JSON type instead; text is what reads as a string and as nothing else.
+    """
+    names = ("type", "id", "name", "input", "tool_use_id", "is_error")
+    usual = F.transform(
+        "m.content",
+        lambda b: F.struct(*(b[n].alias(n) for n in names), content.open_content(b["content"]).alias("content")),
+    )
+    read = {kind: F.from_json("message", schema)["content"] for kind, schema in model.CONTENT_READINGS.items()}
+    apart = F.arrays_zip(*(of.alias(kind) for kind, of in read.items()))
+    others = ("array", "object", "number", "truth")
+
+    def opened(b: Column) -> Column:
+        other = F.coalesce(*(b[k]["content"].cast("string") for k in others))
+        text = F.when(other.isNull(), b["text"]["content"])
+        shape = F.struct(b["blocks"]["content"].alias("blocks"), text.alias("text"))
+        return F.struct(*(b["text"][n].alias(n) for n in names), shape.alias("content"))
+
+    # Only blocks of these types are used, so other messages needn't be read again.
+    of_use = _may_hold("message", '"tool_use"') | _may_hold("message", '"tool_result"')
+    strict = F.col("m.content")
+    beside = F.arrays_zip(strict.alias("strict"), read["text"].alias("plain"))
+    lost = lambda b: b["strict"]["content"].isNull() & b["plain"]["content"].isNotNull()
+    whole = (F.size(strict) == F.size(read["text"])) & ~F.exists(beside, lost)
+    return F.when(of_use, F.when(whole, usual).otherwise(F.transform(apart, opened)))
+
+
 def _uses(blocks: Column, hashes: Column) -> Column:
     no_input = F.lit(payload.digest(""))
     every = F.transform(
@@ -248,7 +281,7 @@ def _results(answers: Column) -> Column:
         lambda b: F.struct(
             F.coalesce(b["tool_use_id"], F.lit("")).alias("use_id"),
             F.coalesce(b["is_error"], F.lit(False)).alias("is_error"),
-            content.open_content(b["content"]).alias("content"),
+            b["content"].alias("content"),
         ),
     )
     return F.transform(

@@ -67,3 +67,33 @@ def test_corpus_drift(spark):
         [("scan", 3, 10), ("tools", 3, 10), ("attribute", 4, 12)], "command string, files bigint, bytes bigint"
     )
     assert [r.command for r in metrics.corpus_drift(headers, "scan").collect()] == ["attribute"]
+
+
+def test_a_repeated_key_loses_no_result(spark, write_jsonl, tmp_path):
+    """Every literal as content, one block with a key twice, and an escaped type."""
+    contents = {
+        "a": '"12"', "b": '[{"type":"text","text":"x","text":"yy"}]', "c": '"333"', "d": '{"k":1,"k":2}',
+        "e": "7", "f": "null", "g": "true", "h": '[7,"s"]', "i": '"[1]"', "j": '[{"type":"image","source":{"data":"abcd"}}]',
+    }
+    blocks = ",".join(f'{{"type":"tool_result","tool_use_id":"{k}","content":{c}}}' for k, c in contents.items())
+    use = '{"type":"tool\\u005fuse","id":"u","name":"T","input":{"n":1.0}}'
+    directory = write_jsonl(
+        "x.jsonl",
+        f'{{"type":"user","sessionId":"s","message":{{"content":[{blocks}]}}}}',
+        f'{{"type":"assistant","sessionId":"s","message":{{"content":[{use}]}}}}',
+    )
+    corpus = transcripts.read_corpus(spark, directory, str(tmp_path / "silver"))
+    got = {r.use_id: (r.context_bytes, r.image_bytes) for r in corpus.results.collect()}
+    text = {"a": 2, "b": 2, "c": 3, "i": 3}
+    assert got == {k: (text.get(k, 0), 4 if k == "j" else 0) for k in contents}
+    (used,) = corpus.uses.collect()
+    assert used.tool == "T" and used.hash == payload.digest('{"n":1.0}')
+
+
+def test_deep_payloads():
+    for depth in (600, 5000):
+        deep = "[" * depth + "]" * depth
+        assert payload.digest(deep) != payload.digest("")
+        message = f'{{"content":[{{"input":{deep}}},{{"input":{{"a":1}}}}]}}'
+        assert payload._block_hashes(message, payload._decoder()) == [payload.digest(deep), payload.digest('{"a":1}')]
+    assert payload.canonical('{"b":1.0,"a":[1,{"y":null}],"c":{},"d":[]}') == '{"a":[1,{"y":null}],"b":1.0,"c":{},"d":[]}'
