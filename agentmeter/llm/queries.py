@@ -51,10 +51,54 @@ def op4_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS said
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0))
+), places AS (
+  SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS said
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows))
+), hits AS (SELECT doc_id, k, n, item_id FROM places JOIN windows USING (n, said)),
+words AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS word FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op5_warc(spark: SparkSession, directory: str) -> DataFrame:
     return warc.round_trip(table(spark, directory, "pages"))
 
 
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, sha1(encode(coalesce(html, ''))) AS hex, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), k AS (SELECT hex, max(page_id) AS keeper FROM p GROUP BY hex),
+bits AS (
+  SELECT hex, array_to_string(list_transform(string_split(hex, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101',
+    '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM k
+), b32 AS (
+  SELECT hex, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, i * 5 + j, 1) AS INT) << (5 - j))) AS INT), 1)), '') AS digest
+  FROM bits
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM p JOIN k USING (hex) JOIN b32 USING (hex)
+"""
+
+
 def op6_token_counts(spark: SparkSession, directory: str) -> DataFrame:
     return separators.counts(table(spark, directory, "documents"))
 
@@ -117,5 +161,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    stated = {"op3_chat": OP3_SQL, "op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    stated = {"op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in stated.items() if sql}
