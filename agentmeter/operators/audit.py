@@ -145,8 +145,8 @@ def merge_servers(entries: DataFrame) -> DataFrame:
 def collisions(merged: DataFrame) -> DataFrame:
     rule = F.when(
         F.col("scope") == F.col("overrides_scope"),
-        F.concat(F.lit("later source wins within the "), "scope", F.lit(" scope")),
-    ).otherwise(F.lit("project config wins"))
+        F.concat(F.lit("last of the "), "scope", F.lit(" sources")),
+    ).otherwise(F.lit("project over user"))
     return merged.filter("overrides is not null").select(
         "host", "name", "source", "overrides", rule.alias("rule")
     )

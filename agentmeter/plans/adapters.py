@@ -48,8 +48,8 @@ VIEWS = {
                CASE WHEN type = 'cost-state' THEN '' ELSE stamp END AS ts,
                CASE WHEN k % 11 = 0 THEN '' ELSE 'v1.' || CAST(k % 5 AS STRING) END AS version,
                CASE WHEN type <> 'assistant' THEN ''
-                    WHEN k % 6 = 0 THEN 'plugin:sre:k8s'
-                    WHEN k % 6 = 1 THEN 'claude.ai Notion'
+                    WHEN k % 6 = 0 THEN 'plugin:dock:crane'
+                    WHEN k % 6 = 1 THEN 'claude.ai Atlas'
                     WHEN k % 6 = 2 THEN 'search' ELSE '' END AS mcp_server
         FROM (
             SELECT event_id, user_id, event_type, value, props, k, @rfc(ts) AS stamp,
@@ -58,7 +58,7 @@ VIEWS = {
                         WHEN k < 50 THEN 'assistant'
                         WHEN k < 80 THEN 'attachment'
                         WHEN k < 90 THEN 'cost-state'
-                        ELSE 'quantum-flux' END AS type
+                        ELSE 'glide-path' END AS type
             FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events) e0
         ) e1""",
     "uses": """
@@ -77,8 +77,8 @@ VIEWS = {
                        CASE (user_id + CASE WHEN k >= 90 THEN 1 ELSE 0 END) % 8
                             WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'Skill'
                             WHEN 3 THEN 'mcp__search__query'
-                            WHEN 4 THEN 'mcp__plugin_sre_k8s__get'
-                            WHEN 5 THEN 'mcp__plugin_my_plugin_srv__run__fast'
+                            WHEN 4 THEN 'mcp__plugin_dock_crane__get'
+                            WHEN 5 THEN 'mcp__plugin_field_kit_srv__run__fast'
                             WHEN 6 THEN 'mcp__plugin_ghost_x__y'
                             ELSE 'Edit' END AS tool,
                        CASE WHEN k % 4 = 0 THEN '' ELSE 'sk' || CAST(k % 5 AS STRING) END AS skill,
@@ -161,7 +161,7 @@ VIEWS = {
     "config_files": """
         SELECT host, 'user' AS root, home || '/.claude' AS base, 'settings.json' AS path,
                '{"mcpServers":{"' || c_mktsegment || '":{"command":"run"},"' || net || '":{"type":"http"}},'
-               || '"enabledPlugins":{"' || plugin || '@m":false,"my_plugin@x":true}}' AS content
+               || '"enabledPlugins":{"' || plugin || '@m":false,"field_kit@x":true}}' AS content
         FROM hosts
         UNION ALL
         SELECT host, 'user', home || '/.claude', 'plugins/installed_plugins.json',
@@ -348,7 +348,7 @@ class Tables:
     @cached_property
     def plugins(self):
         return self.table("part").select(
-            F.explode(F.array(F.lit("sre"), F.lit("my"), F.lit("my_plugin"), F.split("p_name", " ")[0])).alias("plugin")
+            F.explode(F.array(F.lit("dock"), F.lit("field"), F.lit("field_kit"), F.split("p_name", " ")[0])).alias("plugin")
         ).distinct()
 
     @cached_property

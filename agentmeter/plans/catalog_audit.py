@@ -55,7 +55,7 @@ def _(t):
 @query(
     "config_collisions",
     f"""SELECT host, name, source, overrides, CASE WHEN scope = overrides_scope
-              THEN 'later source wins within the ' || scope || ' scope' ELSE 'project config wins' END AS rule
+              THEN 'last of the ' || scope || ' sources' ELSE 'project over user' END AS rule
         FROM {MERGED} WHERE overrides IS NOT NULL""",
 )
 def _(t):
@@ -72,7 +72,7 @@ def _(t):
 
 @query(
     "enabled_plugins",
-    "SELECT host, plugin FROM hosts UNION ALL SELECT host, 'my_plugin' FROM hosts",
+    "SELECT host, plugin FROM hosts UNION ALL SELECT host, 'field_kit' FROM hosts",
 )
 def _(t):
     return config.enabled_plugins(t.config_files)

@@ -21,7 +21,7 @@ def january():
 IN_JAN = "ts <> '' AND ts >= '2024-01-10' AND substr(ts, 1, 10) <= '2024-01-20'"
 
 PLUGIN_NAMES = """
-    SELECT DISTINCT unnest(['sre', 'my', 'my_plugin', split_part(p_name, ' ', 1)]) AS plugin FROM part"""
+    SELECT DISTINCT unnest(['dock', 'field', 'field_kit', split_part(p_name, ' ', 1)]) AS plugin FROM part"""
 
 # --- joins -----------------------------------------------------------------
 
@@ -111,14 +111,14 @@ def _(t):
     "plugin_by_segment",
     f"""SELECT n.segment, coalesce(max_by(s.plugin, length(s.plugin)), 'plugin (unresolved)') AS plugin
         FROM (SELECT DISTINCT 'plugin_' || replace(p_name, ' ', '_') AS segment FROM part
-              UNION SELECT 'plugin_my_plugin_srv' UNION SELECT 'plugin_my' UNION SELECT 'plugin_sre_jaeger-qa') n
+              UNION SELECT 'plugin_field_kit_srv' UNION SELECT 'plugin_field' UNION SELECT 'plugin_dock_buoy-two') n
         LEFT JOIN ({PLUGIN_NAMES}) s
           ON starts_with(n.segment, 'plugin_' || s.plugin || '_') AND length(n.segment) > length(s.plugin) + 8
         GROUP BY n.segment""",
 )
 def _(t):
     fixed = t.spark.createDataFrame(
-        [("plugin_my_plugin_srv",), ("plugin_my",), ("plugin_sre_jaeger-qa",)], "segment string"
+        [("plugin_field_kit_srv",), ("plugin_field",), ("plugin_dock_buoy-two",)], "segment string"
     )
     segments = (
         t.table("part")
@@ -233,7 +233,7 @@ def _(t):
 
 
 RENT_SQL = """
-    SELECT translate(CASE WHEN r_name = 'ASIA' THEN 'plugin:sre:k8s' WHEN r_name = 'EUROPE' THEN 'search'
+    SELECT translate(CASE WHEN r_name = 'ASIA' THEN 'plugin:dock:crane' WHEN r_name = 'EUROPE' THEN 'search'
                      ELSE 'claude.ai ' || n_name END, ':. ', '___') AS server,
            CAST(sum(c_custkey + 1) AS BIGINT) AS rent_bytes
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"""
@@ -249,7 +249,7 @@ RENT_SQL = """
 )
 def rent_with_calls(t):
     spelled = (
-        F.when(F.col("r_name") == "ASIA", F.lit("plugin:sre:k8s"))
+        F.when(F.col("r_name") == "ASIA", F.lit("plugin:dock:crane"))
         .when(F.col("r_name") == "EUROPE", F.lit("search"))
         .otherwise(F.concat(F.lit("claude.ai "), "n_name"))
     )

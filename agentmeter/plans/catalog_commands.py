@@ -83,7 +83,7 @@ SCAN_SQL = " UNION ALL ".join(
             "events:events",
         ),
         spread(
-            "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'quantum-flux' GROUP BY type",
+            "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'glide-path' GROUP BY type",
             "'unknown_type'", "type", "unknown_type_events:events",
         ),
     ]
@@ -374,7 +374,7 @@ def _(t):
                 "unmatched_results:blocks",
             ),
             spread(
-                "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'quantum-flux' GROUP BY type",
+                "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'glide-path' GROUP BY type",
                 "'unknown_type'", "type", "unknown_type_events:events",
             ),
         ]

@@ -48,7 +48,7 @@ def _landed(t):
               count(*) FILTER (WHERE is_journal) AS journal_records, count(*) FILTER (WHERE is_unknown) AS unknown_records,
               count(nullif(stamp, '')) AS timestamped, min(raw) AS message
        FROM (SELECT CASE WHEN k = 97 THEN '' WHEN k = 99 THEN 'started' ELSE type END AS type,
-                    k = 97 AS is_broken, k = 99 AS is_journal, k < 97 AND type = 'quantum-flux' AS is_unknown,
+                    k = 97 AS is_broken, k = 99 AS is_journal, k < 97 AND type = 'glide-path' AS is_unknown,
                     CASE WHEN k < 97 THEN ts ELSE '' END AS stamp,
                     CASE WHEN k < 97 THEN '{"note":"é [x"}' END AS raw
              FROM t WHERE k <> 98) GROUP BY type""",
@@ -148,7 +148,7 @@ def _(t):
     return inventory.by_version(inventory.rollup(t.events, every()))
 
 
-@query("unknown_types", "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'quantum-flux' GROUP BY type")
+@query("unknown_types", "SELECT type, count(*) AS unknown_type_events FROM t WHERE type = 'glide-path' GROUP BY type")
 def _(t):
     return inventory.unknown_types(inventory.rollup(t.events, every()))
 

@@ -105,8 +105,8 @@ class _Run:
                     command,
                     "window",
                     F.lit(
-                        f"only events with a timestamp in {bounds} are measured; files, bytes, parse "
-                        "errors and unmatched results remain whole-corpus"
+                        f"figures cover events dated within {bounds}; counts of files, their bytes, broken "
+                        "lines and results without a call cover everything that was read"
                     ),
                 )
             )
@@ -124,7 +124,7 @@ class _Run:
                     self.span.filter("placed = 0"),
                     command,
                     "window_empty",
-                    F.lit("the window matched no events: windowed counts are omitted, not zeroed"),
+                    F.lit("nothing is dated inside the window, so figures that depend on it are left out"),
                 )
             )
         return stack_rows(rows)
@@ -544,7 +544,7 @@ def attribute(
             "attribute",
             "duplicate_responses",
             _counted(
-                "{} of {} assistant responses repeat a message id: deduplicated, not summed",
+                "{} of {} response records only show an id again; each id is billed once",
                 "responses_duplicate", "responses_naive",
             ),
         ),
@@ -553,7 +553,7 @@ def attribute(
             "attribute",
             "sessions_without_bill",
             _counted(
-                "{} of {} sessions carry no bill: dollars are unavailable for them, not zero",
+                "{} of {} sessions never wrote a bill and have no cost figure",
                 "sessions_without_cost_state", "sessions",
             ),
         ),
@@ -662,7 +662,7 @@ def corruption(
             "corruption",
             "truncation",
             _counted(
-                "{} results carry a truncation marker; a result quoting one is a false positive",
+                "{} results contain a marker of cut output; text that merely mentions one is counted too",
                 "truncated_results",
             ),
         ),
@@ -861,7 +861,7 @@ def doctor(
         ),
         warning_rows(
             used.filter("mcp_sessions = 0"), "doctor", "zero_denominator",
-            F.lit("no session used an MCP server, so never_observed is not claimed"),
+            F.lit("without a session that used any server nothing can be said to be unused"),
         ),
     ]
     return run.envelope("doctor", metrics, warnings)
@@ -1002,7 +1002,7 @@ def codex_tools(
         ),
         warning_rows(
             per_tool.filter("not text_known or not image_known"), "tools", "unmeasured_payload",
-            _counted("{}: at least one result has an unmeasured payload", "tool"), F.col("tool"),
+            _counted("{}: the size of some result could not be established", "tool"), F.col("tool"),
         ),
         warning_rows(
             item_rows.filter("kind = 'unsupported'").groupBy("item_type").agg(F.count(F.lit(1)).alias("n")),
@@ -1040,13 +1040,13 @@ def codex_tools(
             warning_rows(
                 live.filter("ts = ''").groupBy("type").agg(F.count(F.lit(1)).alias("n")),
                 "tools", "untimestamped_type",
-                _counted("{} {} events have no valid timestamp and fit no window", "n", "type"), F.col("type"),
+                _counted("{} {} events are undated and lie outside every window", "n", "type"), F.col("type"),
             )
         )
         warnings.append(
             warning_rows(
                 spark.range(1), "tools", "window",
-                F.lit("inclusive UTC bounds restrict the counts; bytes and unmatched results remain whole-corpus"),
+                F.lit("counts keep to the window, both ends in UTC included; bytes and results without a call do not"),
             )
         )
     header = quality.select(
@@ -1085,7 +1085,7 @@ def opencode_tools(
     unmeasured = [
         ("image_bytes", "image bytes are not broken out here: unmeasured, not zero"),
         ("produced_bytes", "pre-truncation sizes are not recorded here: unmeasured, not zero"),
-        ("joins", "a call and its result share one row: there is no join to audit"),
+        ("joins", "this source stores calls together with their results, so match rates do not apply"),
     ]
     warnings = [
         warning_rows(
@@ -1181,7 +1181,7 @@ def opencode_doctor(
         ),
         warning_rows(
             sessions.filter("tool_sessions = 0"), "doctor", "zero_denominator",
-            F.lit("no tool call was seen, so never_observed is not claimed"),
+            F.lit("without any recorded call nothing can be said to be unused"),
         ),
         warning_rows(
             state.filter("is_partial"), "doctor", "partial_config",

@@ -60,21 +60,21 @@ def test_doctor_static(spark):
     assert value_of(m, "findings", "mcp_server", "b") == 1
     assert value_of(m, "findings", "mcp_server", "c") == 1
     texts = sorted(r.text for r in env.warnings.filter("code = 'collision'").collect())
-    assert len(texts) == 2 and "project config wins" in texts[0]
+    assert len(texts) == 2 and "project over user" in texts[0]
     broken = commands.doctor(tree.union(files(spark, ("project", "/q", ".mcp.json", "{"))))
     assert value_of(broken.metrics, "mcp_servers_checked") is None
 
 
 def test_configured_against_observed(spark):
-    configured = spark.createDataFrame([("", "plugin:sre:k8s"), ("", "idle"), ("", "claude.ai Notion")], "host string, name string")
+    configured = spark.createDataFrame([("", "plugin:dock:crane"), ("", "idle"), ("", "claude.ai Atlas")], "host string, name string")
     seen = spark.createDataFrame(
-        [("", "s1", "plugin_sre_k8s"), ("", "s1", "plugin:sre:k8s"), ("", "s2", "stray"), ("", "s3", "claude_ai_Notion")],
+        [("", "s1", "plugin_dock_crane"), ("", "s1", "plugin:dock:crane"), ("", "s2", "stray"), ("", "s3", "claude_ai_Atlas")],
         "host string, session string, server string",
     )
     rows = {r.key: (r.never_observed, r.unconfigured_observed) for r in audit.join_configured(configured, seen).collect()}
     assert rows["idle"] == (3, None)
     assert rows["stray"] == (None, 1)
-    assert rows["plugin:sre:k8s"] == (None, None)
+    assert rows["plugin:dock:crane"] == (None, None)
     nothing = audit.join_configured(configured, seen.limit(0))
     assert {(r.never_observed, r.unconfigured_observed) for r in nothing.collect()} == {(None, None)}
 

@@ -10,6 +10,9 @@ from agentmeter.functions.content import truncation_marker
 from agentmeter.functions.window import TimeWindow
 from agentmeter.operators import attachments, matching, metrics
 
+MAPPER = "- mapper: draws a chart of ports\n"
+TIDY = "- tidy: sorts the drawer"
+
 
 @pytest.mark.parametrize(
     "a, b, equal",
@@ -58,14 +61,14 @@ def test_names(spark):
 
 
 def test_prefix_matching(spark):
-    plugins = spark.createDataFrame([("my_plugin",), ("my",), ("sre",)], "plugin string")
-    segments = spark.createDataFrame([("plugin_my_plugin_srv",), ("plugin_sre_jaeger-qa",), ("plugin_my",), ("sre_x",)], "segment string")
+    plugins = spark.createDataFrame([("field_kit",), ("field",), ("dock",)], "plugin string")
+    segments = spark.createDataFrame([("plugin_field_kit_srv",), ("plugin_dock_buoy-two",), ("plugin_field",), ("dock_x",)], "segment string")
     got = {r.segment: r.plugin for r in matching.segment_plugins(segments, plugins).collect()}
-    assert got == {"plugin_my_plugin_srv": "my_plugin", "plugin_sre_jaeger-qa": "sre", "plugin_my": None, "sre_x": None}
-    rent = spark.createDataFrame([("plugin:my_plugin:a:b",), ("plugin:my:",), ("claude.ai X",)], "key string")
+    assert got == {"plugin_field_kit_srv": "field_kit", "plugin_dock_buoy-two": "dock", "plugin_field": None, "dock_x": None}
+    rent = spark.createDataFrame([("plugin:field_kit:a:b",), ("plugin:field:",), ("claude.ai X",)], "key string")
     got = {r.key: (r.plugin, r.segment) for r in matching.rent_segments(rent, plugins).collect()}
-    assert got["plugin:my_plugin:a:b"] == ("my_plugin", "plugin_my_plugin_a:b")
-    assert got["plugin:my:"] == (None, "plugin:my:")
+    assert got["plugin:field_kit:a:b"] == ("field_kit", "plugin_field_kit_a:b")
+    assert got["plugin:field:"] == (None, "plugin:field:")
     assert got["claude.ai X"] == (None, "claude.ai X")
 
 
@@ -94,22 +97,22 @@ def test_attachment_keys(spark):
     got = keys_of(
         spark,
         {"type": "hook_success", "hookName": "h"},
-        {"type": "skill_listing", "names": ["alpha", "beta"], "content": "- alpha: does a thing\n- beta: does another"},
-        {"type": "deferred_tools_delta", "addedNames": ["mcp__a", "mcp__b", "mcp__a"], "addedLines": ["1234567"]},
-        {"type": "mcp_instructions_delta", "addedNames": ["srv"], "addedBlocks": ["0123456789"]},
+        {"type": "skill_listing", "names": ["mapper", "tidy"], "content": MAPPER + TIDY},
+        {"type": "deferred_tools_delta", "addedNames": ["mcp__a", "mcp__b", "mcp__a"], "addedLines": ["line of 17 bytes."]},
+        {"type": "mcp_instructions_delta", "addedNames": ["srv"], "addedBlocks": ["how to call it"]},
         {"type": "agent_listing_delta", "addedTypes": ["ag"], "addedLines": ["xyz"]},
-        {"type": "instructions", "files": [{"path": "a.md", "content": "abc"}, {"path": "b.md"}, {"path": "c.md", "content": ""}]},
+        {"type": "instructions", "files": [{"path": "guide.md", "content": "short"}, {"path": "none.md"}, {"path": "blank.md", "content": ""}]},
         '{"type":"deferred_tools_record","entries":[{"name": "T", "d": "\\u00e9"},{"x":1},{"name":"T"}]}',
         {"type": "file", "content": {"odd": 1}},
     )
     assert got[("hook_name", "h")] == (len('{"type":"hook_success","hookName":"h"}'), 1)
-    assert got[("skill", "alpha")] == (22, 1) and got[("skill", "beta")] == (20, 1)
-    assert got[("mcp_tool", "mcp__a")] == (7 + 6, 1) and got[("mcp_tool", "mcp__b")] == (6, 1)
-    assert got[("mcp_server", "srv")] == (10, 1)
+    assert got[("skill", "mapper")] == (len(MAPPER), 1) and got[("skill", "tidy")] == (len(TIDY), 1)
+    assert got[("mcp_tool", "mcp__a")] == (17 + 6, 1) and got[("mcp_tool", "mcp__b")] == (6, 1)
+    assert got[("mcp_server", "srv")] == (14, 1)
     assert got[("agent", "ag")] == (3, 1)
-    assert got[("instruction_file", "a.md")] == (3, 1)
-    assert got[("instruction_file", "b.md")] == (4, 1)
-    assert got[("instruction_file", "c.md")] == (0, 1)
+    assert got[("instruction_file", "guide.md")] == (5, 1)
+    assert got[("instruction_file", "none.md")] == (7, 1)
+    assert got[("instruction_file", "blank.md")] == (0, 1)
     assert got[("mcp_tool", "T")] == (len('{"name": "T", "d": "\\u00e9"}') + len('{"name":"T"}'), 1)
     assert len(got) == 11
 

@@ -23,9 +23,9 @@ def result(use_id, content, ts="2026-09-01T10:00:01.000Z", session=S, is_error=F
 
 
 def response(mid, session=S, ts="2026-09-01T10:00:00.000Z", model="opus-4", usage=None, **extra):
-    base = {"input_tokens": 100, "output_tokens": 50, "cache_read_input_tokens": 23600,
-            "cache_creation_input_tokens": 900, "output_tokens_details": {"thinking_tokens": 20},
-            "cache_creation": {"ephemeral_5m_input_tokens": 400, "ephemeral_1h_input_tokens": 500}}
+    base = {"input_tokens": 300, "output_tokens": 70, "cache_read_input_tokens": 26400,
+            "cache_creation_input_tokens": 500, "output_tokens_details": {"thinking_tokens": 30},
+            "cache_creation": {"ephemeral_5m_input_tokens": 200, "ephemeral_1h_input_tokens": 300}}
     return {"type": "assistant", "sessionId": session, "timestamp": ts,
             "message": {"id": mid, "model": model, "usage": usage or base}, **extra}
 
@@ -44,7 +44,7 @@ def load(spark, tmp_path):
 
 def test_inventory_tree(spark, write_jsonl, load, tmp_path):
     plain = {"type": "user", "sessionId": "a", "version": "1.0", "timestamp": "2026-09-02T00:00:00.000Z"}
-    write_jsonl("p/a.jsonl", plain, '{"type":', "", {**plain, "type": "quantum-flux", "version": "1.1"})
+    write_jsonl("p/a.jsonl", plain, '{"type":', "", {**plain, "type": "glide-path", "version": "1.1"})
     write_jsonl("p/subagents/b.jsonl", {**plain, "timestamp": "2026-09-03T00:00:00.000Z"})
     write_jsonl("p/subagents/workflows/wf/journal.jsonl", {"type": "started", "key": "k", "agentId": "x"})
     directory = write_jsonl("p/empty.JSONL")
@@ -63,7 +63,7 @@ def test_inventory_tree(spark, write_jsonl, load, tmp_path):
     assert value_of(m, "distinct_cli_versions") == 2
     assert value_of(m, "known_event_types") == 21
     assert value_of(m, "retention_gap") == 3
-    assert value_of(m, "unknown_type_events", "unknown_type", "quantum-flux") == 1
+    assert value_of(m, "unknown_type_events", "unknown_type", "glide-path") == 1
     assert value_of(m, "events", "cli_version", "1.0") == 2
     size = sum(p.stat().st_size for p in (tmp_path / "corpus").rglob("*") if p.is_file())
     assert value_of(m, "bytes") == size
@@ -82,18 +82,18 @@ def test_tools_volume(spark, write_jsonl, load):
         "a.jsonl",
         use("t1", "Bash"), result("t1", "[text]"), result("t1", "again"),
         use("t2", "mcp__search__query__deep"), result("t2", blocks),
-        use("t3", "mcp__plugin_my_plugin_srv__go"), result("t3", "", is_error=True),
+        use("t3", "mcp__plugin_field_kit_srv__go"), result("t3", "", is_error=True),
         result("nobody", "lost"),
-        use("t4", "Skill", tool_input={"skill": "alpha"}),
+        use("t4", "Skill", tool_input={"skill": "mapper"}),
         use("t5", "Read"),
         result("t5", "<persisted-output>", toolUseResult={"persistedOutputPath": "/gone", "persistedOutputSize": 4000}),
         {"type": "attachment", "sessionId": S, "timestamp": "2026-09-01T10:00:00.000Z",
-         "attachment": {"type": "skill_listing", "names": ["alpha", "beta"], "content": "- alpha: does a thing\n- beta: does another"}},
+         "attachment": {"type": "skill_listing", "names": ["mapper", "tidy"], "content": "- mapper: draws a chart of ports\n- tidy: sorts the drawer"}},
         {"type": "attachment", "sessionId": S, "timestamp": "2026-09-01T10:00:00.000Z",
-         "attachment": {"type": "mcp_instructions_delta", "addedNames": ["plugin:my_plugin:srv", "claude.ai Notion"], "addedBlocks": ["0123456789"]}},
+         "attachment": {"type": "mcp_instructions_delta", "addedNames": ["plugin:field_kit:srv", "claude.ai Atlas"], "addedBlocks": ["ten bytes!"]}},
     )
     corpus = load(directory)
-    plugins = spark.createDataFrame([("my_plugin",), ("my",)], "plugin string")
+    plugins = spark.createDataFrame([("field_kit",), ("field",)], "plugin string")
     env = commands.tools(corpus, plugins=plugins)
     m = env.metrics.cache()
     assert value_of(m, "tool_use_blocks") == 5
@@ -109,15 +109,15 @@ def test_tools_volume(spark, write_jsonl, load):
     assert value_of(m, "produced_bytes", "tool", "Read") == 4000
     assert value_of(m, "externalised_produced_bytes") == 4000
     assert value_of(m, "externalised_context_bytes") == 18
-    assert value_of(m, "errors", "plugin", "my_plugin") == 1
-    assert value_of(m, "rent_bytes", "mcp_server", "plugin_my_plugin_srv") == 10
-    assert value_of(m, "rent_bytes", "mcp_server", "claude_ai_Notion") == 16
-    assert value_of(m, "calls", "mcp_server", "claude_ai_Notion") == 0
-    assert value_of(m, "rent_bytes", "plugin", "my_plugin") == 10
-    assert value_of(m, "rent_bytes", "skill", "alpha") == 22
-    assert value_of(m, "rent_bytes", "skill", "beta") == 20
-    assert value_of(m, "skill_calls", "skill", "alpha") == 1
-    assert value_of(m, "skill_calls", "skill", "beta") == 0
+    assert value_of(m, "errors", "plugin", "field_kit") == 1
+    assert value_of(m, "rent_bytes", "mcp_server", "plugin_field_kit_srv") == 10
+    assert value_of(m, "rent_bytes", "mcp_server", "claude_ai_Atlas") == 15
+    assert value_of(m, "calls", "mcp_server", "claude_ai_Atlas") == 0
+    assert value_of(m, "rent_bytes", "plugin", "field_kit") == 10
+    assert value_of(m, "rent_bytes", "skill", "mapper") == 33
+    assert value_of(m, "rent_bytes", "skill", "tidy") == 24
+    assert value_of(m, "skill_calls", "skill", "mapper") == 1
+    assert value_of(m, "skill_calls", "skill", "tidy") == 0
     codes = sorted(r.code for r in env.warnings.collect())
     assert codes == ["side_file", "unmatched_result"]
 
@@ -144,32 +144,32 @@ def test_window_gates_rows_after_the_join(write_jsonl, load):
 
 
 def test_attribute_rebilling_and_allocation(write_jsonl, load):
-    fresh = response("m1", attributionSkill="alpha")
-    models = {"opus-4": {"inputTokens": 100, "outputTokens": 50, "cacheReadInputTokens": 23600,
-                         "cacheCreationInputTokens": 900, "costUSD": 1.5},
-              "haiku": {"inputTokens": 5, "costUSD": 0.25}}
+    fresh = response("m1", attributionSkill="mapper")
+    models = {"opus-4": {"inputTokens": 300, "outputTokens": 70, "cacheReadInputTokens": 26400,
+                         "cacheCreationInputTokens": 500, "costUSD": 2.4},
+              "haiku": {"inputTokens": 5, "costUSD": 0.6}}
     directory = write_jsonl(
-        "a.jsonl", fresh, {**fresh, "attributionSkill": "beta"}, response("m2", attributionSkill=None),
-        bill(S, 9.0, {"opus-4": {"costUSD": 9.0}}), bill(S, 1.75, models),
+        "a.jsonl", fresh, {**fresh, "attributionSkill": "tidy"}, response("m2", attributionSkill=None),
+        bill(S, 9.0, {"opus-4": {"costUSD": 9.0}}), bill(S, 3.0, models),
         response("m3", session="s2"),
     )
     m = commands.attribute(load(directory)).metrics.cache()
     assert value_of(m, "responses_naive") == 4
     assert value_of(m, "responses_distinct") == 3
-    assert value_of(m, "fresh_tokens") == 3000
-    assert value_of(m, "rebilled_tokens") == 70800
-    assert value_of(m, "rebill_multiplier", "attribution_skill", "alpha") == pytest.approx(23.6)
-    assert value_of(m, "responses", "attribution_skill", "beta") is None
+    assert value_of(m, "fresh_tokens") == 2400
+    assert value_of(m, "rebilled_tokens") == 79200
+    assert value_of(m, "rebill_multiplier", "attribution_skill", "mapper") == pytest.approx(33.0)
+    assert value_of(m, "responses", "attribution_skill", "tidy") is None
     assert value_of(m, "responses", "attribution_skill", "(unattributed)") == 2
-    assert value_of(m, "cost_usd", "attribution_skill", "alpha") == 750000
-    assert value_of(m, "cost_usd", "session", S) == 1500000
+    assert value_of(m, "cost_usd", "attribution_skill", "mapper") == 1200000
+    assert value_of(m, "cost_usd", "session", S) == 2400000
     assert value_of(m, "cost_usd", "session", "s2") is None
     assert value_of(m, "dollars_available", "session", "s2") == 0
     assert value_of(m, "dollars_available", "session", S) == 1
-    assert value_of(m, "allocated_cost_usd") == 1500000
-    assert value_of(m, "unallocated_cost_usd") == 250000
+    assert value_of(m, "allocated_cost_usd") == 2400000
+    assert value_of(m, "unallocated_cost_usd") == 600000
     assert value_of(m, "coverage_ratio", "cost_coverage", f"{S}/haiku") == 0.0
-    assert value_of(m, "transcript_tokens", "cost_coverage", f"{S}/opus-4") == 2 * (1000 + 23600 + 50)
+    assert value_of(m, "transcript_tokens", "cost_coverage", f"{S}/opus-4") == 2 * (800 + 26400 + 70)
     assert value_of(m, "sessions") == 2
     assert value_of(m, "sessions_without_cost_state") == 1
 
@@ -199,7 +199,7 @@ def test_failures_loops_and_pairs(write_jsonl, load):
     from agentmeter.functions.payload import digest
 
     def call(i, err, session=S, tool_input=None, **extra):
-        return [use(i, "Bash", session=session, tool_input=tool_input or {"b": 1.0, "a": 2}, attributionSkill="alpha"),
+        return [use(i, "Bash", session=session, tool_input=tool_input or {"b": 1.0, "a": 2}, attributionSkill="mapper"),
                 result(i, "x", session=session, is_error=err, **extra)]
 
     lines = []
@@ -221,8 +221,8 @@ def test_failures_loops_and_pairs(write_jsonl, load):
     assert value_of(m, "error_sessions", "repeated_failure", pair) == 2
     assert value_of(m, "errors", "repeated_failure", pair) == 9
     assert value_of(m, "calls", "repeated_failure", pair) == 10
-    assert value_of(m, "errors", "attribution_skill", "alpha") == 10
-    assert value_of(m, "denied", "attribution_skill", "alpha") == 1
+    assert value_of(m, "errors", "attribution_skill", "mapper") == 10
+    assert value_of(m, "denied", "attribution_skill", "mapper") == 1
 
 
 def test_report_merges_and_writes(spark, write_jsonl, load, tmp_path):
@@ -236,4 +236,4 @@ def test_report_merges_and_writes(spark, write_jsonl, load, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "metrics")).count() == m.count()
     figures = {r.figure: r.value for r in commands.summary(m).collect()}
     assert figures["tool_concentration_percent"] == 100.0
-    assert figures["rebill_multiplier"] == pytest.approx(23.6)
+    assert figures["rebill_multiplier"] == pytest.approx(33.0)
