@@ -4,6 +4,7 @@ Two scans read a corpus: the JSON source decodes events (handing nested regions
 over as the exact bytes of the line) and the text source accounts for lines.
 """
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -89,8 +90,36 @@ def scan_chunk() -> Column:
     return F.concat(path, F.lit("\u0001"), block)
 
 
-def list_files(spark: SparkSession, directory: str, pattern: str = "(?i)[.]jsonl$") -> DataFrame:
-    """Path and length of every matching file, empty ones included.
+def glob_pattern(glob: str) -> str:
+    """The regular expression for file paths whose name a scan with ``glob`` reads."""
+    out, at, depth = [], 0, 0
+    while at < len(glob):
+        sign = glob[at]
+        close = glob.find("]", at + 2) if sign == "[" else -1
+        if sign == "*":
+            out.append("[^/]*")
+        elif sign == "?":
+            out.append("[^/]")
+        elif close > 0:
+            inner = glob[at + 1 : close].replace("\\", "\\\\")
+            out.append("[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]")
+            at = close
+        elif sign == "{":
+            depth += 1
+            out.append("(?:")
+        elif sign == "}" and depth:
+            depth -= 1
+            out.append(")")
+        elif sign == "," and depth:
+            out.append("|")
+        else:
+            out.append(re.escape(sign))
+        at += 1
+    return "(?:^|/)" + "".join(out) + "$"
+
+
+def list_files(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
+    """Path and length of every file that a scan with ``glob`` reads, and of empty ones.
 
     Scans skip zero-length files, yet an empty transcript counts as one.
     Tasks list the directories of one depth at a time and each depth is
@@ -110,7 +139,7 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "(?i)[.]jsonl
             break
     return (
         reduce(DataFrame.unionByName, levels)
-        .filter(F.rlike("path", F.lit(pattern)))
+        .filter(F.rlike("path", F.lit(glob_pattern(glob))))
         .select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "bytes")
     )
 
@@ -118,8 +147,11 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "(?i)[.]jsonl
 def file_manifest(listing: DataFrame, quality: DataFrame) -> DataFrame:
     """Every file with its class. A file is excluded from the transcripts only
     when it holds journal records and nothing else."""
-    joined = listing.join(quality, "file", "left").na.fill(
-        0, ["transcript_lines", "journal_records", "parse_errors"]
+    unlisted = F.raise_error(F.concat(F.lit("a file was read that the listing lacks: "), "file"))
+    joined = (
+        listing.join(quality, "file", "full")
+        .withColumn("bytes", F.coalesce("bytes", unlisted.cast("bigint")))
+        .na.fill(0, ["transcript_lines", "journal_records", "parse_errors"])
     )
     excluded = (F.col("journal_records") > 0) & (F.col("transcript_lines") == 0)
     return joined.withColumns(
@@ -401,7 +433,7 @@ def read_corpus(
     decoded = decode_lines(classify(read_events(spark, directory, glob)))
     decoded.write.mode("overwrite").parquet(f"{landing}/lines")
     stored = spark.read.schema(decoded.schema).parquet(f"{landing}/lines")
-    manifest = file_manifest(list_files(spark, directory), file_quality(stored))
+    manifest = file_manifest(list_files(spark, directory, glob), file_quality(stored))
     manifest.write.mode("overwrite").parquet(f"{landing}/manifest")
     live = stored.filter("not is_broken and not is_journal")
     return Corpus(

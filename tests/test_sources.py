@@ -4,6 +4,7 @@ import pickle
 import subprocess
 import sys
 
+import pytest
 from pyspark import cloudpickle
 
 from agentmeter.functions import payload
@@ -97,3 +98,22 @@ def test_deep_payloads():
         message = f'{{"content":[{{"input":{deep}}},{{"input":{{"a":1}}}}]}}'
         assert payload._block_hashes(message, payload._decoder()) == [payload.digest(deep), payload.digest('{"a":1}')]
     assert payload.canonical('{"b":1.0,"a":[1,{"y":null}],"c":{},"d":[]}') == '{"a":[1,{"y":null}],"b":1.0,"c":{},"d":[]}'
+
+
+@pytest.mark.parametrize("glob, hits", [
+    ("*.[jJ][sS][oO][nN][lL]", {"a.jsonl", "b.JSONL"}), ("*.txt", {"c.txt"}), ("{a,c}.*", {"a.jsonl", "c.txt"}),
+    ("?.[!j]*", {"b.JSONL", "c.txt"}),
+])
+def test_manifest_lists_what_the_scan_reads(spark, write_jsonl, tmp_path, glob, hits):
+    for name in ("a.jsonl", "b.JSONL", "c.txt"):
+        directory = write_jsonl(name, {"type": "user", "sessionId": name})
+    corpus = transcripts.read_corpus(spark, directory, str(tmp_path / "silver"), glob=glob)
+    names = lambda df, c: {r[0].rsplit("/", 1)[1] for r in df.select(c).collect()}
+    assert names(corpus.manifest, "file") == names(corpus.events, "file") == hits
+
+
+def test_a_read_file_must_be_listed(spark):
+    listing = spark.createDataFrame([("/a", 1)], "file string, bytes bigint")
+    quality = spark.createDataFrame([("/b", 1, 0, 0)], "file string, transcript_lines bigint, journal_records bigint, parse_errors bigint")
+    with pytest.raises(Exception, match="listing lacks"):
+        transcripts.file_manifest(listing, quality).collect()
