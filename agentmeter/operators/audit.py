@@ -1,5 +1,7 @@
 """Static health of configuration, and configuration against observed use."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,25 +202,40 @@ def findings_per_key(findings: DataFrame) -> DataFrame:
     return findings.groupBy("host", "dimension", "key").agg(F.count(F.lit(1)).alias("findings"))
 
 
+CHECKED = ("skills_checked", "plugins_checked", "mcp_servers_checked")
+
+
 def checked(skills: DataFrame, plugins: DataFrame, merged: DataFrame, state: DataFrame) -> DataFrame:
     """Denominators per host; NULL where a source could not be read or none
-    exists, because a partial count is no total."""
-    skill_count = skills.groupBy("host").agg(
-        F.when(F.bool_and(F.col("content").isNotNull()), F.count(F.lit(1))).alias("skills_checked")
-    )
-    plugin_count = plugins.groupBy("host").agg(
-        F.when(
-            F.bool_and(~F.col("has_manifest") | F.col("content").isNotNull()), F.count(F.lit(1))
-        ).alias("plugins_checked")
-    )
+    exists, because a partial count is no total. ``withheld`` names the first kind."""
+
+    def count(rows: DataFrame, readable: Column, name: str) -> DataFrame:
+        whole = F.bool_and(readable)
+        return rows.groupBy("host").agg(
+            F.when(whole, F.count(F.lit(1))).alias(name), (~whole).alias(f"{name}_withheld")
+        )
+
+    skill_count = count(skills, F.col("content").isNotNull(), "skills_checked")
+    plugin_count = count(plugins, ~F.col("has_manifest") | F.col("content").isNotNull(), "plugins_checked")
     server_count = merged.filter("is_winner").groupBy("host").agg(F.count(F.lit(1)).alias("_servers"))
     servers = state.join(server_count, "host", "left").select(
         "host",
         F.when(F.col("saw_source") & ~F.col("is_partial"), F.coalesce("_servers", F.lit(0))).alias(
             "mcp_servers_checked"
         ),
+        F.col("is_partial").alias("mcp_servers_checked_withheld"),
     )
-    return skill_count.join(plugin_count, "host", "full_outer").join(servers, "host", "full_outer")
+    joined = skill_count.join(plugin_count, "host", "full_outer").join(servers, "host", "full_outer")
+    withheld = F.array_compact(
+        F.array(*[F.when(F.coalesce(f"{c}_withheld", F.lit(False)), F.lit(c)) for c in CHECKED])
+    )
+    return joined.select("host", *CHECKED, withheld.alias("withheld"))
+
+
+def fleet_totals(per_host: DataFrame, names: Sequence[str] = CHECKED) -> DataFrame:
+    """Sums over hosts; a total that lacks a withheld host is withheld too."""
+    lacks = lambda c: F.coalesce(F.bool_or(F.array_contains("withheld", c)), F.lit(False))
+    return per_host.agg(*[F.when(~lacks(c), F.sum(c)).alias(c) for c in names])
 
 
 def observed_servers(events: DataFrame, uses: DataFrame, in_window: Column) -> DataFrame:

@@ -144,11 +144,25 @@ def _(t):
        UNION ALL SELECT host, count(*), NULL, NULL FROM skills GROUP BY host""",
 )
 def _(t):
+    return _checked(t).drop("withheld")
+
+
+def _checked(t):
     return audit.checked(
         t.skills, config.plugin_files(t.config_files), _merged(t), config.source_state(t.config_files)
     )
 
 
+@query(
+    "fleet_totals",
+    """SELECT (SELECT count(*) FROM skills) AS skills_checked, count(*) AS plugins_checked,
+              CASE WHEN bool_and(c_acctbal >= 0) THEN 6 * count(*) END AS mcp_servers_checked FROM hosts""",
+)
+def _(t):
+    """A total is withheld while one host's source could not be read."""
+    return audit.fleet_totals(_checked(t))
+
+
 OBSERVED = """(
     SELECT DISTINCT 'h' || CAST(o_custkey AS STRING) AS host, CAST(o_orderkey AS STRING) AS session,
            CASE o_orderstatus WHEN 'F' THEN 'n' || CAST(o_custkey % 25 AS STRING)

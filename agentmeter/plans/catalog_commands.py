@@ -391,10 +391,14 @@ def _(t):
     " UNION ALL ".join(
         [
             spread(
-                """SELECT count(*) AS plugins_checked, sum(CASE WHEN c_acctbal >= 0 THEN 6 END) AS mcp_servers_checked
-                   FROM hosts""",
+                """SELECT count(*) AS plugins_checked,
+                          CASE WHEN bool_and(c_acctbal >= 0) THEN 6 * count(*) END AS mcp_servers_checked FROM hosts""",
                 "'corpus'", "''", "plugins_checked:plugins", "mcp_servers_checked:servers",
             ),
+            spread(
+                "SELECT host, 1 AS plugins_checked, CASE WHEN c_acctbal >= 0 THEN 6 END AS mcp_servers_checked FROM hosts",
+                "'host'", "host", "plugins_checked:plugins", "mcp_servers_checked:servers",
+            ),
             spread(
                 f"""SELECT dimension, host || '/' || key AS key, count(*) AS findings
                     FROM (SELECT * FROM {PLUGIN_FINDINGS} UNION ALL SELECT * FROM {SERVER_FINDINGS}) GROUP BY ALL""",

@@ -766,6 +766,19 @@ def _withheld(denominators: DataFrame, *names: str) -> list[DataFrame]:
     ]
 
 
+def _named(key: str) -> Column:
+    """A key with its host before it, unless the host has no name."""
+    return F.concat_ws("/", F.nullif(F.col("host"), F.lit("")), F.col(key))
+
+
+def _host_rows(per_host: DataFrame, *names: str) -> DataFrame:
+    """What was checked on each host that has a name."""
+    units = {"skills_checked": "skills", "plugins_checked": "plugins", "mcp_servers_checked": "servers"}
+    return unpivot(
+        per_host.filter("host <> ''"), "doctor", 0, "host", F.col("host"), _measures(*((n, units[n]) for n in names))
+    )
+
+
 def doctor(
     files: DataFrame,
     corpus: Corpus | None = None,
@@ -785,13 +798,8 @@ def doctor(
         audit.server_findings(merged)
     )
     counted = audit.findings_per_key(found)
-    named = lambda key: F.concat_ws("/", F.nullif(F.col("host"), F.lit("")), F.col(key))
-    denominators = audit.checked(skills, plugin_rows, merged, state).agg(
-        *[
-            F.sum(c).alias(c)
-            for c in ("skills_checked", "plugins_checked", "mcp_servers_checked")
-        ]
-    )
+    per_host = audit.checked(skills, plugin_rows, merged, state)
+    denominators = audit.fleet_totals(per_host)
     metrics = [
         corpus_rows(
             denominators, "doctor", 0,
@@ -801,19 +809,20 @@ def doctor(
                 ("mcp_servers_checked", "servers"),
             ),
         ),
+        _host_rows(per_host, *audit.CHECKED),
         unpivot(
-            counted, "doctor", 1, F.col("dimension"), named("key"), _measures(("findings", "findings"))
+            counted, "doctor", 1, F.col("dimension"), _named("key"), _measures(("findings", "findings"))
         ),
     ]
     collided = audit.collisions(merged)
     warnings = [
         warning_rows(
-            found, "doctor", "finding", _counted("{} {}: {}", "dimension", "key", "kind"), named("key")
+            found, "doctor", "finding", _counted("{} {}: {}", "dimension", "key", "kind"), _named("key")
         ),
         warning_rows(
             collided, "doctor", "collision",
             _counted("mcp server {}: {} overrides {} ({})", "name", "source", "overrides", "rule"),
-            named("name"),
+            _named("name"),
         ),
         warning_rows(
             state.filter("is_partial"), "doctor", "partial_config",
@@ -844,7 +853,7 @@ def doctor(
     metrics += [
         corpus_rows(run.placed(used), "doctor", 2, _measures(("mcp_sessions", "sessions"))),
         unpivot(
-            misses, "doctor", 3, "mcp_server", named("key"),
+            misses, "doctor", 3, "mcp_server", _named("key"),
             _measures(("never_observed", "sessions"), ("unconfigured_observed", "sessions")),
         ),
     ]
@@ -852,12 +861,12 @@ def doctor(
         warning_rows(
             misses.filter("never_observed is not null"), "doctor", "never_observed",
             _counted("{} is configured but none of {} sessions names it", "key", "never_observed"),
-            named("key"),
+            _named("key"),
         ),
         warning_rows(
             misses.filter("unconfigured_observed is not null"), "doctor", "unconfigured_observed",
             _counted("{} is used by {} sessions but no config names it", "key", "unconfigured_observed"),
-            named("key"),
+            _named("key"),
         ),
         warning_rows(
             used.filter("mcp_sessions = 0"), "doctor", "zero_denominator",
@@ -1138,10 +1147,8 @@ def opencode_doctor(
     ).withColumn("host", F.lit(host))
     misses = settle(audit.join_configured_by_prefix(configured, seen))
     no_plugins = config.plugin_files(files.limit(0))
-    denominators = audit.checked(skills, no_plugins, merged, state).agg(
-        F.sum("skills_checked").alias("skills_checked"),
-        F.sum("mcp_servers_checked").alias("mcp_servers_checked"),
-    )
+    per_host = audit.checked(skills, no_plugins, merged, state)
+    denominators = audit.fleet_totals(per_host, ("skills_checked", "mcp_servers_checked"))
     sessions = settle(seen.agg(F.countDistinct("session").alias("tool_sessions")))
     visible = sessions.filter("tool_sessions > 0") if window.active else sessions
     metrics = [
@@ -1149,21 +1156,22 @@ def opencode_doctor(
             denominators, "doctor", 0,
             _measures(("skills_checked", "skills"), ("mcp_servers_checked", "servers")),
         ),
+        _host_rows(per_host, "skills_checked", "mcp_servers_checked"),
         unpivot(
-            audit.findings_per_key(found), "doctor", 1, F.col("dimension"), F.col("key"),
+            audit.findings_per_key(found), "doctor", 1, F.col("dimension"), _named("key"),
             _measures(("findings", "findings")),
         ),
         corpus_rows(visible, "doctor", 2, _measures(("tool_sessions", "sessions"))),
         unpivot(
-            misses, "doctor", 3, "mcp_server", F.col("key"),
+            misses, "doctor", 3, "mcp_server", _named("key"),
             _measures(("never_observed", "sessions"), ("unconfigured_observed", "sessions")),
         ),
     ]
     warnings = [
-        warning_rows(found, "doctor", "finding", _counted("{} {}: {}", "dimension", "key", "kind"), F.col("key")),
+        warning_rows(found, "doctor", "finding", _counted("{} {}: {}", "dimension", "key", "kind"), _named("key")),
         warning_rows(
             configured.filter("is_disabled"), "doctor", "disabled",
-            _counted("{} is disabled: its silence is configuration at work", "name"), F.col("name"),
+            _counted("{} is disabled: its silence is configuration at work", "name"), _named("name"),
         ),
         warning_rows(
             files.sparkSession.range(1), "doctor", "plugins_unavailable",
@@ -1172,12 +1180,12 @@ def opencode_doctor(
         warning_rows(
             misses.filter("never_observed is not null"), "doctor", "never_observed",
             _counted("{} is configured but none of {} sessions names it", "key", "never_observed"),
-            F.col("key"),
+            _named("key"),
         ),
         warning_rows(
             misses.filter("unconfigured_observed is not null"), "doctor", "unconfigured_observed",
             _counted("{} is used by {} sessions but no server name prefixes it", "key", "unconfigured_observed"),
-            F.col("key"),
+            _named("key"),
         ),
         warning_rows(
             sessions.filter("tool_sessions = 0"), "doctor", "zero_denominator",
