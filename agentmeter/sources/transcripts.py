@@ -200,8 +200,10 @@ def decode_lines(lines: DataFrame) -> DataFrame:
     parsed = attachment_ops.with_keys(hashed, attachment).withColumn(
         "m", F.from_json("message", model.MESSAGE_SCHEMA)
     )
-    blocks = _message_blocks()
-    parsed = parsed.withColumn("blocks", blocks)
+    # Only blocks of these types are used, so other messages needn't be read again.
+    of_use = _may_hold("message", '"tool_use"') | _may_hold("message", '"tool_result"')
+    plain = F.from_json(F.when(of_use, F.col("message")), model.CONTENT_READINGS["text"])["content"]
+    parsed = parsed.withColumn("plain", plain).withColumn("blocks", _message_blocks())
     answers = F.filter("blocks", lambda b: b["type"] == "tool_result")
     failed = F.filter(answers, lambda b: F.coalesce(b["is_error"], F.lit(False)))
     record = F.when(
@@ -265,7 +267,10 @@ def _message_blocks() -> Column:
         "m.content",
         lambda b: F.struct(*(b[n].alias(n) for n in names), content.open_content(b["content"]).alias("content")),
     )
-    read = {kind: F.from_json("message", schema)["content"] for kind, schema in model.CONTENT_READINGS.items()}
+    read = {
+        kind: F.col("plain") if kind == "text" else F.from_json("message", schema)["content"]
+        for kind, schema in model.CONTENT_READINGS.items()
+    }
     apart = F.arrays_zip(*(of.alias(kind) for kind, of in read.items()))
     others = ("array", "object", "number", "truth")
 
@@ -275,13 +280,11 @@ def _message_blocks() -> Column:
         shape = F.struct(b["blocks"]["content"].alias("blocks"), text.alias("text"))
         return F.struct(*(b["text"][n].alias(n) for n in names), shape.alias("content"))
 
-    # Only blocks of these types are used, so other messages needn't be read again.
-    of_use = _may_hold("message", '"tool_use"') | _may_hold("message", '"tool_result"')
     strict = F.col("m.content")
-    beside = F.arrays_zip(strict.alias("strict"), read["text"].alias("plain"))
+    beside = F.arrays_zip(strict.alias("strict"), F.col("plain").alias("plain"))
     lost = lambda b: b["strict"]["content"].isNull() & b["plain"]["content"].isNotNull()
-    whole = (F.size(strict) == F.size(read["text"])) & ~F.exists(beside, lost)
-    return F.when(of_use, F.when(whole, usual).otherwise(F.transform(apart, opened)))
+    whole = (F.size(strict) == F.size("plain")) & ~F.exists(beside, lost)
+    return F.when(F.col("plain").isNotNull(), F.when(whole, usual).otherwise(F.transform(apart, opened)))
 
 
 def _uses(blocks: Column, hashes: Column) -> Column:
