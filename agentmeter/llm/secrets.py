@@ -4,7 +4,8 @@ Two first-order models over the characters of key-like strings are trained from
 documents. Labelled samples come from the text itself: the values that the fixed
 patterns find are random strings, all other runs of key characters are ordinary
 words and identifiers. A run is a secret if its log-likelihood ratio is high enough as a
-whole and for each character. Only the two count matrices, whose size is fixed by
+whole and for each character; a long run is scored in windows that overlap, and those
+that are secrets and touch are one span. Only the two count matrices, whose size is fixed by
 the alphabet, ever reach the driver.
 """
 
@@ -43,7 +44,7 @@ class Rule:
     """When a run of key characters counts as random."""
 
     least: int = 16  # characters
-    most: int = 512
+    window: int = 512  # longer runs are scored in windows of this size, each half over the next
     per_sign: float = 2.2  # nats of log-likelihood ratio
     total: float = 30.0
     digits: int = 1  # runs of letters alone are words or their joins in any language
@@ -140,21 +141,34 @@ def train(documents: DataFrame, text: str = "text") -> np.ndarray:
     return ratio.ravel()
 
 
+def _windows(start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """The run itself, or windows of ``size`` that overlap by half and reach its end."""
+    at = start
+    while end - at > size:
+        yield at, at + size
+        at += max(1, size // 2)
+    yield max(start, end - size), end
+
+
 def _random_runs(body: bytes, ratio: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
     pairs = _pairs(body)
     starts, ends = _runs((pairs[:-1] % CLASSES > 0).view(np.int8))
-    size = ends - starts
-    long = (size >= rule.least) & (size <= rule.most)
+    long = ends - starts >= rule.least
     if not long.any():
         return []
     score = np.concatenate(([0.0], np.cumsum(ratio[pairs])))
     out = []
-    for start, end in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-        llr = score[end] - score[start]
-        if llr < rule.total or llr < rule.per_sign * (end - start):
-            continue
-        if sum(c in b"0123456789" for c in body[start:end]) >= rule.digits:
-            out.append((start, end))
+    for first, last in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        for start, end in _windows(first, last, rule.window):
+            llr = score[end] - score[start]
+            if llr < rule.total or llr < rule.per_sign * (end - start):
+                continue
+            if sum(c in b"0123456789" for c in body[start:end]) < rule.digits:
+                continue
+            if out and start <= out[-1][1]:
+                out[-1] = out[-1][0], end
+            else:
+                out.append((start, end))
     return out
 
 

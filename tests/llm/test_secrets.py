@@ -96,3 +96,17 @@ def test_query_digests(spark):
 
 def test_ratio_is_finite(trained):
     assert np.isfinite(trained).all()
+
+
+@pytest.mark.parametrize("size", [513, 700, 1600, 2000])
+def test_long_keys_are_one_span(trained, size):
+    rng = random.Random(size)
+    key = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(size))
+    text = f"ü see {key} there"
+    spans = secrets.find(text.encode(), trained, secrets.Rule())
+    assert [(kind, text[a:b]) for a, kind, b in spans] == [("random", key)]
+
+
+def test_long_runs_of_plain_words_are_no_secret(trained):
+    text = "see " + "my_long_variable_name_1-" * 100 + " there"
+    assert secrets.find(text.encode(), trained, secrets.Rule()) == []
