@@ -110,3 +110,19 @@ def test_long_keys_are_one_span(trained, size):
 def test_long_runs_of_plain_words_are_no_secret(trained):
     text = "see " + "my_long_variable_name_1-" * 100 + " there"
     assert secrets.find(text.encode(), trained, secrets.Rule()) == []
+
+
+def test_letters_alone_can_be_a_key(trained):
+    rng = random.Random(11)
+    keys = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(200)]
+    found = [secrets.find(f"use {k} here".encode(), trained, secrets.Rule()) for k in keys]
+    assert sum([kind for _, kind, _ in spans] == ["random"] for spans in found) >= 198
+
+
+@pytest.mark.parametrize("beside", ["NAME=", "path/to/the/place/of/", "in_the_other_environment_it_is_the_", "thereisnothinginthispartofthename="])
+def test_ordinary_part_does_not_hide_a_key(trained, beside):
+    key = "q7ZpX2mKd9RtV4bYw8HsLc3N"
+    text = f"set {beside}{key}/{beside}end there"
+    spans = secrets.find(text.encode(), trained, secrets.Rule())
+    assert any(kind == "random" and key in text[a:b] for a, kind, b in spans)
+    assert secrets.find(f"set {beside}{beside}end there".encode(), trained, secrets.Rule()) == []
