@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import chat, decontaminate, packing, quality, secrets, separators, simhash, topk, toxicity, warc
+from agentmeter.llm import bpe, chat, decontaminate, packing, quality, secrets, separators, simhash, topk, toxicity, warc
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,6 +137,10 @@ def op10_secrets(spark: SparkSession, directory: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, directory, "documents")))
 
 
+def op11_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, directory, "documents"))))
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -155,6 +159,7 @@ def queries() -> dict[str, Query]:
             op8_topk,
             op9_toxicity,
             op10_secrets,
+            op11_bpe,
             pipeline,
         )
     }
