@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentmeter.llm import bpe, chat, decontaminate, packing, quality, secrets, separators, simhash, topk, toxicity, warc
+from agentmeter.llm import (
+    bpe,
+    chat,
+    codes,
+    decontaminate,
+    packing,
+    quality,
+    secrets,
+    separators,
+    simhash,
+    spelling,
+    topk,
+    toxicity,
+    warc,
+)
 from agentmeter.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +155,87 @@ def op11_bpe(spark: SparkSession, directory: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, directory, "documents"))))
 
 
+def op12_codes(spark: SparkSession, directory: str) -> DataFrame:
+    coded, books = codes.encode(table(spark, directory, "embeddings"))
+    return codes.with_label_errors(coded).withColumn("codebooks_sha256", F.sha2(F.lit(codes.stated(books)), 256))
+
+
+def _op12_sql() -> str:
+    """One round of assigning and averaging after the other, written out."""
+    square = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"""SELECT p.rid, p.part, min(struct_pack(d := CAST({square} AS BIGINT), e := b.entry)) AS s
+      FROM p JOIN {{book}} b USING (part) GROUP BY p.rid, p.part"""
+    steps = [
+        """v AS MATERIALIZED (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, len(v) // 8 AS w FROM v)",
+        "p AS MATERIALIZED (SELECT rid, part, v[part * w + 1 : part * w + w] AS x FROM r, (SELECT unnest(range(8)) AS part))",
+        "b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= 16)",
+    ]
+    for k in range(codes.ROUNDS):
+        steps += [
+            f"a{k} AS MATERIALIZED ({nearest.format(book=f'b{k}')})",
+            f"""m{k} AS (SELECT part, s.e AS entry, place, sum(CAST(x[place] AS HUGEINT)) AS t, count(*) AS n
+      FROM (SELECT part, s, x, unnest(range(1, len(x) + 1)) AS place FROM a{k} JOIN p USING (rid, part)) GROUP BY ALL)""",
+            f"""b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(y, x) AS x FROM b{k} LEFT JOIN (
+      SELECT part, entry, list(CAST((t - ((t % n) + n) % n) // n AS BIGINT) ORDER BY place) AS y FROM m{k} GROUP BY ALL
+    ) USING (part, entry))""",
+        ]
+    last = f"b{codes.ROUNDS}"
+    steps += [
+        f"z AS MATERIALIZED ({nearest.format(book=last)})",
+        """c AS (SELECT rid, string_agg(printf('%02x', CAST(s.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(s.d) AS BIGINT) AS error
+      FROM z GROUP BY rid)""",
+        f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM {last})",
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + """
+SELECT vec_id, label, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM r JOIN c USING (rid), h"""
+    )
+
+
+def op13_spelling(spark: SparkSession, directory: str) -> DataFrame:
+    return spelling.variants(table(spark, directory, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+), runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(id || ':' || run, ''),
+      lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))),
+    lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]))) AS h
+  FROM runs, crc
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+    CAST(sum(k) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND n >= 3
+), holes AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, k - 1) AS a, substr(word, k + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS k FROM words)
+), shorter AS (SELECT DISTINCT h.word AS long, h.n AS long_n, w.word AS short, w.n AS short_n FROM holes h JOIN words w ON w.word = h.a || h.b),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM holes x JOIN holes y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS m, min(struct_pack(n := -other_n, w := other)).w AS other FROM near GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, CASE WHEN m >= 2 * w.n THEN other END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n,
+    coalesce(n_near, 0) AS n_near FROM words w LEFT JOIN best USING (word)
+), chains AS (
+  SELECT word, word AS at, form AS further FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chains c JOIN formed f ON f.word = c.further
+)
+SELECT f.*, c.at AS root FROM formed f JOIN chains c ON c.word = f.word AND c.further IS NULL
+"""
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     return corpus_pipeline.run(spark, directory)
 
@@ -160,11 +255,21 @@ def queries() -> dict[str, Query]:
             op9_toxicity,
             op10_secrets,
             op11_bpe,
+            op12_codes,
+            op13_spelling,
             pipeline,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    stated = {"op3_chat": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op8_topk": OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    stated = {
+        "op3_chat": OP3_SQL,
+        "op4_decontamination": OP4_SQL,
+        "op5_warc": OP5_SQL,
+        "op8_topk": OP8_SQL,
+        "op12_codes": _op12_sql(),
+        "op13_spelling": OP13_SQL,
+        "pipeline": corpus_pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in stated.items() if sql}
