@@ -62,9 +62,18 @@ _DATA_URL = r"(?s)^data:image/[^,]*;base64,"
 
 
 def measure_codex(output: Column) -> Column:
-    """Text and inline image bytes of a rollout output, with what is known."""
+    """Text and inline image bytes of a rollout output, a VARIANT, with what is known."""
     blocks = F.try_variant_get(output, "$", _CODEX_BLOCKS)
-    text = json_string(output, blocks.isNull())
+    return _measured_codex(blocks, json_string(output, blocks.isNull()))
+
+
+def measure_codex_text(output: Column) -> Column:
+    """As ``measure_codex``, of an output's JSON text that no VARIANT holds; so it is no plain string."""
+    is_array = F.startswith(F.ltrim(output), F.lit("["))
+    return _measured_codex(F.from_json(F.when(is_array, output), _CODEX_BLOCKS), F.lit(None).cast("string"))
+
+
+def _measured_codex(blocks: Column, text: Column) -> Column:
     known_shape = text.isNotNull() | blocks.isNotNull()
     safe = F.coalesce(blocks, F.array().cast(_CODEX_BLOCKS))
     is_text = lambda b: F.coalesce(b["type"] == "input_text", F.lit(False))

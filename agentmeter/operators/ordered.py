@@ -112,6 +112,23 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
 
 
+def running_sum(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
+) -> DataFrame:
+    """``value`` summed up to and with each row of its key, in (chunk, order). Keys must not be NULL."""
+    local = rows.withColumn("_sum", F.sum(value).over(_up_to_here(*keys, "chunk", order=order)))
+    offsets = (
+        rows.groupBy(*keys, "chunk")
+        .agg(F.sum(value).alias("_chunk_sum"))
+        .select(*keys, "chunk", F.coalesce(F.sum("_chunk_sum").over(_before(*keys)), F.lit(0)).alias("_carried"))
+    )
+    return (
+        local.join(offsets, [*keys, "chunk"])
+        .withColumn(out, F.col("_sum") + F.col("_carried"))
+        .drop("_sum", "_carried")
+    )
+
+
 def _numbered_runs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], state: Sequence[str]) -> DataFrame:
     same = F.struct(*state)
     ordered = Window.partitionBy(*keys).orderBy(*order)

@@ -8,6 +8,8 @@ with config files. The views are plain SQL with three spelled-per-dialect
 functions, shared with the SQL that checks the results.
 """
 
+import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,6 +195,49 @@ VIEWS = {
         UNION ALL
         SELECT host, 'project', project, 'opencode.json', '{"mcp":{"' || net || '":{"command":" tool "}}}'
         FROM hosts WHERE c_acctbal >= 5000""",
+    # Rollouts with every fault a file can have, by conversation number modulo 7: 1 copies that differ, 2 results of another
+    # type, 3 parents in a circle, 4 two parents, 5 a call id passed on along a line of parents, 6 repeated keys,
+    # 0 records that are unsupported or incomplete.
+    "troubled_turns": """
+        SELECT conv_id, turn, role, g, 's' || CAST(conv_id AS STRING) AS session, CAST(length(text) % 50 AS INT) AS n,
+               CASE WHEN g = 3 THEN 's' || CAST(CASE WHEN CAST(floor(conv_id / 7) AS BIGINT) % 2 = 0 THEN conv_id + 7 ELSE conv_id - 7 END AS STRING)
+                    WHEN g = 5 AND conv_id >= 7 THEN 's' || CAST(conv_id - 7 AS STRING)
+                    WHEN g = 4 THEN 'x0' ELSE '' END AS parent,
+               CASE WHEN g = 5 AND asked < 2 THEN 'shared' ELSE 'c' || CAST(conv_id AS STRING) || '_' || CAST(asked AS STRING) END AS call_id,
+               CASE WHEN g = 2 AND asked < 2 THEN 'custom_tool_call_output' ELSE 'function_call_output' END AS result_type
+        FROM (SELECT *, conv_id % 7 AS g, CASE WHEN role = 'assistant' THEN turn - 1 ELSE turn END AS asked FROM conversations) c0""",
+    "troubled": """
+        SELECT file, pos, session, type, kind, item, call_id, tool, parent, n, payload FROM (
+            SELECT CAST(conv_id AS STRING) AS file, turn * 4 AS pos, session, 'session_meta' AS type, 'header' AS kind, '' AS item,
+                   '' AS call_id, '' AS tool, parent, 0 AS n,
+                   '{"id":"' || session || '"' || CASE WHEN parent = '' THEN '' ELSE ',"forked_from_id":"' || parent || '"' END
+                   || '}' AS payload
+            FROM troubled_turns WHERE turn = 0
+            UNION ALL
+            SELECT CAST(conv_id AS STRING), 1, session, 'session_meta', 'header', '', '', '', 'y0', 0,
+                   '{"id":"' || session || '","forked_from_id":"","parent_thread_id":"y0"}'
+            FROM troubled_turns WHERE turn = 0 AND g = 4
+            UNION ALL
+            SELECT CAST(conv_id AS STRING), turn * 4 + 2, session, 'response_item', 'call', 'function_call', call_id, 'tool' || CAST(g AS STRING),
+                   '', 0, '{' || CASE WHEN g = 6 THEN '"type":"message",' ELSE '' END || '"type":"function_call","call_id":"' || call_id
+                   || '","name":"tool' || CAST(g AS STRING) || '","arguments":"{}"}'
+            FROM troubled_turns WHERE role = 'user'
+            UNION ALL
+            SELECT CAST(conv_id AS STRING), turn * 4 + 3, session, 'response_item', 'call', 'function_call', call_id, 'other',
+                   '', 0, '{"type":"function_call","call_id":"' || call_id || '","name":"other","arguments":"{}"}'
+            FROM troubled_turns WHERE role = 'user' AND g = 1 AND turn < 2
+            UNION ALL
+            SELECT CAST(conv_id AS STRING), turn * 4 + 2, session, 'response_item', 'result', result_type, call_id, '',
+                   '', n, '{"type":"' || result_type || '","call_id":"' || call_id || '","output":'
+                   || CASE WHEN g = 6 THEN '[{"type":"input_text","type":"input_text","text":"' || repeat('x', n) || '"}]'
+                           ELSE '"' || repeat('x', n) || '"' END || '}'
+            FROM troubled_turns WHERE role = 'assistant'
+            UNION ALL
+            SELECT CAST(conv_id AS STRING), turn * 4 + 3, session, 'response_item',
+                   CASE WHEN role = 'user' THEN 'malformed' ELSE 'unsupported' END, '', '', '', '', 0,
+                   CASE WHEN role = 'user' THEN '{"type":"function_call","call_id":7,"name":"x"}' ELSE '{"type":"web_search_call"}' END
+            FROM troubled_turns WHERE g = 0
+        ) f0""",
     "rollout": """
         SELECT CAST(conv_id AS STRING) AS file, turn * 2 AS pos, conv_id, turn, role, text,
                'session_meta' AS type, CAST(NULL AS STRING) AS body
@@ -279,9 +324,16 @@ class Tables:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     def _view(self, name: str, **sources: DataFrame) -> DataFrame:
+        """The view over ``sources``; they are known to the session only while it is read, by names of their own."""
+        sql, private = render(VIEWS[name], _SPARK), []
         for source, df in sources.items():
-            df.createOrReplaceTempView(source)
-        return self.spark.sql(render(VIEWS[name], _SPARK))
+            private.append(f"{source}_{uuid.uuid4().hex}")
+            df.createOrReplaceTempView(private[-1])
+            sql = re.sub(rf"\bFROM {source}\b", f"FROM {private[-1]}", sql)
+        found = self.spark.sql(sql)
+        for view in private:
+            self.spark.catalog.dropTempView(view)
+        return found
 
     @cached_property
     def t(self):
@@ -403,6 +455,20 @@ class Tables:
             "turn",
         )
 
+    @cached_property
+    def troubled(self):
+        """Records of rollouts with faults, as ``rollouts.read_rollouts`` gives them."""
+        turns = self._view("troubled_turns", conversations=self.table("conversations"))
+        return self._view("troubled", troubled_turns=turns).select(
+            "file",
+            F.floor(F.col("pos") / ROWS_PER_CHUNK).alias("chunk"),
+            F.col("pos").cast("bigint").alias("pos"),
+            "type",
+            F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+            "payload",
+            F.lit(False).alias("is_broken"),
+        )
+
     @cached_property
     def scoped(self):
         return rollouts.scope(self.rollout_records)

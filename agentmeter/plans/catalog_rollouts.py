@@ -6,6 +6,7 @@ from agentmeter.functions import names
 from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import codex, opencode
 from agentmeter.plans.catalog import query
+from agentmeter.session import scratch_path
 from agentmeter.sources import rollouts
 
 ROLLOUT_SQL = """(
@@ -196,17 +197,101 @@ def _(t):
     f"""WITH RECURSIVE ids AS (SELECT DISTINCT session, call_id FROM {ROLLOUT_SQL} WHERE role = 'user'),
         links AS (SELECT DISTINCT 's' || conv_id AS session, 's' || (conv_id // 2) AS parent FROM conversations
                   WHERE turn = 0 AND conv_id > 0),
-        up(session, call_id, ancestor) AS (
-            SELECT i.session, i.call_id, l.parent FROM ids i JOIN links l ON i.session = l.session
+        up(session, call_id, ancestor, steps) AS (
+            SELECT i.session, i.call_id, l.parent, 1 FROM ids i JOIN links l ON i.session = l.session
             UNION ALL
-            SELECT u.session, u.call_id, l.parent FROM up u JOIN links l ON u.ancestor = l.session)
-        SELECT u.call_id, u.session, u.ancestor FROM up u JOIN ids i ON i.session = u.ancestor AND i.call_id = u.call_id""",
+            SELECT u.session, u.call_id, l.parent, steps + 1 FROM up u JOIN links l ON u.ancestor = l.session)
+        SELECT u.call_id, u.session, min_by(u.ancestor, u.steps) AS ancestor
+        FROM up u JOIN ids i ON i.session = u.ancestor AND i.call_id = u.call_id GROUP BY ALL""",
 )
 def _(t):
+    """The nearest ancestor that has the call as well."""
     calls = t.codex_collapsed.filter("kind = 'call'").select("session", "call_id")
     return codex.inherited_calls(calls, codex.parents(t.scoped))
 
 
+#: Calls and results of the faulty rollouts, first copies joined, and what makes them ambiguous.
+TROUBLED_SQL = """calls0 AS (SELECT session, call_id, min_by(tool, pos) AS tool, min(payload) <> max(payload) AS differ
+                 FROM troubled WHERE kind = 'call' GROUP BY ALL),
+        results0 AS (SELECT session, call_id, min_by(item, pos) AS item, min_by(n, pos) AS n FROM troubled WHERE kind = 'result' GROUP BY ALL),
+        joined0 AS (SELECT c.session, c.call_id, c.tool, r.n, CASE WHEN r.item IS NULL THEN 'unanswered'
+                    WHEN r.item <> 'function_call_output' THEN 'type_mismatch' ELSE 'joined' END AS status
+                    FROM calls0 c LEFT JOIN results0 r USING (session, call_id)),
+        parents0 AS (SELECT session, min(parent) AS parent, min(parent) <> max(parent) AS differ FROM troubled
+                     WHERE kind = 'header' AND parent <> '' GROUP BY ALL),
+        walk(session, reached, steps) AS (
+            SELECT session, parent, 1 FROM parents0
+            UNION ALL SELECT w.session, p.parent, steps + 1 FROM walk w JOIN parents0 p ON w.reached = p.session WHERE steps < 2000),
+        circle AS (SELECT DISTINCT session FROM walk WHERE steps = 2000),
+        faults AS (
+            SELECT 'conflicting_copies' AS kind, session, call_id, '' AS other FROM calls0 WHERE differ
+            UNION ALL SELECT 'type_mismatch', session, call_id, '' FROM joined0 WHERE status = 'type_mismatch'
+            UNION ALL SELECT 'conflicting_ancestry', session, '', '' FROM parents0 WHERE differ
+            UNION ALL SELECT 'cyclic_ancestry', session, '', '' FROM circle WHERE session IN (SELECT session FROM calls0)
+            UNION ALL SELECT 'inherited_call', w.session, w.call_id, min_by(w.reached, w.steps) FROM (
+                SELECT w.*, c.call_id FROM walk w JOIN calls0 c USING (session) WHERE session NOT IN (FROM circle)) w
+                JOIN calls0 o ON o.session = w.reached AND o.call_id = w.call_id GROUP BY w.session, w.call_id)"""
+
+
+def _troubled(t):
+    """(items, collapsed copies, joined calls, errors) of the faulty rollouts."""
+    scoped = rollouts.scope(t.troubled)
+    item_rows = codex.items(scoped)
+    collapsed = codex.collapse_copies(item_rows)
+    joined = codex.join_results(collapsed)
+    return item_rows, collapsed, joined, codex.quality_errors(collapsed, joined, codex.parents(scoped))
+
+
+@query("rollout_quality", f"WITH RECURSIVE {TROUBLED_SQL} SELECT * FROM faults")
+def _(t):
+    """Everything that makes a joined figure ambiguous."""
+    return _troubled(t)[3]
+
+
+@query(
+    "rollout_taint",
+    f"""WITH RECURSIVE {TROUBLED_SQL},
+        named AS (SELECT DISTINCT t.tool, f.kind FROM faults f JOIN troubled t ON t.kind = 'call' AND t.session = f.session
+                  AND f.call_id IN ('', t.call_id)),
+        whys AS (SELECT tool, string_agg(kind, ',' ORDER BY CASE kind WHEN 'conflicting_copies' THEN 0 WHEN 'type_mismatch' THEN 1
+                     WHEN 'conflicting_ancestry' THEN 2 WHEN 'cyclic_ancestry' THEN 3 ELSE 4 END) AS taint FROM named GROUP BY tool)
+        SELECT tool, coalesce(taint, '') AS taint, CASE WHEN taint IS NULL THEN count(*) FILTER (WHERE status = 'joined') END AS calls,
+               CASE WHEN taint IS NULL THEN CAST(coalesce(sum(n) FILTER (WHERE status = 'joined'), 0) AS BIGINT) END AS context_bytes,
+               CASE WHEN taint IS NULL THEN count(call_id) END AS uses,
+               CASE WHEN taint IS NULL THEN count(*) FILTER (WHERE status = 'unanswered') END AS unanswered
+        FROM joined0 FULL JOIN whys USING (tool) GROUP BY tool, taint""",
+)
+def _(t):
+    """Figures by tool, those that an ambiguous join enters withheld."""
+    item_rows, _, joined, errors = _troubled(t)
+    rolled = codex.tainted(codex.rollup(joined, ALWAYS.includes_nanos), item_rows, errors)
+    names = codex.taint_names(F.col("taint")).alias("taint")
+    by_tool = codex.fold(rolled.filter("tool is not null"), "tool")
+    return by_tool.select("tool", names, "calls", "context_bytes", "uses", "unanswered")
+
+
+@query(
+    "rollout_files",
+    """SELECT kind, count(*) AS records, CAST(sum(n) AS BIGINT) AS text_bytes, count(DISTINCT session) AS sessions
+       FROM troubled WHERE kind <> 'header' GROUP BY kind""",
+)
+def _(t):
+    """The faulty rollouts written as lines and read from files, repeated keys included."""
+    path = scratch_path(t.spark, "rollouts")
+    line = F.concat(
+        F.lit('{"timestamp":"'), "timestamp", F.lit('","type":"'), "type", F.lit('","payload":'), "payload", F.lit("}")
+    )
+    ordered = t.troubled.repartitionByRange("file").sortWithinPartitions("file", "pos")
+    ordered.select(line.alias("value")).write.text(path)
+    scoped = rollouts.scope(rollouts.read_rollouts(t.spark, path, "*.txt"))
+    rollouts.require_sessions(rollouts.record_quality(scoped), path)
+    return codex.items(scoped).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.coalesce(F.sum("size.text_bytes"), F.lit(0)).alias("text_bytes"),
+        F.countDistinct("session").alias("sessions"),
+    )
+
+
 @query(
     "rollout_cycles",
     """WITH RECURSIVE links AS (

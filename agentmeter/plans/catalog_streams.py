@@ -1,34 +1,53 @@
-"""Streaming forms, each run to completion over the given tables."""
+"""Streaming forms, each fed over several runs: rows are landed in scan order, every run goes on from
+the checkpoint of the one before, and a heartbeat closes what is open."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentmeter.plans import adapters
 from agentmeter.plans.catalog import query
+from agentmeter.plans.catalog_calls import loops_sql
 from agentmeter.session import scratch_path
-from agentmeter.streaming import streams
-
-
-def _stream(t, name: str) -> DataFrame:
-    """One table as a file stream (a glob, because a stream reads folders)."""
-    schema = t.table(name).schema
-    return t.spark.readStream.schema(schema).parquet(f"{t.directory}/{name}*.parquet")
-
-
-def _run(t, df: DataFrame, mode: str) -> DataFrame:
-    """Drain the source and hand back what the sink holds."""
-    out, mark = scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-state")
-    if mode == "append":
-        writer = df.writeStream.format("parquet").option("path", out)
-    else:
-        writer = df.writeStream.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(out)
-        )
-    started = (
-        writer.outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    )
-    started.awaitTermination()
-    return t.spark.read.schema(df.schema).parquet(out)
+from agentmeter.streaming import loops, streams
+
+SLICES = 2
+
+
+class _Landing:
+    """A landing folder that a table's rows come into slice by slice."""
+
+    def __init__(self, rows: DataFrame, time: str, order: str, ahead: str):
+        self.rows, self.time, self.order, self.ahead = rows, time, order, ahead
+        self.spark = rows.sparkSession
+        self.path = scratch_path(self.spark, "landing")
+        seconds = F.col(order).cast("timestamp").cast("double") if order == time else F.col(order)
+        self.bounds = rows.select(seconds.alias("o")).agg(F.min("o"), F.max("o")).first()
+        self.seconds = seconds
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.rows.schema).parquet(self.path)
+
+    def land(self, k: int) -> None:
+        """Slice ``k``, or after the last the heartbeat."""
+        if k == SLICES:
+            mine = streams.heartbeat(self.rows, self.time, self.ahead)
+        else:
+            low, high = self.bounds
+            if low is None:
+                mine = self.rows
+            else:
+                part = F.floor((self.seconds - low) * SLICES / (high - low + 1))
+                mine = self.rows.where(F.coalesce(part, F.lit(0)) == k)
+        mine.write.mode("append").parquet(self.path)
+
+
+def _drained(t, landings: list[_Landing], build) -> DataFrame:
+    out, mark = scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-mark")
+    for k in range(SLICES + 1):
+        for landing in landings:
+            landing.land(k)
+        rows = build(*(landing.stream() for landing in landings))
+        streams.drain(rows, out, mark)
+    return t.spark.read.schema(rows.schema).parquet(out)
 
 
 @query(
@@ -36,64 +55,57 @@ def _run(t, df: DataFrame, mode: str) -> DataFrame:
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events FROM events GROUP BY ALL",
 )
 def _(t):
-    events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(t, streams.daily_counts(events, "ts", ["event_type"], "2 days"), "complete")
+    events = t.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    landing = _Landing(events, "ts", "ts", "4 DAYS")
+    return _drained(t, [landing], lambda rows: streams.daily_counts(rows, "ts", ["event_type"], "2 days"))
 
 
 @query("stream_distinct_responses", "SELECT DISTINCT message_id FROM usage")
 def _(t):
-    events = _stream(t, "events")
-    events.createOrReplaceTempView("events")
-    staged = t.spark.sql(adapters.render(adapters.VIEWS["t"], adapters._SPARK))
-    staged.createOrReplaceTempView("t")
-    usage = t.spark.sql(adapters.render(adapters.VIEWS["usage"], adapters._SPARK))
-    timed = usage.select("message_id", F.to_timestamp("ts").alias("at"))
-    distinct = streams.distinct_responses(timed, "at", "90 days").select("message_id")
-    return _run(t, distinct, "append")
+    usage = t.usage.select("message_id", F.to_timestamp("ts").alias("at"), "pos")
+    landing = _Landing(usage, "at", "pos", "1 DAY")
+    distinct = lambda rows: streams.distinct_responses(rows, "at", "90 days").select("message_id")
+    return _drained(t, [landing], distinct).where("message_id IS NOT NULL")
 
 
-@query(
-    "stream_answered_uses",
-    """SELECT o_orderkey AS use_id, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-       WHERE l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 700 DAY""",
-)
-def _(t):
-    """Orders as calls, line items as results, matched within 700 days."""
-    uses = _stream(t, "orders").select(
+def _answers_sql(within: str) -> str:
+    return f"""SELECT o_orderkey AS use_id, l_linenumber, l_orderkey IS NOT NULL AS answered
+       FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+         AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL {within}"""
+
+
+def _answers(t, within: str, beyond: str) -> DataFrame:
+    """Orders as calls, line items as results."""
+    uses = t.table("orders").select(
         F.col("o_orderkey").alias("use_id"), F.col("o_orderdate").cast("timestamp").alias("use_time")
     )
-    results = _stream(t, "lineitem").select(
+    results = t.table("lineitem").select(
         F.col("l_orderkey").alias("result_of"), F.col("l_shipdate").cast("timestamp").alias("result_time"), "l_linenumber"
     )
-    joined = streams.answered_uses(uses, results, "700 DAYS", "1 day").select("use_id", "result_of", "l_linenumber")
-    return _run(t, joined, "append").filter("result_of is not null").select("use_id", "l_linenumber")
+    # The later landing's first slice may hold times beyond the other's, so both wait for the slower watermark.
+    landings = [_Landing(uses, "use_time", "use_time", beyond), _Landing(results, "result_time", "result_time", beyond)]
+    joined = _drained(t, landings, lambda left, right: streams.answered_uses(left, right, within, "1 day"))
+    return joined.select("use_id", "l_linenumber", F.col("result_of").isNotNull().alias("answered"))
 
 
-@query(
-    "stream_retry_loops",
-    """SELECT session, event_type AS tool, CAST(mono AS VARCHAR) AS hash, count(*) AS streak, min(pos) AS pos
-       FROM (SELECT *, sum(brk) OVER (PARTITION BY session ORDER BY pos) AS run FROM (
-                 SELECT *, CASE WHEN mono = lag(mono) OVER w AND err = lag(err) OVER w THEN 0 ELSE 1 END AS brk
-                 FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS session, event_id AS pos, 'x' AS event_type,
-                              user_id % 2 AS mono, event_type IN ('error', 'view') AS err FROM events)
-                 WINDOW w AS (PARTITION BY session ORDER BY pos)))
-       WHERE err GROUP BY session, event_type, mono, run HAVING count(*) >= 3""",
-)
+@query("stream_answered_uses", _answers_sql("700 DAY"))
+def _(t):
+    return _answers(t, "700 DAYS", "800 DAYS")
+
+
+@query("stream_unanswered_uses", f"SELECT use_id FROM ({_answers_sql('7 DAY')}) WHERE NOT answered")
+def _(t):
+    """Calls that no result answered within a week."""
+    return _answers(t, "7 DAYS", "200 DAYS").where("NOT answered").select("use_id")
+
+
+@query("stream_retry_loops", loops_sql(False))
 def _(t):
-    events = _stream(t, "events")
-    steps = events.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session"),
-        F.floor(F.col("event_id") / adapters.ROWS_PER_CHUNK).cast("bigint").alias("chunk"),
-        F.col("event_id").alias("pos"),
-        F.lit(0).cast("bigint").alias("idx"),
-        F.lit("x").alias("tool"),
-        (F.col("user_id") % 2).cast("string").alias("hash"),
-        F.col("event_type").isin("error", "view").alias("is_error"),
-        F.lit(0).alias("denied"),
+    """The batch operator's loops, found while the joined results come in."""
+    steps = t.matched.select(
+        "session", "chunk", "pos", "idx", "tool", "hash", "is_error",
+        (F.col("denial") != "").cast("int").alias("denied"), F.to_timestamp("ts").alias("at"),
     )
-    out, state = scratch_path(t.spark, "loops"), scratch_path(t.spark, "loop-state")
-    streams.start_retry_loops(steps, out, state, scratch_path(t.spark, "loop-mark")).awaitTermination()
-    last = streams.latest_state(t.spark, state)
-    closed = t.spark.read.parquet(out).drop("batch")
-    columns = ["session", "tool", "hash", "streak", "pos"]
-    return closed.select(*columns).unionByName(streams.still_open_loops(last).select(*columns))
+    landing = _Landing(steps, "at", "pos", "400 DAYS")
+    found = _drained(t, [landing], lambda rows: loops.retry_loops(rows, "90 DAYS", "1 DAY"))
+    return found.select("session", "tool", "hash", "streak", "denied", "pos")

@@ -944,6 +944,32 @@ def summary(metrics: DataFrame) -> DataFrame:
     return stack_rows([concentration, *singles, thinnest])
 
 
+#: What each ambiguity says, with its session, call and other session.
+_AMBIGUITY_TEXTS = {
+    "conflicting_copies": ("session {}: the copies of call {} differ", "session", "call_id"),
+    "type_mismatch": ("session {}: call {} has a result of another type", "session", "call_id"),
+    "conflicting_ancestry": ("session {} names more than one parent", "session"),
+    "cyclic_ancestry": ("session {}: its ancestry leads back to itself", "session"),
+    "inherited_call": ("session {}: call {} is also one of session {}, which it descends from", "session", "call_id", "other"),
+}
+
+
+def _ambiguities(errors: DataFrame, per_tool: DataFrame) -> list[DataFrame]:
+    found = [
+        warning_rows(errors.filter(F.col("kind") == kind), "tools", kind, _counted(*text), F.concat_ws("/", "session", "call_id"))
+        for kind, text in _AMBIGUITY_TEXTS.items()
+    ]
+    names = codex_ops.taint_names(F.col("taint"))
+    held = per_tool.filter("taint <> 0").select(F.coalesce("tool", F.lit("(none)")).alias("tool"), names.alias("why"))
+    return [
+        *found,
+        warning_rows(held, "tools", "withheld", _counted("{}: figures withheld because of {}", "tool", "why"), F.col("tool")),
+        warning_rows(
+            errors.limit(1), "tools", "withheld_total", F.lit("totals that ambiguous joins enter are withheld")
+        ),
+    ]
+
+
 def codex_tools(
     scoped: DataFrame,
     listing_bytes: DataFrame,
@@ -951,24 +977,34 @@ def codex_tools(
     version: str = __version__,
     directory: str = "",
     strict: bool = True,
+    withhold: bool = False,
 ) -> Envelope:
     """``scoped`` comes from ``sources.rollouts.scope``; ``listing_bytes`` is a
-    one-row total of file sizes."""
+    one-row total of file sizes. A corpus without any session is refused.
+
+    ``strict`` refuses a corpus with ambiguous joins. Without it ``withhold`` leaves out the figures that they
+    enter and warns of each; with neither, joins aren't checked and of differing copies the first counts.
+    """
     includes = window.includes_nanos
+    quality = settle(rollouts.record_quality(scoped))
+    rollouts.require_sessions(quality, directory)
     item_rows = settle(codex_ops.items(scoped))
     collapsed = settle(codex_ops.collapse_copies(item_rows))
     joined = settle(codex_ops.join_results(collapsed))
     links = settle(codex_ops.parents(scoped))
-    errors = codex_ops.quality_errors(collapsed, joined, links)
-    if strict:
-        codex_ops.raise_on(errors)
-    rolled = settle(codex_ops.rollup(joined, includes))
-    totals = codex_ops.fold(rolled).withColumn(
-        "distinct_tools", rolled.filter("calls > 0").agg(F.countDistinct("tool")).scalar()
-    )
+    rolled = codex_ops.rollup(joined, includes)
+    errors = None
+    if strict or withhold:
+        errors = settle(codex_ops.quality_errors(collapsed, joined, links))
+        if strict:
+            codex_ops.raise_on(errors)
+        else:
+            rolled = codex_ops.tainted(rolled, item_rows, errors)
+    rolled = settle(rolled)
+    distinct_tools = rolled.filter("calls > 0").agg(F.countDistinct("tool")).scalar()
+    totals = codex_ops.fold(rolled).withColumn("distinct_tools", F.when(F.col("taint") == 0, distinct_tools))
     per_tool = codex_ops.fold(rolled.filter("calls > 0"), "tool")
     per_server = codex_ops.fold(rolled.filter("calls > 0 and server <> ''"), "server")
-    quality = settle(rollouts.record_quality(scoped))
     live = scoped.filter("status = 'ok'")
     stamped = F.when(F.col("ts") != "", F.col("ts"))
     span = settle(
@@ -1044,6 +1080,16 @@ def codex_tools(
             _counted("{} lines failed to decode", "parse_errors"),
         ),
     ]
+    if errors is None:
+        warnings.append(warning_rows(spark.range(1), "tools", "unchecked", F.lit("joins were not checked for ambiguity")))
+    else:
+        warnings += _ambiguities(errors, codex_ops.fold(rolled, "tool"))
+    warnings.append(
+        warning_rows(
+            links.limit(1), "tools", "ancestry",
+            F.lit("records belong to the session of their own header; history outside the corpus is not followed"),
+        )
+    )
     if window.active:
         warnings.append(
             warning_rows(

@@ -60,3 +60,14 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back.
+
+    For tables that joins read again: unlike a checkpoint the copy has statistics, and its
+    readers see only the columns they use.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

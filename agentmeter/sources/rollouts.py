@@ -20,6 +20,20 @@ def json_text(value: Column, path: str) -> Column:
     )
 
 
+def typed_fields(payload: Column, *names: str) -> Column:
+    """Fields of a JSON object as a struct of VARIANTs.
+
+    Each is read by itself: of a key that occurs twice the last value counts, and a value in which a key
+    occurs twice, which no VARIANT can hold, loses that field only.
+    """
+    return F.from_json(payload, ", ".join(f"{name} VARIANT" for name in names))
+
+
+def field_text(value: Column) -> Column:
+    """The text of a VARIANT that is a string; NULL for any other."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def normalise_timestamp(ts: Column) -> Column:
     """RFC 3339 as a fixed nine-digit UTC string that sorts by time; NULL when
     it is not one. Nanoseconds survive because only whole seconds are shifted."""
@@ -37,11 +51,11 @@ def normalise_timestamp(ts: Column) -> Column:
     )
 
 
-def read_rollouts(spark: SparkSession, directory: str) -> DataFrame:
+def read_rollouts(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     raw = (
         spark.read.schema(model.CODEX_SCHEMA)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", JSONL_GLOB)
+        .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(directory)
@@ -70,7 +84,7 @@ def scope(records: DataFrame) -> DataFrame:
         & (F.coalesce(F.col("type"), F.lit("")) != "")
         & F.startswith(F.coalesce(F.col("payload"), F.lit("")), F.lit("{"))
     )
-    header = F.coalesce(json_text(F.try_parse_json("payload"), "$.id"), F.lit(""))
+    header = F.coalesce(field_text(typed_fields(F.col("payload"), "id")["id"]), F.lit(""))
     is_header = usable & (F.col("type") == "session_meta")
     scoped = fill_forward(records, ["file"], F.when(is_header, header), "_session")
     session = F.nullif(F.col("_session"), F.lit(""))
@@ -108,3 +122,13 @@ def record_quality(scoped: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_rollout")).alias("excluded_files"),
         *[total(c) for c in ("parse_errors", "invalid_times", "unscoped_records", "unknown_events")],
     )
+
+
+def require_sessions(quality: DataFrame, directory: str = "") -> None:
+    """Refuse a corpus in which no file has a session header: it is empty or of another kind."""
+    found = quality.first()
+    if not found.files:
+        raise ValueError(
+            f"no session header with an id in {directory or 'the rollout files'}: "
+            f"{found.excluded_files} files, {found.parse_errors} malformed records"
+        )

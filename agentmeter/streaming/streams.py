@@ -1,20 +1,30 @@
-"""Structured Streaming forms of the counters, the dedupe, the use-to-result
-join and the retry-loop detector.
+"""Structured Streaming forms of the counters, the dedupe and the use-to-result join, and how they are run.
 
 Sources are topics or landing tables: a file source sees new files, not lines
 appended to old ones, so live transcripts are landed as micro-files first.
+
+Everything here appends, so state goes as the watermark passes it. What a stream still holds when its
+corpus is complete comes out after a ``heartbeat``: a row without any value but its time, far enough
+ahead that the watermark passes all that came before.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from agentmeter.model import RETRY_LOOP_MIN
-from agentmeter.operators.ordered import collapse_runs, last_per_key
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def daily_counts(events: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
-    """Events per day and key; a day closes once the watermark passes it."""
+    """Events per day and key. A day comes out, and leaves the state, once the watermark passes it.
+
+    A row later than ``late`` behind the newest one is counted by ``Drained.late_rows``, not here. Rows
+    without a time have no day.
+    """
     return (
         events.withWatermark(time, late)
         .groupBy(F.window(time, "1 day").alias("w"), *keys)
@@ -32,81 +42,78 @@ def answered_uses(
     uses: DataFrame, results: DataFrame, answer_within: str, late: str
 ) -> DataFrame:
     """Calls with their results; a call nobody answers in time comes out with a
-    NULL result. Needs (use_id, use_time) and (result_of, result_time)."""
+    NULL result, once both watermarks are past its time. Needs (use_id, use_time) and (result_of, result_time)."""
     left = uses.withWatermark("use_time", late)
     right = results.withWatermark("result_time", late)
     in_time = (F.col("result_time") >= F.col("use_time")) & (
         F.col("result_time") <= F.col("use_time") + F.expr(f"INTERVAL {answer_within}")
     )
-    return left.join(right, (F.col("use_id") == F.col("result_of")) & in_time, "left_outer")
-
-
-def _folder(spark, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    # Were it joined by the bare column, rows without one, heartbeats among them, would be dropped before they
+    # could move the watermark.
+    named = F.coalesce(F.col("result_of").cast("string"), F.lit("\0"))
+    joined = left.join(right, (F.col("use_id").cast("string") == named) & in_time, "left_outer")
+    # A heartbeat is no call. The time in the condition keeps it behind the watermark.
+    return joined.where(F.col("use_id").isNotNull() | F.col("use_time").isNull())
+
+
+def heartbeat(rows: DataFrame, time: str, ahead: str) -> DataFrame:
+    """One row of ``rows``' columns, all NULL but ``time``: the newest one and ``ahead`` more. No rows give none."""
+    newest = rows.agg(F.max(time).alias("_newest")).where("_newest IS NOT NULL")
+    moved = (F.col("_newest") + F.expr(f"INTERVAL {ahead}")).cast(rows.schema[time].dataType)
+    return newest.select(
+        *[moved.alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    )
 
 
-def latest_state(spark: SparkSession, state: str) -> DataFrame:
-    """Open error runs after the newest finished batch."""
-    at, system = _folder(spark, state)
-    done = [
-        int(entry.getPath().getName())
-        for entry in system.listStatus(at)
-        if system.exists(_folder(spark, f"{state}/{entry.getPath().getName()}/_SUCCESS")[0])
-    ]
-    return spark.read.parquet(f"{state}/{max(done)}")
+@dataclass
+class Drained:
+    """What the batches of one run reported, by batch."""
 
+    state_rows: dict[int, int] = field(default_factory=dict)
+    dropped: dict[int, int] = field(default_factory=dict)
 
-_STEP = ("session", "chunk", "pos", "idx", "tool", "hash", "is_error", "streak", "denied")
+    @property
+    def late_rows(self) -> int:
+        """Rows that came after the watermark had closed their time. Rows of one key and day that a task had
+        already counted together are one here."""
+        return sum(self.dropped.values())
 
+    def _read(self, progress: list) -> None:
+        for p in progress:
+            operators = p["stateOperators"]
+            self.state_rows[p["batchId"]] = sum(o["numRowsTotal"] for o in operators)
+            # A batch that ran again after a failure reports again.
+            self.dropped[p["batchId"]] = sum(o["numRowsDroppedByWatermark"] for o in operators)
 
-def start_retry_loops(
-    results: DataFrame, output: str, state: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Writes each loop that a later result closed to ``output``.
 
-    Each micro-batch runs the chunked batch operator, so a session of any size
-    is spread over tasks, and carries one row per session whose last result was
-    an error. Output and state are folders named after the batch: a batch that
-    is replayed after a failure overwrites exactly what it wrote before.
-    """
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for queries started meanwhile."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumns(
-            {"streak": F.lit(1).cast("bigint"), "denied": F.col("denied").cast("bigint")}
-        ).select(*_STEP)
-        rows = fresh
-        if batch_id > 0:
-            rows = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{state}/{batch_id - 1}"))
-        runs = collapse_runs(rows, ["session"], ["tool", "hash", "is_error"], ["streak", "denied"])
-        runs = runs.persist()
-        try:
-            open_runs = last_per_key(runs.withColumn("idx", F.lit(0).cast("bigint")), "session")
-            open_runs.filter("is_error").select(*_STEP).write.mode("overwrite").parquet(
-                f"{state}/{batch_id}"
-            )
-            closed = runs.join(
-                open_runs.select("session", F.col("chunk").alias("_c"), F.col("pos").alias("_p")), "session"
-            ).filter("chunk <> _c or pos <> _p")
-            _loops(closed).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-        finally:
-            runs.unpersist()
-        # A replay needs the state before its own batch; anything older is done.
-        old, system = _folder(spark, f"{state}/{batch_id - 2}")
-        system.delete(old, True)
-
-    writer = results.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _loops(runs: DataFrame) -> DataFrame:
-    return runs.filter(F.col("is_error") & (F.col("streak") >= RETRY_LOOP_MIN)).select(
-        "session", "tool", "hash", "streak", "denied", "pos"
-    )
 
+def drain(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> Drained:
+    """Append what ``rows`` gives for all that its sources hold now to the Parquet folder ``path``.
 
-def still_open_loops(state: DataFrame) -> DataFrame:
-    """Loops that no later result has closed yet, from the last state folder."""
-    return _loops(state)
-
+    Called again with the same ``checkpoint`` it goes on where it was, after a failure too, and adds nothing twice.
+    """
+    with _keyed_state(rows.sparkSession):
+        query = (
+            rows.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    found = Drained()
+    # Progress is kept for the last hundred batches only.
+    while not query.awaitTermination(2):
+        found._read(query.recentProgress)
+    found._read(query.recentProgress)
+    return found

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import value_of
+from helpers import value_of
 from pyspark.sql import functions as F
 
 from agentmeter.operators import audit

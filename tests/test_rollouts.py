@@ -1,7 +1,7 @@
 """Rollout files: scoping, timestamps, joins and what makes them unsafe."""
 
 import pytest
-from conftest import value_of
+from helpers import value_of
 from pyspark.sql import functions as F
 
 from agentmeter.functions.window import TimeWindow
@@ -114,3 +114,64 @@ def test_window_is_nanosecond_exact(spark, write_jsonl):
     assert value_of(run(spark, directory, TimeWindow(until="2026-09-01")).metrics, "calls") == 1
     exact = TimeWindow(until="2026-09-01T23:59:59.999Z")
     assert value_of(run(spark, directory, exact).metrics, "calls") == 0
+
+
+def test_ambiguous_figures_are_withheld_with_a_warning(spark, write_jsonl):
+    directory = write_jsonl(
+        "a.jsonl",
+        meta("sure"), call("k", name="fine"), output("k", "four"),
+        meta("s"), call("c", name="one"), call("c", name="two"), output("c", "x"),
+        call("d", name="three"), output("d", "y", kind="custom_tool_call_output"),
+        meta("p"), call("i", name="four"), meta("q", forked_from_id="p"), call("i", name="four"), output("i", "z"),
+        meta("u", forked_from_id="v"), call("u", name="five"), meta("v", forked_from_id="u"),
+        meta("w", forked_from_id="a"), meta("w", parent_thread_id="b"), call("w", name="six"),
+    )
+    scoped = rollouts.scope(rollouts.read_rollouts(spark, directory))
+    size = spark.createDataFrame([(123,)], "bytes bigint")
+    env = commands.codex_tools(scoped, size, strict=False, withhold=True)
+    m = env.metrics.cache()
+    assert value_of(m, "calls", "tool", "fine") == 1 and value_of(m, "context_bytes", "tool", "fine") == 4
+    for tool in ("one", "two", "three", "four", "five", "six"):
+        assert value_of(m, "calls", "tool", tool) is None
+    assert value_of(m, "context_bytes") is None and value_of(m, "tool_use_blocks") is None and value_of(m, "distinct_tools") is None
+    assert value_of(m, "unmatched_results") == 0
+    said = {(r.code, r.text) for r in env.warnings.collect()}
+    assert {
+        ("conflicting_copies", "session s: the copies of call c differ"),
+        ("type_mismatch", "session s: call d has a result of another type"),
+        ("inherited_call", "session q: call i is also one of session p, which it descends from"),
+        ("cyclic_ancestry", "session u: its ancestry leads back to itself"),
+        ("conflicting_ancestry", "session w names more than one parent"),
+        ("withheld", "two: figures withheld because of conflicting_copies"),
+        ("withheld", "four: figures withheld because of inherited_call"),
+        ("withheld_total", "totals that ambiguous joins enter are withheld"),
+    } <= said
+    unchecked = commands.codex_tools(scoped, size, strict=False)
+    assert value_of(unchecked.metrics, "calls") == 3
+    assert "unchecked" in {r.code for r in unchecked.warnings.collect()}
+
+
+def test_a_corpus_without_sessions_is_refused(spark, write_jsonl):
+    directory = write_jsonl("a.jsonl", {"timestamp": T0, "type": "event_msg", "payload": {}}, "not json")
+    with pytest.raises(ValueError, match="no session header .* 1 files, 1 malformed"):
+        run(spark, directory)
+
+
+def test_repeated_keys_are_read_and_wrong_types_are_not(spark, write_jsonl):
+    line = lambda payload: '{"timestamp":"%s","type":"response_item","payload":%s}' % (T0, payload)
+    directory = write_jsonl(
+        "a.jsonl",
+        '{"timestamp":"%s","type":"session_meta","payload":{"id":"old","id":"s","note":{"k":1,"k":2}}}' % T0,
+        line('{"type":"message","type":"function_call","call_id":"c","name":"x","name":"shell","arguments":{"a":1,"a":2}}'),
+        line('{"type":"function_call_output","call_id":"c","output":[{"type":"input_text","text":"no","text":"héé"}]}'),
+        line('{"type":"function_call","call_id":"d","name":"odd"}'),
+        line('{"type":"function_call_output","call_id":"d","output":{"k":1,"k":2}}'),
+        line('{"type":"function_call","call_id":7,"name":"x"}'),
+        line('{"type":"function_call_output","call_id":"e","name":[1],"output":"x"}'),
+        line('{"type":{"k":1,"k":2},"call_id":"f","name":"x"}'),
+    )
+    env = run(spark, directory)
+    m = env.metrics.cache()
+    assert value_of(m, "calls", "tool", "shell") == 1 and value_of(m, "context_bytes", "tool", "shell") == 5
+    assert value_of(m, "calls", "tool", "odd") == 1 and value_of(m, "context_bytes", "tool", "odd") is None
+    assert "3 malformed tool records excluded" in {r.text for r in env.warnings.collect()}

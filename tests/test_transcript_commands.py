@@ -1,7 +1,7 @@
 """Commands over small JSONL corpora with hand-counted values."""
 
 import pytest
-from conftest import value_of
+from helpers import value_of
 
 from agentmeter.functions.window import TimeWindow
 from agentmeter.plans import commands
