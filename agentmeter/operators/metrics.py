@@ -4,11 +4,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentmeter import model
 from agentmeter.functions.numbers import concern, percent
+from agentmeter.operators.ordered import numbered
 
 METRIC_COLUMNS = (
     "command",
@@ -130,6 +131,38 @@ class Envelope:
         )
 
 
+    def ordered(self) -> DataFrame:
+        """The metric rows with their ``place`` in the report, from 1 and without gaps."""
+        return numbered(self.metrics, ["command", "ord"], "place")
+
+    def write_run(self, path: str, run: str, fmt: str = "parquet") -> None:
+        """The report as one run of the tables below ``path``: header, metrics with their place, warnings and refused rows.
+
+        Rows that break the contract are set apart with the reason, not written among the others. A run that is
+        written again replaces itself and nothing else.
+        """
+        bad = violations(self.metrics)
+        sound = self.metrics.join(bad.select("command", "ord").distinct(), ["command", "ord"], "left_anti")
+        tables = {
+            "header": self.header,
+            "metrics": numbered(sound.select(*METRIC_COLUMNS), ["command", "ord"], "place"),
+            "warnings": self.warnings,
+            "refused": bad.withColumn("reason", _reason()),
+        }
+        for name, rows in tables.items():
+            rows.write.format(fmt).mode("overwrite").save(f"{path}/{name}/run={run}")
+
+
+def read_runs(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
+    """One table of all runs that ``Envelope.write_run`` wrote below ``path``, with the column ``run``."""
+    return spark.read.format(fmt).option("basePath", f"{path}/{table}").load(f"{path}/{table}")
+
+
+def _reason() -> Column:
+    known = F.coalesce(F.col("derivation").isin(model.MEASURED, model.ESTIMATED), F.lit(False))
+    return F.when(known, F.lit("an estimate without a method")).otherwise(F.lit("neither measured nor estimated"))
+
+
 def violations(metrics: DataFrame) -> DataFrame:
     """Rows that break the contract: an unknown derivation, or an estimate
     that does not name its method."""
@@ -262,6 +295,32 @@ def share_within(rows: DataFrame, dimension: str, value: str, counted: Column) -
     )
 
 
+def version_drift(passes: DataFrame, first: str) -> DataFrame:
+    """(command, files, bytes, first_files, first_bytes) of the passes that met other files than the pass ``first``.
+
+    ``passes`` are ``transcripts.corpus_version`` rows. A file that was replaced or touched counts, also where
+    number and bytes are as before.
+    """
+    base = passes.filter(F.col("command") == first)
+    own = base.select(
+        F.col("files").alias("first_files"), F.col("bytes").alias("first_bytes"), F.col("version").alias("_first")
+    )
+    return (
+        passes.filter(F.col("command") != first)
+        .join(own, F.col("version") != F.col("_first"))
+        .select("command", "files", "bytes", "first_files", "first_bytes")
+    )
+
+
+def drift_warnings(drifted: DataFrame) -> DataFrame:
+    text = F.concat(
+        F.lit("the corpus changed while it was read: "), F.col("files").cast("string"), F.lit(" files with "),
+        F.col("bytes").cast("string"), F.lit(" bytes, before "), F.col("first_files").cast("string"), F.lit(" with "),
+        F.col("first_bytes").cast("string"),
+    )
+    return warning_rows(drifted, "report", "corpus_changed", text, F.col("command"))
+
+
 def corpus_drift(headers: DataFrame, first: str) -> DataFrame:
     """Commands that read another corpus than the first one did."""
     base = headers.filter(F.col("command") == first)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentmeter.session import landed
+
 ORDER = ("chunk", "pos", "idx")
 
 
@@ -112,6 +114,21 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
 
 
+def numbered(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """``out``: the place of each row in ``order`` over all rows, from 1 and without gaps.
+
+    Rows are dealt to partitions by range and counted there; only the partitions' sizes, a row each,
+    are summed up in one place. Rows that compare equal are numbered in any order.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = landed(dealt.withColumns({"_part": F.spark_partition_id(), "_at": within}), "placed")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skips = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_skip"))
+    return placed.join(skips, "_part").withColumn(out, F.col("_at") + F.col("_skip") + 1).drop("_part", "_at", "_skip")
+
+
 def running_sum(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
 ) -> DataFrame:

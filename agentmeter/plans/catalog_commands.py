@@ -4,15 +4,16 @@ from pyspark.sql import functions as F
 
 from agentmeter.functions.window import TimeWindow
 from agentmeter.operators import attachments
+from agentmeter.operators import metrics as metrics_ops
 from agentmeter.plans import commands
 from agentmeter.plans.catalog import query
-from agentmeter.plans.catalog_audit import PLUGIN_FINDINGS, SERVER_FINDINGS
+from agentmeter.plans.catalog_audit import MERGED, PLUGIN_FINDINGS, SERVER_FINDINGS
 from agentmeter.plans.catalog_calls import CORRUPT_SQL, PLUGIN_NAMES, SERVER_SQL, STAT_SQL, loops_sql
-from agentmeter.plans.catalog_rollouts import BY_TOOL_SQL, JOINED_SQL
+from agentmeter.plans.catalog_rollouts import BY_TOOL_SQL, JOINED_SQL, TROUBLED_SQL
 from agentmeter.plans.catalog_sources import COUNTERS_SQL, file_rows
 from agentmeter.plans.catalog_tokens import ALLOCATED, KEYED_SQL, LISTING_SQL, attached_objects
 from agentmeter.session import scratch_path
-from agentmeter.sources import config, transcripts
+from agentmeter.sources import config, rollouts, transcripts
 
 
 def corpus(t):
@@ -590,3 +591,219 @@ def _(t):
     return every.select(
         "command", "name", "dimension", "key", "value_long", F.round("value_double", 6).alias("value_double"), "unit", "derivation"
     )
+
+
+# --- order, written reports ------------------------------------------------------
+
+
+def _placed_sql(rows: str, section: str, weights: list[str], names: str) -> str:
+    """Rows with their place: by section, heaviest first, then key, then the order of the measures."""
+    heavy = ", ".join(f"coalesce(max({w}), 0) AS w{i}" for i, w in enumerate(weights))
+    falling = ", ".join(f"w{i} DESC" for i in range(len(weights)))
+    listed = ", ".join(f"'{n}'" for n in names.split())
+    return f"""m0 AS ({rows}), w0 AS (SELECT dimension, key, {heavy} FROM m0 GROUP BY dimension, key),
+        o0 AS (SELECT row_number() OVER (ORDER BY {section}, {falling}, key, list_position([{listed}], name)) AS place,
+                      name, dimension, key, value_long, value_double FROM m0 JOIN w0 USING (dimension, key))"""
+
+
+def _of(*names: str) -> str:
+    return "CASE WHEN name IN (" + ", ".join(f"'{n}'" for n in names) + ") THEN value_long END"
+
+
+PLACED = {
+    "tools": _placed_sql(
+        TOOLS_SQL,
+        """CASE WHEN name = 'unmatched_results' THEN 0 WHEN dimension = 'corpus' THEN 1 WHEN dimension = 'tool' THEN 2
+             WHEN dimension = 'mcp_server' THEN 3 WHEN dimension = 'plugin' THEN 4 WHEN name = 'rent_bytes' THEN 10 ELSE 11 END""",
+        [_of("context_bytes", "rent_bytes")],
+        """tool_use_blocks tool_result_blocks unanswered_uses distinct_tools calls context_bytes image_bytes produced_bytes errors
+           image_results externalised_results externalised_produced_bytes externalised_context_bytes""",
+    ),
+    "corruption": _placed_sql(
+        CORRUPTION_SQL,
+        """CASE WHEN name = 'unmatched_results' THEN 0 WHEN dimension = 'corpus' THEN 1 WHEN dimension = 'tool' THEN 2
+             WHEN dimension = 'truncation_marker' THEN 3 ELSE 4 END""",
+        [_of("failures"), _of("errors"), _of("truncated_results"), _of("empty_results"), _of("denied")],
+        """calls distinct_tools errors error_rate_percent denied failures failure_rate_percent empty_results empty_rate_percent
+           truncated_results truncation_rate_percent truncation_marker_kinds""",
+    ),
+    "failures": _placed_sql(
+        FAILURES_SQL,
+        """CASE WHEN name = 'unmatched_results' THEN 1 WHEN dimension = 'corpus' THEN 0 WHEN dimension = 'retry_loop' THEN 2
+             WHEN dimension = 'repeated_failure' THEN 3 ELSE 4 END""",
+        ["CASE WHEN starts_with(dimension, 'attribution') AND name = 'failures' THEN value_long END", _of("consecutive_errors", "errors")],
+        """retry_loops repeated_failure_pairs errored_results consecutive_errors consecutive_denials calls errors failures denied
+           error_sessions""",
+    ),
+    "attribute": _placed_sql(
+        ATTRIBUTE_SQL,
+        """CASE WHEN dimension = 'corpus' AND (name LIKE 'responses%' OR name LIKE '%tokens' OR name IN ('duplicate_rate_percent', 'rebill_multiplier')) THEN 0
+             WHEN dimension = 'corpus' AND name IN ('sessions', 'sessions_with_cost_state', 'sessions_without_cost_state', 'cost_state_coverage_percent') THEN 1
+             WHEN dimension = 'corpus' AND name LIKE 'attachment%' THEN 2 WHEN dimension = 'corpus' THEN 3
+             WHEN name = 'dollars_available' THEN 5 WHEN dimension = 'cost_coverage' THEN 6 WHEN dimension = 'attachment_type' THEN 7
+             WHEN name LIKE 'attachment%' THEN 8 ELSE 4 END""",
+        ["CASE WHEN dimension NOT IN ('corpus', 'cost_coverage') AND name IN ('rebilled_tokens', 'attachment_bytes') THEN value_long END"],
+        """responses_naive responses_distinct responses_duplicate duplicate_rate_percent responses fresh_tokens rebilled_tokens
+           output_tokens thinking_tokens rebill_multiplier cost_usd sessions sessions_with_cost_state sessions_without_cost_state
+           cost_state_coverage_percent coverage_ratio transcript_tokens billed_tokens attachment_events attachment_bytes
+           attachment_share_percent attachment_types allocated_cost_usd unallocated_cost_usd""",
+    ),
+}
+_RUNS = {
+    "tools": lambda t: commands.tools(corpus(t), plugins=t.plugins),
+    "corruption": lambda t: commands.corruption(corpus(t)),
+    "failures": lambda t: commands.failures(corpus(t)),
+    "attribute": lambda t: commands.attribute(corpus(t)),
+}
+
+
+def _register_order(command: str) -> None:
+    @query(f"order_of_{command}", f"WITH {PLACED[command]} SELECT place, name, dimension, key FROM o0")
+    def _(t):
+        """The rows of a command with their places in its report."""
+        return _RUNS[command](t).ordered().select("place", "name", "dimension", "key")
+
+
+for _command in PLACED:
+    _register_order(_command)
+
+
+@query(
+    "written_report",
+    f"""WITH {PLACED['corruption']}
+        SELECT 'metrics' AS written, '7' AS run, place, name, dimension, key, value_long, '' AS reason FROM o0
+        UNION ALL SELECT 'refused', '7', NULL, name, dimension, key, value_long,
+            unnest(['neither measured nor estimated', 'an estimate without a method']) FROM m0 WHERE dimension = 'denial_kind'
+        UNION ALL SELECT 'header', '7', NULL, 'corruption', '', '', files, '' FROM {COUNTERS_SQL}""",
+)
+def _(t):
+    """A report written twice under one run, with rows that break the contract among the others, and read back."""
+    env = commands.corruption(corpus(t))
+    last = F.struct(F.lit(9).alias("section"), "ord.weights", "ord.key", F.col("ord.at") + F.when(F.col("derivation") == "estimated", 1).otherwise(0))
+    bad = env.metrics.filter("dimension = 'denial_kind'").withColumn(
+        "derivation", F.explode(F.array(F.lit("guessed"), F.lit("estimated")))
+    )
+    bad = bad.withColumn("ord", last.cast(env.metrics.schema["ord"].dataType))
+    path = scratch_path(t.spark, "report")
+    mixed = metrics_ops.Envelope(env.command, env.metrics.unionByName(bad), env.warnings, env.header)
+    for _ in range(2):
+        mixed.write_run(path, "7")
+    read = lambda table: metrics_ops.read_runs(t.spark, path, table)
+    columns = ("name", "dimension", "key", "value_long")
+    none, run = F.lit(None).cast("bigint").alias("place"), F.col("run").cast("string").alias("run")
+    rows = read("metrics").select(F.lit("metrics").alias("written"), run, "place", *columns, F.lit("").alias("reason"))
+    refused = read("refused").select(F.lit("refused").alias("written"), run, none, *columns, "reason")
+    header = read("header").select(
+        F.lit("header").alias("written"), run, none, F.col("command").alias("name"), F.lit("").alias("dimension"),
+        F.lit("").alias("key"), F.col("files").alias("value_long"), F.lit("").alias("reason"),
+    )
+    return rows.unionByName(refused).unionByName(header)
+
+
+# --- warnings with their text ------------------------------------------------------
+
+
+def _said(env):
+    return env.warnings.select("code", "key", "text")
+
+
+_BROKEN_SQL = f"""SELECT 'parse_errors' AS code, '' AS key, parse_errors || ' lines failed to decode' AS text
+    FROM {COUNTERS_SQL} WHERE parse_errors > 0"""
+_AMBIGUOUS_SQL = """SELECT 'ambiguous_denials', '', count(*) || ' events carry one denial beside several errored results: an upper bound'
+    FROM calls WHERE idx = 0 AND denial <> '' AND event_errors > 1 HAVING count(*) > 0"""
+_UNCLAIMED_SQL = """SELECT 'dimension_unavailable', d, d || ' carries no row: no errored call recorded the field'
+    FROM (SELECT unnest(['attribution_skill', 'attribution_plugin', 'attribution_mcp_server']) AS d,
+                 unnest([max(skill), max(plugin), max(mcp_server)]) AS k FROM calls WHERE matched AND is_error) WHERE k = ''"""
+
+
+@query(
+    "failures_warnings",
+    f"""{_BROKEN_SQL} UNION ALL {_AMBIGUOUS_SQL} UNION ALL {_UNCLAIMED_SQL}
+        UNION ALL SELECT 'denials', '', CAST(n AS BIGINT) || ' of the errors behind these patterns are policy denials'
+        FROM (SELECT (SELECT coalesce(sum(denied), 0) FROM ({loops_sql(False)}))
+                     + (SELECT coalesce(sum(denied), 0) FROM ({PAIRS_SQL})) AS n) WHERE n > 0""",
+)
+def _(t):
+    return _said(commands.failures(corpus(t)))
+
+
+@query(
+    "failures_warnings_in_window",
+    f"""{_BROKEN_SQL} UNION ALL {_AMBIGUOUS_SQL}
+        UNION ALL SELECT 'window', '', 'figures cover events dated within [2031-01-01, ...]; counts of files, their bytes, broken '
+            || 'lines and results without a call cover everything that was read'
+        UNION ALL SELECT 'window_empty', '', 'nothing is dated inside the window, so figures that depend on it are left out'
+        UNION ALL SELECT 'untimestamped_type', type, type || ' carries no timestamp: unavailable in a window, not zero'
+        FROM t GROUP BY type HAVING max(ts) = ''""",
+)
+def _(t):
+    """A window that nothing is dated in."""
+    return _said(commands.failures(corpus(t), TimeWindow(since="2031-01-01")))
+
+
+@query(
+    "doctor_warnings_in_window",
+    f"""WITH found AS (SELECT * FROM {PLUGIN_FINDINGS} UNION ALL SELECT * FROM {SERVER_FINDINGS}),
+        shadowed AS (SELECT host, name, source, overrides, CASE WHEN scope = overrides_scope
+                     THEN 'last of the ' || scope || ' sources' ELSE 'project over user' END AS rule FROM {MERGED} WHERE overrides IS NOT NULL)
+        SELECT 'finding' AS code, host || '/' || key AS key, dimension || ' ' || key || ': ' || kind AS text FROM found
+        UNION ALL SELECT 'collision', host || '/' || name, 'mcp server ' || name || ': ' || source || ' overrides ' || overrides || ' (' || rule || ')'
+        FROM shadowed
+        UNION ALL SELECT 'partial_config', host, 'a server source of host ' || host || ' is unreadable: its set is partial' FROM hosts WHERE c_acctbal < 0
+        UNION ALL SELECT 'withheld', 'skills_checked', 'skills_checked is omitted, not zero: no source was readable'
+        UNION ALL SELECT 'withheld', 'mcp_servers_checked', 'mcp_servers_checked is omitted, not zero: no source was readable'
+        FROM hosts HAVING bool_or(c_acctbal < 0)
+        UNION ALL SELECT 'static_window', '', 'configuration carries no dates: the window 2024-01-10 to ... restricts nothing here'""",
+)
+def _(t):
+    """A static audit can't be restricted to a window and says so."""
+    return _said(commands.doctor(t.config_files, window=TimeWindow(since="2024-01-10")))
+
+
+@query(
+    "parts_warnings",
+    f"""SELECT 'unrecorded' AS code, unnest(['image_bytes', 'produced_bytes', 'joins']) AS key, unnest([
+            'image bytes are not broken out here: unmeasured, not zero',
+            'pre-truncation sizes are not recorded here: unmeasured, not zero',
+            'this source stores calls together with their results, so match rates do not apply']) AS text
+        UNION ALL SELECT 'unknown_status', tool, 'errors is withheld for ' || tool || ': no call status was recorded'
+        FROM ({BY_TOOL_SQL} GROUP BY tool) WHERE errors IS NULL
+        UNION ALL SELECT 'unknown_status_total', '', 'errors is withheld from the total: not every call has a status'
+        FROM ({BY_TOOL_SQL} GROUP BY tool) HAVING bool_or(errors IS NULL)
+        UNION ALL SELECT 'no_servers', '', 'no server list was given: mcp_server rows are omitted, not zeroed'""",
+)
+def _(t):
+    return _said(commands.opencode_tools(t.parts))
+
+
+@query(
+    "rollout_warnings",
+    f"""WITH RECURSIVE {TROUBLED_SQL},
+        named AS (SELECT DISTINCT t.tool, f.kind FROM faults f JOIN troubled t ON t.kind = 'call' AND t.session = f.session
+                  AND f.call_id IN ('', t.call_id)),
+        whys AS (SELECT tool, string_agg(kind, ',' ORDER BY CASE kind WHEN 'conflicting_copies' THEN 0 WHEN 'type_mismatch' THEN 1
+                     WHEN 'conflicting_ancestry' THEN 2 WHEN 'cyclic_ancestry' THEN 3 ELSE 4 END) AS why FROM named GROUP BY tool),
+        copies AS (SELECT sum(n) - count(*) AS n FROM (SELECT count(*) AS n FROM troubled WHERE kind IN ('call', 'result') GROUP BY session, call_id, kind))
+        SELECT kind AS code, session || '/' || call_id AS key, CASE kind
+            WHEN 'conflicting_copies' THEN 'session ' || session || ': the copies of call ' || call_id || ' differ'
+            WHEN 'type_mismatch' THEN 'session ' || session || ': call ' || call_id || ' has a result of another type'
+            WHEN 'conflicting_ancestry' THEN 'session ' || session || ' names more than one parent'
+            WHEN 'cyclic_ancestry' THEN 'session ' || session || ': its ancestry leads back to itself'
+            ELSE 'session ' || session || ': call ' || call_id || ' is also one of session ' || other || ', which it descends from' END AS text
+        FROM faults
+        UNION ALL SELECT 'withheld', tool, tool || ': figures withheld because of ' || why FROM whys
+        UNION ALL SELECT 'withheld_total', '', 'totals that ambiguous joins enter are withheld' FROM faults HAVING count(*) > 0
+        UNION ALL SELECT 'ancestry', '', 'records belong to the session of their own header; history outside the corpus is not followed'
+        UNION ALL SELECT 'scope', 'unreported', 'errors, produced and externalised bytes are not recorded here: unmeasured, not zero'
+        UNION ALL SELECT 'scope', 'unattributed', 'rent, skill calls and plugin ownership are not recorded here: unmeasured, not zero'
+        UNION ALL SELECT 'unmatched_result', call_id, 'session ' || session || ': result ' || call_id || ' has no matching call'
+        FROM results0 ANTI JOIN calls0 USING (session, call_id)
+        UNION ALL SELECT 'unsupported_item', 'web_search_call', count(*) || ' unsupported web_search_call records excluded'
+        FROM troubled WHERE kind = 'unsupported' HAVING count(*) > 0
+        UNION ALL SELECT 'malformed_item', '', count(*) || ' malformed tool records excluded' FROM troubled WHERE kind = 'malformed' HAVING count(*) > 0
+        UNION ALL SELECT 'duplicates', '', CAST(n AS BIGINT) || ' identical copies counted once' FROM copies WHERE n > 0""",
+)
+def _(t):
+    """Every ambiguity of the faulty rollouts, and the figures that it withholds."""
+    size = t.table("conversations").agg(F.sum(F.octet_length("text")))
+    return _said(commands.codex_tools(rollouts.scope(t.troubled), size, strict=False, withhold=True))

@@ -6,7 +6,7 @@ from agentmeter.functions import content
 from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import inventory, metrics
 from agentmeter.plans.catalog import query
-from agentmeter.session import scratch_path
+from agentmeter.session import scratch_path, settle
 from agentmeter.sources import transcripts
 
 
@@ -231,6 +231,51 @@ def _(t):
     return metrics.corpus_drift(headers, "user")
 
 
+@query(
+    "corpus_changed_between_passes",
+    """SELECT unnest(['tools', 'attribute']) AS command, CAST(sum(n) AS BIGINT) AS bytes,
+              CAST(sum(n) FILTER (WHERE even) AS BIGINT) AS first_bytes
+       FROM (SELECT length('{"n":' || event_id || '}') + 1 AS n, event_id % 2 = 0 AS even FROM events)""",
+)
+def _(t):
+    """A file is appended between two passes: the first command and one that ran with it agree, those after don't."""
+    path = scratch_path(t.spark, "growing")
+    even = F.col("event_id") % 2 == 0
+    lines = t.table("events").select(even.alias("even"), F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit("}")).alias("line"))
+    lines.filter("even").select("line").write.text(path)
+    version = lambda command: settle(transcripts.corpus_version(t.spark, path, command, "*.txt"))
+    passes = version("scan").unionByName(version("corruption"))
+    lines.filter("not even").select("line").write.mode("append").text(path)
+    passes = passes.unionByName(version("tools")).unionByName(version("attribute"))
+    return metrics.version_drift(passes, "scan").select("command", "bytes", "first_bytes")
+
+
+#: Lines of every kind, by the remainder modulo 13.
+LINE_SHAPES = (
+    "", " \t ", "\u00a0", '[{"type":"user"},{"type":"user"}]', "[]", "null", "5", '"x"', '{"type":',
+    '{"type":"started","agentId":"a","key":"k"}', '{"type":"user","sessionId":"s"}', '{"type":"glide-path"}', '\t{"type":"user"} ',
+)
+
+
+@query(
+    "line_identity",
+    """SELECT CAST(k % 13 AS INT) AS shape, count(*) AS lines, count(*) FILTER (WHERE k % 13 < 3) AS blank_lines,
+              count(*) FILTER (WHERE k % 13 IN (5, 10, 11, 12)) AS events, count(*) FILTER (WHERE k % 13 = 9) AS journal_records,
+              count(*) FILTER (WHERE k % 13 IN (3, 4, 6, 7, 8)) AS parse_errors, count(*) FILTER (WHERE k % 13 IN (5, 11)) AS unknown_events
+       FROM t GROUP BY 1""",
+)
+def _(t):
+    """Every line is blank, an event, a journal record or an error, one of them and once."""
+    path = scratch_path(t.spark, "lines")
+    shape = (F.col("k") % 13).cast("int")
+    line = F.element_at(F.array(*[F.lit(x) for x in LINE_SHAPES]), shape + 1)
+    t.t.select(shape.alias("shape"), line.alias("value")).write.partitionBy("shape").text(path)
+    found = transcripts.line_identity(t.spark, path, "*.txt")
+    of = F.regexp_extract("file", r"shape=(\d+)", 1).cast("int").alias("shape")
+    counts = ("lines", "blank_lines", "events", "journal_records", "parse_errors", "unknown_events")
+    return found.groupBy(of).agg(*(F.sum(c).alias(c) for c in counts))
+
+
 # --- decoding raw JSON ---------------------------------------------------------
 
 _EMPTY = ("uuid", "parentUuid", "agentId", "key", "cwd", "gitBranch", "attributionAgent", "attributionMcpTool")

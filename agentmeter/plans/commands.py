@@ -26,7 +26,8 @@ from agentmeter.operators import tools as tool_ops
 from agentmeter.operators.metrics import (
     Envelope,
     Measure,
-    corpus_drift,
+    drift_warnings,
+    version_drift,
     corpus_rows,
     disagreement_warnings,
     merge_reports,
@@ -838,9 +839,19 @@ def doctor(
         F.lit("").alias("last_ts"),
     )
     if corpus is None:
+        if window.active:
+            warnings.append(
+                warning_rows(
+                    spark.range(1), "doctor", "static_window",
+                    F.lit(
+                        f"configuration carries no dates: the window {window.since or '...'} to {window.until or '...'} "
+                        "restricts nothing here"
+                    ),
+                )
+            )
         return Envelope(
             "doctor", stack_rows(metrics), stack_rows(warnings),
-            run_header("doctor", "", version, window, sizes),
+            run_header("doctor", "", version, ALWAYS, sizes),
         )
     run = _Run(corpus, window, version)
     tag = lambda df: df if "host" in df.columns else df.withColumn("host", F.lit(host))
@@ -882,8 +893,12 @@ def report(
     version: str = __version__,
     plugins: DataFrame | None = None,
     cached: DataFrame | None = None,
+    passes: DataFrame | None = None,
 ) -> Envelope:
-    """Four commands off one event rollup, merged; the first to report wins."""
+    """Four commands off one event rollup, merged; the first to report wins.
+
+    ``passes`` are ``transcripts.corpus_version`` rows taken while commands read the corpus themselves, the first by ``scan``.
+    """
     run = _Run(corpus, window, version)
     parts = [
         scan(corpus, window, version, cached, run),
@@ -893,14 +908,9 @@ def report(
     ]
     every = settle(stack_rows([p.metrics for p in parts]))
     merged = merge_reports(every, REPORT_ORDER).select(*every.columns)
-    drift = corpus_drift(stack_rows([p.header for p in parts]), "scan")
-    changed = warning_rows(
-        drift, "report", "corpus_changed",
-        _counted("{} read {} files / {} bytes, not {} / {}", "command", "files", "bytes", "first_files", "first_bytes"),
-        F.col("command"),
-    )
+    changed = [] if passes is None else [drift_warnings(version_drift(passes, "scan"))]
     warnings = stack_rows(
-        [p.warnings for p in parts] + [disagreement_warnings(every, REPORT_ORDER), changed]
+        [p.warnings for p in parts] + [disagreement_warnings(every, REPORT_ORDER), *changed]
     )
     return Envelope("report", merged, warnings, run.header("report"))
 
@@ -1151,6 +1161,10 @@ def opencode_tools(
             per_tool.filter("errors is null"), "tools", "unknown_status",
             _counted("errors is withheld for {}: no call status was recorded", "tool"), F.col("tool"),
         ),
+        warning_rows(
+            per_tool.filter("errors is null").limit(1), "tools", "unknown_status_total",
+            F.lit("errors is withheld from the total: not every call has a status"),
+        ),
     ]
     if servers is None:
         warnings.append(
@@ -1162,6 +1176,12 @@ def opencode_tools(
     else:
         per_server = opencode_ops.by_server(per_tool, servers)
         metrics.append(unpivot(per_server, "tools", 2, "mcp_server", F.col("server"), stats, weight))
+        warnings.append(
+            warning_rows(
+                per_server.filter("errors is null"), "tools", "unknown_status_server",
+                _counted("errors is withheld for server {}: a tool of it has calls without a status", "server"), F.col("server"),
+            )
+        )
     header = totals.select(
         F.lit(1).alias("files"),
         F.lit(size).alias("bytes"),

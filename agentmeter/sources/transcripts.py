@@ -26,26 +26,73 @@ def _text(name: str) -> Column:
 
 
 def read_events(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
-    """One row per decoded line, in scan order by (chunk, pos).
+    """One row per line that isn't blank, in scan order by (chunk, pos).
 
-    ``chunk`` is the file split, which bounds how many rows it can hold, and
+    A line is an event if it holds one JSON object, or ``null``, which is an event without a type. Anything else, arrays
+    and plain values too, is a broken line. ``chunk`` is the file split, which bounds how many rows it can hold, and
     ``pos`` rises with the line order inside it. Both are taken on the scan
     itself, so store the result before using it in more than one plan.
     """
-    raw = (
-        spark.read.schema(model.EVENT_SCHEMA)
-        .option("recursiveFileLookup", True)
+    lines = _lines(spark, directory, glob).filter("line <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = lines.withColumn("e", F.from_json("line", model.EVENT_SCHEMA, options))
+    names = [f.name for f in model.EVENT_SCHEMA.fields if f.name != "_corrupt_record"]
+    shaped = F.startswith(F.col("line"), F.lit("{")) & F.col("e._corrupt_record").isNull()
+    broken = F.when(~shaped & (F.col("line") != "null"), F.col("line"))
+    return read.select(
+        "chunk", "pos", "file", *[F.col(f"e.{n}").alias(n) for n in names], broken.alias("_corrupt_record")
+    )
+
+
+def _lines(spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """(chunk, pos, file, line) of every line, without the white space around it."""
+    return (
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("lineSep", "\n")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(directory)
+        .text(directory)
+        .select(
+            scan_chunk().alias("chunk"),
+            F.monotonically_increasing_id().alias("pos"),
+            plain_path(F.col("_metadata.file_path")).alias("file"),
+            F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("line"),
+        )
+    )
+
+
+def line_identity(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
+    """(file, lines, blank_lines, events, journal_records, parse_errors, unknown_events), which account for every line:
+    lines = blank + events + journal + errors. Files without a line have no row."""
+    kinds = classify(read_events(spark, directory, glob)).groupBy("file").agg(
+        F.count_if(~F.col("is_broken") & ~F.col("is_journal")).alias("events"),
+        F.count_if("is_journal").alias("journal_records"),
+        F.count_if("is_broken").alias("parse_errors"),
+        F.count_if("is_unknown").alias("unknown_events"),
     )
-    return raw.select(
-        scan_chunk().alias("chunk"),
-        F.monotonically_increasing_id().alias("pos"),
-        plain_path(F.col("_metadata.file_path")).alias("file"),
-        *[F.col(f.name) for f in model.EVENT_SCHEMA.fields],
+    counted = line_accounting(spark, directory, glob).select("file", "lines", "blank_lines")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counted.join(kinds, "file", "left").select(
+        "file", "lines", "blank_lines", *(zero(c) for c in ("events", "journal_records", "parse_errors", "unknown_events"))
+    )
+
+
+def corpus_version(spark: SparkSession, directory: str, command: str, glob: str = JSONL_GLOB) -> DataFrame:
+    """(command, files, bytes, version), one row: what a pass over the corpus meets.
+
+    ``version`` digests path, length and modification time of every file, whose contents are not read.
+    """
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load(directory)
+        .select("path", "length", "modificationTime")
+    )
+    return found.agg(
+        F.lit(command).alias("command"),
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("version"),
     )
 
 
@@ -455,16 +502,7 @@ def read_corpus(
 
 def line_accounting(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     """Lines per file from the text source: total, blank and trimmed bytes."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("lineSep", "\n")
-        .text(directory)
-        .select(
-            plain_path(F.col("_metadata.file_path")).alias("file"),
-            F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"),
-        )
-    )
+    lines = _lines(spark, directory, glob)
     return lines.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("line") == "").alias("blank_lines"),
