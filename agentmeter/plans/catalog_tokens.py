@@ -6,6 +6,8 @@ from agentmeter import model
 from agentmeter.functions.window import ALWAYS, TimeWindow
 from agentmeter.operators import attachments, attribute, metrics
 from agentmeter.plans.catalog import query
+from agentmeter.session import scratch_path
+from agentmeter.sources import transcripts
 
 
 def january():
@@ -379,3 +381,56 @@ def _(t):
     rows = t.listings.select(F.col("lang").alias("type"), F.octet_length("text").cast("bigint").alias("bytes"))
     shared = metrics.share_of_total(attachments.by_type(rows), "attachment_bytes")
     return shared.drop("grade").withColumn("share_percent", F.round("share_percent", 6))
+
+
+@query(
+    "attachment_records",
+    """SELECT user_id % 7 AS grp, 't' || CAST(k % 5 AS VARCHAR) AS key, count(*) AS events,
+              CAST(sum(strlen('{"name" : "t' || CAST(k % 5 AS VARCHAR) || '",  "n":1.0,"n":2}')) AS BIGINT) AS bytes FROM t GROUP BY ALL
+       UNION ALL SELECT user_id % 7, 'é', count(*), CAST(sum(strlen('{"name":"\\u00e9"}')) AS BIGINT) FROM t GROUP BY ALL""",
+)
+def _(t):
+    """Tool records: every named entry at the length of its source text, spaces, escapes and repeated keys included."""
+    first = F.concat(F.lit('{"name" : "t'), (F.col("k") % 5).cast("string"), F.lit('",  "n":1.0,"n":2}'))
+    entries = F.concat(first, F.lit(' , {"name":"\\u00e9"},"plain",{"name":""}'))
+    record = F.concat(F.lit('{"entries":[ '), entries, F.lit(' ],"type":"deferred_tools_record"}'))
+    rows = t.t.select((F.col("user_id") % 7).alias("grp"), record.alias("attachment"))
+    keys = attachments.key_rows(rows, F.col("attachment"), "grp")
+    return keys.groupBy("grp", "key").agg(F.sum("events").alias("events"), F.sum("bytes").alias("bytes"))
+
+
+@query(
+    "attachment_shapes",
+    """SELECT dimension, key, count(*) AS events, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
+           SELECT 'mcp_server' AS dimension, p_brand AS key, strlen(p_name) AS bytes FROM part
+           UNION ALL SELECT 'mcp_server', p_type, strlen(p_type) FROM part
+           UNION ALL SELECT 'agent', p_brand, strlen(p_name) FROM part
+           UNION ALL SELECT 'agent', p_type, strlen(p_type) FROM part) GROUP BY ALL""",
+)
+def _(t):
+    """Server and agent listings; an entry without a text of its own counts its name."""
+    both = [F.col("p_brand"), F.col("p_type")]
+    beside = F.array(F.col("p_name"))
+    shapes = (("mcp_instructions_delta", "addedNames", "addedBlocks"), ("agent_listing_delta", "addedTypes", "addedLines"))
+    found = None
+    for kind, names, texts in shapes:
+        body = F.to_json(F.struct(F.lit(kind).alias("type"), F.array(*both).alias(names), beside.alias(texts)))
+        keys = attachments.key_rows(t.table("part").select(body.alias("attachment")), F.col("attachment"))
+        found = keys if found is None else found.unionByName(keys)
+    return found.groupBy("dimension", "key").agg(F.sum("events").alias("events"), F.sum("bytes").alias("bytes"))
+
+
+@query(
+    "attachment_source_bytes",
+    """SELECT 'kind' || CAST(k % 4 AS VARCHAR) AS type, count(*) AS attachment_events,
+              CAST(sum(strlen('{ "type" : "kind' || CAST(k % 4 AS VARCHAR) || '", "x":1.50, "e":"\\u00e9é" }')) AS BIGINT) AS attachment_bytes
+       FROM t GROUP BY ALL""",
+)
+def _(t):
+    """Attachments read from files, at the length of their source text."""
+    body = F.concat(F.lit('{ "type" : "kind'), (F.col("k") % 4).cast("string"), F.lit('", "x":1.50, "e":"\\u00e9é" }'))
+    line = F.concat(F.lit('{"type":"attachment","attachment":'), body, F.lit("}"))
+    path = scratch_path(t.spark, "attachments")
+    t.t.select(line.alias("value")).write.text(path)
+    corpus = transcripts.read_corpus(t.spark, path, scratch_path(t.spark, "silver"), glob="*.txt")
+    return attachments.by_type(corpus.attachments)

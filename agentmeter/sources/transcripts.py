@@ -26,21 +26,26 @@ def _text(name: str) -> Column:
 
 
 def read_events(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
-    """One row per line that isn't blank, in scan order by (chunk, pos).
+    """One row per decoded line, in scan order by (chunk, pos).
 
-    A line is an event if it holds one JSON object, or ``null``, which is an event without a type. Anything else, arrays
-    and plain values too, is a broken line. ``chunk`` is the file split, which bounds how many rows it can hold, and
+    ``chunk`` is the file split, which bounds how many rows it can hold, and
     ``pos`` rises with the line order inside it. Both are taken on the scan
     itself, so store the result before using it in more than one plan.
     """
-    lines = _lines(spark, directory, glob).filter("line <> ''")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    read = lines.withColumn("e", F.from_json("line", model.EVENT_SCHEMA, options))
-    names = [f.name for f in model.EVENT_SCHEMA.fields if f.name != "_corrupt_record"]
-    shaped = F.startswith(F.col("line"), F.lit("{")) & F.col("e._corrupt_record").isNull()
-    broken = F.when(~shaped & (F.col("line") != "null"), F.col("line"))
-    return read.select(
-        "chunk", "pos", "file", *[F.col(f"e.{n}").alias(n) for n in names], broken.alias("_corrupt_record")
+    raw = (
+        spark.read.schema(model.EVENT_SCHEMA)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .option("lineSep", "\n")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .json(directory)
+    )
+    return raw.select(
+        scan_chunk().alias("chunk"),
+        F.monotonically_increasing_id().alias("pos"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
+        *[F.col(f.name) for f in model.EVENT_SCHEMA.fields],
     )
 
 
@@ -62,17 +67,27 @@ def _lines(spark: SparkSession, directory: str, glob: str) -> DataFrame:
 
 def line_identity(spark: SparkSession, directory: str, glob: str = JSONL_GLOB) -> DataFrame:
     """(file, lines, blank_lines, events, journal_records, parse_errors, unknown_events), which account for every line:
-    lines = blank + events + journal + errors. Files without a line have no row."""
-    kinds = classify(read_events(spark, directory, glob)).groupBy("file").agg(
-        F.count_if(~F.col("is_broken") & ~F.col("is_journal")).alias("events"),
-        F.count_if("is_journal").alias("journal_records"),
+    lines = blank + events + journal + errors. Files without a line have no row.
+
+    A line is an event if it holds one JSON object, or ``null``, which is an event without a type. Anything else, arrays
+    and plain values too, is an error. Lines are read as text, so each is judged once; ``read_events``, which keeps
+    the source text of what it decodes, takes the objects in an array for events.
+    """
+    line = F.col("line")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    read = _lines(spark, directory, glob).withColumn("e", F.from_json(F.when(line != "", line), model.EVENT_SCHEMA, options))
+    names = [f.name for f in model.EVENT_SCHEMA.fields if f.name != "_corrupt_record"]
+    shaped = F.startswith(line, F.lit("{")) & F.col("e._corrupt_record").isNull()
+    broken = F.when((line != "") & (line != "null") & ~shaped, line)
+    judged = classify(read.select("file", "line", *[F.col(f"e.{n}").alias(n) for n in names], broken.alias("_corrupt_record")))
+    filled = F.col("line") != ""
+    return judged.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(~filled).alias("blank_lines"),
+        F.count_if(filled & ~F.col("is_broken") & ~F.col("is_journal")).alias("events"),
+        F.count_if(filled & F.col("is_journal")).alias("journal_records"),
         F.count_if("is_broken").alias("parse_errors"),
-        F.count_if("is_unknown").alias("unknown_events"),
-    )
-    counted = line_accounting(spark, directory, glob).select("file", "lines", "blank_lines")
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return counted.join(kinds, "file", "left").select(
-        "file", "lines", "blank_lines", *(zero(c) for c in ("events", "journal_records", "parse_errors", "unknown_events"))
+        F.count_if(filled & F.col("is_unknown")).alias("unknown_events"),
     )
 
 
