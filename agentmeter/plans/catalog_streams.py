@@ -27,26 +27,24 @@ class _Landing:
         return self.spark.readStream.schema(self.rows.schema).parquet(self.path)
 
     def land(self, k: int) -> None:
-        """Slice ``k``, or after the last the heartbeat."""
-        if k == SLICES:
-            mine = streams.heartbeat(self.rows, self.time, self.ahead)
-        else:
-            low, high = self.bounds
-            if low is None:
-                mine = self.rows
-            else:
-                part = F.floor((self.seconds - low) * SLICES / (high - low + 1))
-                mine = self.rows.where(F.coalesce(part, F.lit(0)) == k)
+        """Slice ``k``, and with the last the heartbeat."""
+        low, high = self.bounds
+        mine = self.rows
+        if low is not None:
+            part = F.floor((self.seconds - low) * SLICES / (high - low + 1))
+            mine = mine.where(F.coalesce(part, F.lit(0)) == k)
+        if k == SLICES - 1:
+            mine = mine.unionByName(streams.heartbeat(self.rows, self.time, self.ahead))
         mine.write.mode("append").parquet(self.path)
 
 
-def _drained(t, landings: list[_Landing], build) -> DataFrame:
+def _drained(t, landings: list[_Landing], build, keyed: bool = False) -> DataFrame:
     out, mark = scratch_path(t.spark, "stream-out"), scratch_path(t.spark, "stream-mark")
-    for k in range(SLICES + 1):
+    for k in range(SLICES):
         for landing in landings:
             landing.land(k)
         rows = build(*(landing.stream() for landing in landings))
-        streams.drain(rows, out, mark)
+        streams.drain(rows, out, mark, keyed=keyed)
     return t.spark.read.schema(rows.schema).parquet(out)
 
 
@@ -107,5 +105,5 @@ def _(t):
         (F.col("denial") != "").cast("int").alias("denied"), F.to_timestamp("ts").alias("at"),
     )
     landing = _Landing(steps, "at", "pos", "400 DAYS")
-    found = _drained(t, [landing], lambda rows: loops.retry_loops(rows, "90 DAYS", "1 DAY"))
+    found = _drained(t, [landing], lambda rows: loops.retry_loops(rows, "90 DAYS", "1 DAY"), keyed=True)
     return found.select("session", "tool", "hash", "streak", "denied", "pos")

@@ -9,7 +9,7 @@ ahead that the watermark passes all that came before.
 """
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +97,13 @@ def _keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-def drain(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> Drained:
+def drain(rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keyed: bool = False) -> Drained:
     """Append what ``rows`` gives for all that its sources hold now to the Parquet folder ``path``.
 
     Called again with the same ``checkpoint`` it goes on where it was, after a failure too, and adds nothing twice.
+    ``keyed`` state (``loops``) needs the RocksDB store; other queries keep the session's.
     """
-    with _keyed_state(rows.sparkSession):
+    with _keyed_state(rows.sparkSession) if keyed else nullcontext():
         query = (
             rows.writeStream.format("parquet")
             .option("path", path)

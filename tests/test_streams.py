@@ -37,7 +37,7 @@ class Feed:
 
     def drain(self):
         stream = self.spark.readStream.schema(STEP).parquet(str(self.path / "in"))
-        return streams.drain(loops.retry_loops(stream, self.late, self.idle), str(self.path / "out"), str(self.path / "mark"))
+        return streams.drain(loops.retry_loops(stream, self.late, self.idle), str(self.path / "out"), str(self.path / "mark"), keyed=True)
 
     def found(self):
         return sorted(map(tuple, self.spark.read.parquet(str(self.path / "out")).select(*LOOP).collect()))
