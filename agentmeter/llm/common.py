@@ -1,5 +1,8 @@
 """What the operators of this folder share: landing tables and turning batches into rows."""
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,7 +24,15 @@ def land(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    landed = df.sparkSession.read.schema(df.schema).parquet(path)
+    landed.landed_at = path
+    return landed
+
+
+def drop(*landed: DataFrame) -> None:
+    """Give back the space of tables that ``land`` wrote and nothing reads any more."""
+    for df in landed:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.landed_at)
 
 
 #: Bytes of a batch that Spark hands to Python at once; a longer row is a batch by itself.
@@ -77,6 +88,21 @@ def words(body: bytes | None) -> list[bytes]:
     return (body or b"").translate(_FOLD).split()
 
 
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that leaves no unused memory behind: workers are kept for the stages that follow."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def per_row(function: Callable[[bytes | None], tuple], kinds: list[pa.DataType]):
     """A mapInArrow function over (key, body) that appends ``function(body)``'s values to each key."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import bodies, closed, opened
+from agentmeter.llm.common import bodies, closed, opened, tidy
 from agentmeter.llm.common import words as words_of
 
 WINDOW_WORDS = 10
@@ -134,7 +134,7 @@ def _scanner(windows):
                 names=["row", "body", "n_words", "spans", "items"],
             )
 
-    return run
+    return tidy(run)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -220,5 +220,5 @@ def remove(
     """
     scanned = _scanned(documents, text, benchmark, item, item_text)
     row = scanned.schema["row"].dataType.simpleString()
-    cut = scanned.mapInArrow(_remover, f"row {row}, body string, cleaned string, left long")
+    cut = scanned.mapInArrow(tidy(_remover), f"row {row}, body string, cleaned string, left long")
     return cut.where("cleaned IS NULL OR left > 0").select(*closed(documents, text, F.col("cleaned"), length))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentmeter.llm import tokens
-from agentmeter.llm.common import texts
+from agentmeter.llm.common import texts, tidy
 
 WINDOW = 4096
 END_ID = 2
@@ -127,7 +127,7 @@ def _packer(path: str, end_id: int, window: int):
         if block:
             yield packed(block)
 
-    return run
+    return tidy(run)
 
 
 def pack(

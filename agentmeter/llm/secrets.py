@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import bodies, closed, opened, small_batches, texts
+from agentmeter.llm.common import bodies, closed, opened, small_batches, texts, tidy
 
 KINDS = ("assign", "access", "hex", "random")
 KEY_SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -118,7 +118,7 @@ def train(documents: DataFrame, text: str = "text") -> np.ndarray:
     """
     small_batches(documents.sparkSession)
     body = documents.select(F.col(text).cast("string").cast("binary").alias("body"))
-    rows = body.mapInArrow(_count, "random boolean, pair long, n long").groupBy("random", "pair").agg(F.sum("n"))
+    rows = body.mapInArrow(tidy(_count), "random boolean, pair long, n long").groupBy("random", "pair").agg(F.sum("n"))
     counts = np.zeros((2, CLASSES, CLASSES))
     for random, pair, n in rows.collect():
         # A value may begin inside a run, whose own transition was then counted but once.
@@ -158,35 +158,73 @@ def _stretches(gains: np.ndarray, total: float) -> list[tuple[int, int]]:
 _PARTS = b"/=_-"
 
 
-def _widened(body: bytes, start: int, end: int, first: int, last: int, least: int) -> tuple[int, int]:
-    """The stretch up to the next parting sign, or to the ends of its run if less than ``least`` would be left there."""
-    while start > first and body[start - 1] not in _PARTS:
-        start -= 1
-    while end < last and body[end] not in _PARTS:
-        end += 1
-    return first if start - first < least else start, last if last - end < least else end
-
-
-def _random_runs(body: bytes, ratio: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+def _free(first: int, last: int, taken: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of a run outside ``taken`` (disjoint, in order), of which those before ``at`` end before it; and the next ``at``."""
+    while at < len(taken) and taken[at][1] <= first:
+        at += 1
+    parts, start, i = [], first, at
+    while i < len(taken) and taken[i][0] < last:
+        if taken[i][0] > start:
+            parts.append((start, taken[i][0]))
+        start = max(start, taken[i][1])
+        i += 1
+    if start < last:
+        parts.append((start, last))
+    return parts, at
+
+
+def _random_runs(
+    body: bytes, ratio: np.ndarray, rule: Rule, taken: list[tuple[int, int]] | None = None
+) -> list[tuple[int, int]]:
+    """Random spans of a text outside ``taken``, in order; time grows with the text and the number of both."""
     pairs = _pairs(body)
     starts, ends = _runs((pairs[:-1] % CLASSES > 0).view(np.int8))
     long = ends - starts >= rule.least
-    out = []
-    for first, last in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-        # The first sign has no transition within the run.
-        gains = ratio[pairs[first + 1 : last]] - rule.per_sign
-        if gains[gains > 0].sum() < rule.total:
-            continue
-        own = []
-        for start, end in _stretches(gains, rule.total):
-            start, end = _widened(body, first + start, first + end + 1, first, last, rule.least)
-            if end - start < rule.least:
+    out, at = [], 0
+    parting = np.zeros(256, bool)
+    parting[np.frombuffer(_PARTS, np.uint8)] = True
+    signs = np.frombuffer(body, np.uint8)
+    for run_first, run_last in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        parts, at = _free(run_first, run_last, taken or [], at)
+        for first, last in parts:
+            if last - first < rule.least:
                 continue
-            if own and start <= own[-1][1]:
-                own[-1] = own[-1][0], max(end, own[-1][1])
-            else:
-                own.append((start, end))
-        out += own
+            # The first sign has no transition within the run.
+            gains = ratio[pairs[first + 1 : last]] - rule.per_sign
+            if gains[gains > 0].sum() < rule.total:
+                continue
+            # Where the run can be parted, its ends among them.
+            cuts = np.flatnonzero(parting[signs[first:last]]) + first
+            own = []
+            for start, end in _stretches(gains, rule.total):
+                start, end = _widened(cuts, first + start, first + end + 1, first, last, rule.least)
+                if end - start < rule.least:
+                    continue
+                if own and start <= own[-1][1]:
+                    own[-1] = own[-1][0], max(end, own[-1][1])
+                else:
+                    own.append((start, end))
+            out += own
+    return out
+
+
+def _widened(cuts: np.ndarray, start: int, end: int, first: int, last: int, least: int) -> tuple[int, int]:
+    """The stretch up to the next parting sign, or to the ends of its run if less than ``least`` would be left there."""
+    i = int(np.searchsorted(cuts, start)) - 1
+    start = int(cuts[i]) + 1 if i >= 0 else first
+    i = int(np.searchsorted(cuts, end))
+    end = int(cuts[i]) if i < len(cuts) else last
+    return first if start - first < least else start, last if last - end < least else end
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans as disjoint ones."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((start, end))
     return out
 
 
@@ -195,9 +233,8 @@ def find(body: bytes | None, ratio: np.ndarray, rule: Rule) -> list[tuple[int, s
     if not body:
         return []
     spans = [(start, kind, end) for start, kind, end, _ in base(body)]
-    for start, end in _random_runs(body, ratio, rule):
-        if all(end <= a or start >= b for a, _, b in spans if _ != "random"):
-            spans.append((start, "random", end))
+    taken = _union([(start, end) for start, _, end in spans])
+    spans += [(start, "random", end) for start, end in _random_runs(body, ratio, rule, taken)]
     spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
     if spans and not body.isascii():
         at = sorted({p for s in spans for p in (s[0], s[2])})
@@ -223,7 +260,7 @@ def _finder(ratio: np.ndarray, rule: Rule):
                 [batch.column("key"), pa.array(rows, pa.list_(_SPAN))], names=["key", "spans"]
             )
 
-    return run
+    return tidy(run)
 
 
 def scan(
@@ -236,7 +273,7 @@ def scan(
     """(key, spans) of every document; spans are (start, kind, end) in code points, end exclusive.
 
     Spans are ordered by start, then by kind as in ``KINDS``. Those of the three fixed kinds stay
-    whatever the models say; a random span overlaps none of them. Null and empty texts have no spans; repeated rows come back as
+    whatever the models say; random spans are sought in what they leave of a run and so overlap none of them. Null and empty texts have no spans; repeated rows come back as
     often as they came; other columns are ignored. Without any sample of either
     class there are no random spans.
     """
@@ -268,7 +305,7 @@ def _redactor(ratio: np.ndarray, rule: Rule, mark: str):
                 [batch.column("row"), batch.column("body"), pa.array(out, pa.string())], names=["row", "body", "clean"]
             )
 
-    return run
+    return tidy(run)
 
 
 def redact(

@@ -126,3 +126,36 @@ def test_ordinary_part_does_not_hide_a_key(trained, beside):
     spans = secrets.find(text.encode(), trained, secrets.Rule())
     assert any(kind == "random" and key in text[a:b] for a, kind, b in spans)
     assert secrets.find(f"set {beside}{beside}end there".encode(), trained, secrets.Rule()) == []
+
+
+PLANTED = {
+    "alone": lambda key, rng: ("use ", " here"),
+    "before an assignment": lambda key, rng: ("see ", "/token=abcdef end"),
+    "before hex": lambda key, rng: ("x ", "_" + "".join(rng.choice("0123456789abcdef") for _ in range(24)) + " y"),
+    "named by a key": lambda key, rng: ("", "=secret=abcdef"),
+    "credential pair": lambda key, rng: ("AKIA" + "".join(rng.choice(string.ascii_uppercase + string.digits) for _ in range(16)) + "/", " z"),
+}
+
+
+@pytest.mark.parametrize("form", PLANTED)
+def test_keys_beside_fixed_spans_are_found_whole(trained, form):
+    rng, found = random.Random(form), 0
+    for _ in range(200):
+        key = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))
+        before, after = PLANTED[form](key, rng)
+        spans = secrets.find((before + key + after).encode(), trained, secrets.Rule())
+        marked = set().union(*(range(a, b) for a, _, b in spans))
+        found += set(range(len(before), len(before) + 40)) <= marked
+        ordered = [s for s in spans if s[1] == "random"]
+        assert all(b <= c or d <= a for a, _, b in ordered for c, kind, d in spans if kind != "random")
+    assert found >= 190
+
+
+def test_time_grows_with_the_text(trained):
+    import time
+
+    rng = random.Random(4)
+    words = ["token=abcdef12" if i % 2 else "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for i in range(100_000)]
+    start = time.process_time()
+    spans = secrets.find(" ".join(words).encode(), trained, secrets.Rule())
+    assert len(spans) > 95_000 and time.process_time() - start < 60
