@@ -211,26 +211,32 @@ def _(t):
 
 
 #: Calls and results of the faulty rollouts, first copies joined, and what makes them ambiguous.
-TROUBLED_SQL = """calls0 AS (SELECT session, call_id, min_by(tool, pos) AS tool, min(payload) <> max(payload) AS differ
+TROUBLED_SQL = """calls0 AS MATERIALIZED (SELECT session, call_id, min_by(tool, pos) AS tool, min(payload) <> max(payload) AS differ
                  FROM troubled WHERE kind = 'call' GROUP BY ALL),
         results0 AS (SELECT session, call_id, min_by(item, pos) AS item, min_by(n, pos) AS n FROM troubled WHERE kind = 'result' GROUP BY ALL),
         joined0 AS (SELECT c.session, c.call_id, c.tool, r.n, CASE WHEN r.item IS NULL THEN 'unanswered'
                     WHEN r.item <> 'function_call_output' THEN 'type_mismatch' ELSE 'joined' END AS status
                     FROM calls0 c LEFT JOIN results0 r USING (session, call_id)),
-        parents0 AS (SELECT session, min(parent) AS parent, min(parent) <> max(parent) AS differ FROM troubled
+        parents0 AS MATERIALIZED (SELECT session, min(parent) AS parent, min(parent) <> max(parent) AS differ FROM troubled
                      WHERE kind = 'header' AND parent <> '' GROUP BY ALL),
-        walk(session, reached, steps) AS (
-            SELECT session, parent, 1 FROM parents0
-            UNION ALL SELECT w.session, p.parent, steps + 1 FROM walk w JOIN parents0 p ON w.reached = p.session WHERE steps < 2000),
-        circle AS (SELECT DISTINCT session FROM walk WHERE steps = 2000),
+        -- Lines of parents that end; all others lead into a circle, however long they are.
+        ending(session) AS (
+            SELECT session FROM parents0 ANTI JOIN (SELECT session AS parent FROM parents0) USING (parent)
+            UNION ALL SELECT p.session FROM ending e JOIN parents0 p ON p.parent = e.session),
+        circle AS (SELECT session FROM parents0 ANTI JOIN ending USING (session)),
+        -- Every call handed down until a session below has it as well.
+        below(session, call_id, ancestor) AS (
+            SELECT p.session, c.call_id, c.session FROM calls0 c JOIN parents0 p ON p.parent = c.session
+            WHERE c.call_id IN (SELECT call_id FROM calls0 GROUP BY call_id HAVING count(*) > 1)
+            UNION ALL SELECT p.session, b.call_id, b.ancestor
+            FROM (SELECT * FROM below ANTI JOIN calls0 USING (session, call_id)) b JOIN parents0 p ON p.parent = b.session),
         faults AS (
             SELECT 'conflicting_copies' AS kind, session, call_id, '' AS other FROM calls0 WHERE differ
             UNION ALL SELECT 'type_mismatch', session, call_id, '' FROM joined0 WHERE status = 'type_mismatch'
             UNION ALL SELECT 'conflicting_ancestry', session, '', '' FROM parents0 WHERE differ
             UNION ALL SELECT 'cyclic_ancestry', session, '', '' FROM circle WHERE session IN (SELECT session FROM calls0)
-            UNION ALL SELECT 'inherited_call', w.session, w.call_id, min_by(w.reached, w.steps) FROM (
-                SELECT w.*, c.call_id FROM walk w JOIN calls0 c USING (session) WHERE session NOT IN (FROM circle)) w
-                JOIN calls0 o ON o.session = w.reached AND o.call_id = w.call_id GROUP BY w.session, w.call_id)"""
+            UNION ALL SELECT 'inherited_call', session, call_id, ancestor
+            FROM below JOIN (SELECT session, call_id FROM calls0) USING (session, call_id) ANTI JOIN circle USING (session))"""
 
 
 def _troubled(t):
