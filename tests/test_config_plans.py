@@ -3,6 +3,7 @@
 import pytest
 
 from agentmeter.operators import audit
+from agentmeter.plans import commands
 from agentmeter.sources import config
 
 FILES = [
@@ -48,3 +49,14 @@ def test_nothing_is_grouped_before_it_is_dealt_out(files):
 def test_documents_are_parsed_once(files):
     plan = plan_of(config.opencode_servers(files))
     assert plan.count("from_json") == 1
+
+
+def test_no_filter_parses_a_document_again(files):
+    for df in (config.server_entries(files), config.opencode_server_entries(files), config.opencode_servers(files)):
+        lines = plan_of(df).splitlines()
+        assert not [line for line in lines if "Filter" in line and "from_json" in line]
+
+
+def test_doctor_counts_its_denominators_once(files):
+    said = commands.doctor(files).warnings
+    assert "array_contains" not in said._jdf.queryExecution().optimizedPlan().toString()
