@@ -793,14 +793,18 @@ def doctor(
     spark = files.sparkSession
     skills = audit.front_matter(config.skill_files(files))
     plugin_rows = config.plugin_files(files)
-    merged = audit.merge_servers(config.server_entries(files))
+    entries = config.server_entries(files)
+    merged = audit.merge_servers(entries)
     state = config.source_state(files)
     found = audit.skill_findings(skills).unionByName(audit.plugin_findings(plugin_rows)).unionByName(
-        audit.server_findings(merged)
+        audit.server_findings(audit.winners(entries))
     )
     counted = audit.findings_per_key(found)
-    per_host = audit.checked(skills, plugin_rows, merged, state)
-    denominators = audit.fleet_totals(per_host)
+    # Which names there are needs no definitions.
+    names = entries.select("host", "name").distinct().withColumn("is_winner", F.lit(True))
+    per_host = audit.checked(skills, plugin_rows, names, state)
+    # One row, which the totals and each kind of warning read.
+    denominators = settle(audit.fleet_totals(per_host))
     metrics = [
         corpus_rows(
             denominators, "doctor", 0,
