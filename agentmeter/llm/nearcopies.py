@@ -1,6 +1,10 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-No sketch decides what is compared. Two sets within the similarity share at least one
+Texts whose SimHash fingerprints op1 links (``simhash``, by its pigeonring keys) are compared first. Whole
+sets decide, so a fingerprint alone makes no two texts copies; and since at 0.8 most fingerprints
+differ in more bits than op1 allows, an exact search follows for what they leave apart.
+
+No sketch decides what that compares. Two sets within the similarity share at least one
 of their first n - ceil(0.8 n) + 1 shingles, n being a set's own size, whatever order
 all sets are sorted by (prefix filtering). The order here is by how many texts hold a shingle, rarest
 first: a passage in many texts then is in the prefix of few, and a text that shares
@@ -17,9 +21,15 @@ early, as in texts that share a template but differ in more than a ninth each, n
 
 Sets that share a shingle of their prefixes are first compared with one of them only,
 then with up to eight, so a large group of near copies takes a few comparisons for each
-member. Whatever that leaves apart is then compared in pairs. What two prefixes share
-bounds what the sets can share; pairs within the bound are compared by their whole sets,
-in integers.
+member. What two prefixes share bounds what the sets can share; pairs within the bound are
+compared by their whole sets, in integers.
+
+Whatever that leaves apart falls into bands of sets that hang together by shared shingles, such as the
+versions of one text that differ from each other in a little too much. Each band is looked at
+from one of its sets: a set's difference from that one (what only one of both holds) is small, and
+two sets differ from each other in just what their differences differ in. So the differences are filtered by their own
+prefixes, rarest first: two similar sets share an early part of their differences, unless both are similar to the
+one set, which links them already. Versions with changes of their own in different places don't meet.
 """
 
 from collections.abc import Iterator
@@ -27,9 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentmeter.llm import simhash
 from agentmeter.llm.common import drop, land, small_batches, tidy
 from agentmeter.llm.components import components
 
@@ -41,6 +52,8 @@ SEED = 42
 COUNTED, OFTEN, PLACES = 0.6, 2, 1 << 24
 #: With how many of the sets that share shingles the others are compared, in rounds before all pairs that are left.
 HUBS = (1, 8)
+#: Sets of a band that one copy of its chosen set is dealt to.
+DEALT = 256
 
 
 def shingles(body: bytes | None) -> np.ndarray:
@@ -86,11 +99,11 @@ def _prefix(hashes: np.ndarray, table: np.ndarray, alone: bool) -> tuple[np.ndar
 
 
 def _sets(broadcast, alone: bool = False):
-    """A mapInArrow function: (key, node, size, hashes, most) of each text; all hashes and no ``most`` without ``broadcast``."""
+    """A mapInArrow function: (key, node, size, hashes, most, fingerprint) of each text; without ``broadcast`` all hashes and the first four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, kept, bounds = [], [], [], []
+            nodes, sizes, kept, bounds, prints = [], [], [], [], []
             for body in batch.column("body"):
                 hashes = shingles(body.as_py())
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
@@ -98,6 +111,7 @@ def _sets(broadcast, alone: bool = False):
                 if broadcast is not None:
                     hashes, most = _prefix(hashes, broadcast.value, alone)
                     bounds.append(most)
+                    prints.append(simhash.fingerprint(body.as_py()))
                 kept.append(hashes)
             ends = pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32))
             flat = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
@@ -109,6 +123,7 @@ def _sets(broadcast, alone: bool = False):
             }
             if broadcast is not None:
                 columns["most"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*bounds, np.zeros(0, np.int32)])))
+                columns["fingerprint"] = pa.array(prints, pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
     return tidy(run)
@@ -116,7 +131,7 @@ def _sets(broadcast, alone: bool = False):
 
 def _shingled(rows: DataFrame, broadcast=None, alone: bool = False) -> DataFrame:
     kind = rows.schema["key"].dataType.simpleString()
-    most = "" if broadcast is None else ", most array<int>"
+    most = "" if broadcast is None else ", most array<int>, fingerprint long"
     return rows.mapInArrow(_sets(broadcast, alone), f"key {kind}, node long, size int, hashes array<long>{most}")
 
 
@@ -146,6 +161,24 @@ def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(named("a", "these"), "a").join(named("b", "those"), "b")
 
 
+def _whole(asked: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, size, hashes, ...) with all hashes of the nodes ``asked`` for, each once; landed."""
+    # A key may have other texts as well. Landed, few keys are known to be few, and the texts stay where they are.
+    keys = land(prefixes.join(asked, "node", "left_semi").select("key").distinct(), "keys")
+    sets = land(
+        _shingled(rows.join(keys, "key", "left_semi")).join(asked, "node", "left_semi").dropDuplicates(["node"]),
+        "shingles",
+    )
+    drop(keys)
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets are similar enough, landed."""
+    both, sizes = F.size(F.array_intersect("these", "those")), F.col("size_a") + F.col("size_b")
+    return land(_beside(pairs, sets).where(both * (SAME + OF) >= sizes * SAME).select("a", "b"), "near")
+
+
 def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose whole sets are similar enough, landed."""
     both, sizes = F.size(F.array_intersect("these", "those")), F.col("size_a") + F.col("size_b")
@@ -159,15 +192,22 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFra
         "possible",
     )
     drop(pairs, some)
-    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # A key may have other texts as well. Landed, few keys are known to be few, and the texts stay where they are.
-    keys = land(prefixes.join(asked, "node", "left_semi").select("key").distinct(), "keys")
-    sets = land(
-        _shingled(rows.join(keys, "key", "left_semi")).join(asked, "node", "left_semi").dropDuplicates(["node"]),
-        "shingles",
-    )
-    found = land(_beside(near, sets).where(both * (SAME + OF) >= sizes * SAME).select("a", "b"), "near")
-    drop(near, keys, sets)
+    sets = _whole(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), prefixes, rows)
+    found = _similar(near, sets)
+    drop(near, sets)
+    return found
+
+
+def _fingerprinted(prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The similar (a, b) among texts with one fingerprint or linked ones; of each fingerprint one text stands for all."""
+    prints = prefixes.select("node", "fingerprint")
+    chosen = land(prints.groupBy("fingerprint").agg(F.min("node").alias("chosen")), "chosen")
+    same = prints.join(chosen, "fingerprint").where("node <> chosen").select(F.col("chosen").alias("a"), F.col("node").alias("b"))
+    end = lambda name: chosen.select(F.col("fingerprint").alias(name), F.col("chosen").alias(f"{name}_node"))
+    linked = simhash.links(chosen.select("fingerprint")).join(end("a"), "a").join(end("b"), "b")
+    across = linked.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    found = _verified(same.union(across), prefixes, rows)
+    drop(chosen)
     return found
 
 
@@ -188,12 +228,74 @@ def _meeting(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(tokens.select("token", "least"), "token").where("most >= least").select(rows.columns)
 
 
+def _differences(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, node, root, size, hub, hub_size, differs) of each set of ``rest`` but its band's own, the hub; landed.
+
+    Whatever can meet at a token is in one band. The hub is the set that meets others at the most tokens. A large
+    band gets several copies of its hub, so that its sets don't all go to one task.
+    """
+    first = rest.groupBy("token").agg(F.min("node").alias("a"))
+    bands = components(rest.join(first, "token").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "band")
+    nodes = rest.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("tokens")).join(bands, "node")
+    nodes = land(nodes, "banded")
+    hubs = nodes.groupBy("band").agg(
+        F.max_by("node", F.struct("tokens", "node")).alias("hub"), F.ceil(F.count("*") / DEALT).cast("int").alias("parts")
+    )
+    hubs = land(hubs, "hubs")
+    named = sets.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("hashes").alias("those"))
+    copies = hubs.join(named, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
+    dealt = nodes.join(hubs.select("band", "parts"), "band").select("band", "node", "root", part)
+    beside = dealt.join(sets.select("node", "size", "hashes"), "node").join(copies, ["band", "part"]).where("node <> hub")
+    differs = F.concat(F.array_except("hashes", "those"), F.array_except("those", "hashes"))
+    found = land(beside.select("band", "node", "root", "size", "hub", "hub_size", differs.alias("differs")), "differences")
+    drop(nodes, hubs)
+    return found
+
+
+def _candidates(apart: DataFrame) -> DataFrame:
+    """(a, b) of different roots whose differences from the hub may be alike enough.
+
+    With n and m hashes in all and d and e of them in the differences, two sets are similar if the differences share at least
+    (d + e - (n + m) / 9) / 2. A set that isn't similar to the hub shares something with each set that is similar to
+    it. What both share first, at the places p and q, leaves at most d - p and e - q to share; so q is at most m / 4, and
+    p at most n / 8 if d is the smaller.
+    """
+    each = apart.select("band", "node", "root", "size", F.size("differs").alias("n"), F.explode("differs").alias("hash"))
+    held = each.groupBy("band", "hash").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("node").orderBy("texts", "hash")
+    placed = each.join(held, ["band", "hash"]).withColumn("place", F.row_number().over(order) - 1)
+    early = placed.where(f"low < high AND {SAME} * place <= {OF - SAME} * size")
+    early = land(early.select("band", "hash", "node", "root", "size", "n", "place"), "early")
+    small = early.where(f"{2 * SAME} * place <= {OF - SAME} * size")
+    small = small.select("band", "hash", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "n", "place")))
+    alike = f"""root <> root_b AND (n_b < n OR n_b = n AND node_b < node) AND
+        {2 * (SAME + OF)} * least(n - place, n_b - place_b) >= {SAME + OF} * (n + n_b) - {OF - SAME} * (size + size_b)"""
+    pairs = small.join(early, ["band", "hash"]).where(alike)
+    pairs = land(pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "pairs")
+    drop(early)
+    return pairs
+
+
+def _left(rest: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) that connect the sets of ``rest`` that are similar enough, by their differences from one set of each band."""
+    sets = _whole(rest.select("node").distinct(), prefixes, rows)
+    apart = _differences(rest, sets)
+    to_hub = apart.where(F.size("differs") * (SAME + OF) <= (F.col("size") + F.col("hub_size")) * (OF - SAME))
+    pairs = _candidates(apart)
+    ends = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    found = land(_similar(pairs, sets).union(to_hub.select(*ends)), "left")
+    drop(sets, apart, pairs)
+    return found
+
+
 def _links(prefixes: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) among nodes: enough links to connect all that are similar enough; ``prefixes`` has each node once."""
     each = F.explode(F.arrays_zip("hashes", "most")).alias("one")
     tokens = prefixes.select(F.col("node"), F.col("size"), each).select(F.col("one.hashes").alias("token"), "node", "size", "one.most")
     members = _meeting(tokens.repartition("token"), "node")
-    parted, near = land(members.withColumn("root", F.col("node")), "parted"), None
+    near = _fingerprinted(prefixes, rows)
+    parted = _parted(members, near)
     for ways in HUBS:
         seen = F.xxhash64("node", F.pmod("token", F.lit(ways)))
         hubs = parted.groupBy("token").agg(
@@ -202,15 +304,13 @@ def _links(prefixes: DataFrame, rows: DataFrame) -> DataFrame:
         stars = parted.join(hubs.where("low < high").select("token", "hub"), "token").where("root <> hub.root")
         ends = F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
         more = _verified(stars.where("size <= hub.most AND hub.size <= most").select(*ends), prefixes, rows)
-        near, before = more if near is None else land(near.union(more), "near"), parted
+        near, before = land(near.union(more), "near"), parted
         parted = _parted(before.drop("root"), near)
         drop(before)
     rest = land(_meeting(parted, "root"), "rest")
-    small = rest.where("most >= size").select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "most", "root")))
-    apart = "root <> root_b AND size_b <= most AND size <= most_b AND (size_b < size OR size_b = size AND node_b < node)"
-    pairs = small.join(rest, "token").where(apart).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-    found = near.union(_verified(pairs, prefixes, rows))
-    drop(parted, rest)
+    drop(parted)
+    found = near.union(_left(rest, prefixes, rows))
+    drop(rest)
     return found
 
 
@@ -229,7 +329,7 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     prefixes = land(_shingled(rows, table, OFTEN <= 2), "prefixes")
     names = land(prefixes.select("key", "node"), "names")
     # A set of many exact copies is one node, with the smallest of their keys.
-    first = prefixes.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.first("most").alias("most"))
+    first = prefixes.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.first("most").alias("most"), F.min("fingerprint").alias("fingerprint"))
     first = land(first, "first")
     drop(prefixes)
     roots = components(_links(first, rows)).withColumnRenamed("node", "of")

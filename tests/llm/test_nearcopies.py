@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from agentmeter.llm import nearcopies
+from agentmeter.llm import nearcopies, simhash
 
 
 def shingle_set(text):
@@ -71,3 +71,41 @@ def test_odd_rows_and_none(make_documents, odd):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 4, 6, 7, None]
     assert nearcopies.one_of_each(make_documents([])).collect() == []
+
+
+def test_versions_of_one_text_do_not_all_meet(make_documents, monkeypatch):
+    """160 versions of a text, each with five words of its own: most pairs are below 0.8, some above."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, rows = [word() for _ in range(160)], []
+    for k in range(160):
+        copy = list(base)
+        for at in rng.sample(range(160), 2 if k % 40 == 0 else 5):
+            copy[at] = word()
+        rows.append((k + 1, " ".join(copy)))
+    beside, compared = nearcopies._beside, []
+
+    def counted(pairs, sets):
+        compared.append(pairs.distinct().count())
+        return beside(pairs, sets)
+
+    monkeypatch.setattr(nearcopies, "_beside", counted)
+    found = {r.doc_id: r.component_id for r in nearcopies.groups(make_documents(rows)).collect()}
+    assert found == brute_groups(rows)
+    assert len(set(found.values())) > 20
+    assert max(compared) < 160 * 159 // 2 // 5
+
+
+def test_pairs_that_fingerprints_link_come_first(make_documents, monkeypatch):
+    rows = planted()
+    links, given = simhash.links, []
+
+    def watched(prints):
+        out = links(prints)
+        given.append((prints.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "links", watched)
+    found = {r.doc_id: r.component_id for r in nearcopies.groups(make_documents(rows)).collect()}
+    assert found == brute_groups(rows)
+    assert len(given) == 1 and given[0][0] > 100 and given[0][1] > 0
