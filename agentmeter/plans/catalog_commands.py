@@ -557,11 +557,15 @@ def transcript_lines(t):
     return events.unionByName(documents)
 
 
+#: Lines of a written file. A compressed file can't be split, so this bounds what a task reads at once.
+LINES_PER_FILE = 16384
+
+
 def write_transcripts(t) -> str:
-    """JSONL below the shared folder; file order is scan order."""
+    """JSONL below the shared folder, compressed; file order is scan order."""
     path = scratch_path(t.spark, "transcripts")
     ordered = transcript_lines(t).repartitionByRange("pos").sortWithinPartitions("pos")
-    ordered.select("line").write.text(path)
+    ordered.select("line").write.option("maxRecordsPerFile", LINES_PER_FILE).text(path, compression="gzip")
     return path
 
 
@@ -578,7 +582,7 @@ _MEASURED = "dimension <> 'attachment_type' AND NOT (dimension = 'corpus' AND na
 def _(t):
     """Written as lines, decoded from files, measured by four commands."""
     found = transcripts.read_corpus(
-        t.spark, write_transcripts(t), scratch_path(t.spark, "silver"), glob="*.txt"
+        t.spark, write_transcripts(t), scratch_path(t.spark, "silver"), glob="*.txt.gz"
     )
     run = commands.start(found)
     parts = [

@@ -4,7 +4,7 @@ import pytest
 from helpers import value_of
 
 from agentmeter.functions.window import TimeWindow
-from agentmeter.plans import commands
+from agentmeter.plans import adapters, catalog_commands, commands
 from agentmeter.sources.transcripts import line_accounting, read_corpus
 
 S = "s1"
@@ -237,3 +237,18 @@ def test_report_merges_and_writes(spark, write_jsonl, load, tmp_path):
     figures = {r.figure: r.value for r in commands.summary(m).collect()}
     assert figures["tool_concentration_percent"] == 100.0
     assert figures["rebill_multiplier"] == pytest.approx(33.0)
+
+
+def test_written_transcripts_are_compressed_and_bounded(spark, monkeypatch):
+    """All lines in order, in files of bounded length that take less than a quarter of the lines' own bytes."""
+    monkeypatch.setattr(catalog_commands, "LINES_PER_FILE", 300, raising=False)
+    t = adapters.Tables(spark, "/root/testdata/sf0.001")
+    path = catalog_commands.write_transcripts(t)
+    want = [r.line for r in catalog_commands.transcript_lines(t).orderBy("pos").collect()]
+    taken = spark.read.format("binaryFile").load(path).agg({"length": "sum"}).first()[0]
+    assert taken * 4 < sum(len(line.encode()) + 1 for line in want)
+    read = spark.read.text(path).select("value", "_metadata.file_path")
+    assert read.groupBy("file_path").count().agg({"count": "max"}).first()[0] <= 300
+    assert sorted(r.value for r in read.collect()) == sorted(want)
+    files = sorted(r.file_path for r in read.select("file_path").distinct().collect())
+    assert [r.value for f in files for r in spark.read.text(f).collect()] == want
