@@ -28,7 +28,7 @@ Whatever that leaves apart falls into bands of sets that hang together by shared
 versions of one text that differ from each other in a little too much. Each band is looked at
 from one of its sets: a set's difference from that one (what only one of both holds) is small, and
 two sets differ from each other in just what their differences differ in. So the differences are filtered by their own
-prefixes, rarest first: two similar sets share an early part of their differences, unless both are similar to the
+prefixes, rarest first, and cut to those before they become rows, because beside a much larger set a difference is as large as that set: two similar sets share an early part of their differences, unless both are similar to the
 one set, which links them already. Versions with changes of their own in different places don't meet.
 """
 
@@ -228,32 +228,50 @@ def _meeting(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(tokens.select("token", "least"), "token").where("most >= least").select(rows.columns)
 
 
-def _differences(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(band, node, root, size, hub, hub_size, differs) of each set of ``rest`` but its band's own, the hub; landed.
+def _differences(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each set of ``rest`` but its band's own, the hub, what it lacks of the hub; and (band, hash, ...) of what may meet; landed.
 
     Whatever can meet at a token is in one band. The hub is the set that meets others at the most tokens. A large
     band gets several copies of its hub, so that its sets don't all go to one task.
+
+    In how many differences a shingle is, is counted from the sets, which hold no more in all than the input: outside the hub
+    in as many as hold it, in the hub in as many as don't. Beside a much larger hub a set's difference is as large as the hub, but
+    only its first shingles are ever looked at; so the hub's are put in order once, and a set keeps the first that it lacks.
     """
     first = rest.groupBy("token").agg(F.min("node").alias("a"))
     bands = components(rest.join(first, "token").select("a", F.col("node").alias("b"))).withColumnRenamed("root", "band")
     nodes = rest.groupBy("node").agg(F.min("root").alias("root"), F.count("*").alias("tokens")).join(bands, "node")
     nodes = land(nodes, "banded")
     hubs = nodes.groupBy("band").agg(
-        F.max_by("node", F.struct("tokens", "node")).alias("hub"), F.ceil(F.count("*") / DEALT).cast("int").alias("parts")
+        F.max_by("node", F.struct("tokens", "node")).alias("hub"), F.count("*").alias("members"), F.ceil(F.count("*") / DEALT).cast("int").alias("parts")
     )
     hubs = land(hubs, "hubs")
-    named = sets.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("hashes").alias("those"))
-    copies = hubs.join(named, "hub").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    banded = nodes.join(hubs, "band").join(sets, "node")
+    each = banded.select("band", "members", "root", (F.col("node") == F.col("hub")).alias("own"), F.explode("hashes").alias("hash"))
+    held = each.groupBy("band", "hash").agg(
+        F.max("own").alias("of_hub"), F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members")
+    )
+    texts = F.when(F.col("of_hub"), F.col("members") - F.col("texts")).otherwise(F.col("texts"))
+    # A shingle outside the hub that one set holds, or sets of one root, only takes a place.
+    held = land(held.where("of_hub OR texts > 1").select("band", "hash", "of_hub", texts.alias("texts"), "low", "high"), "held")
+    order = held.where("of_hub").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("texts", "hash"))).alias("ordered"))
+    named = sets.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"))
+    copies = hubs.join(named, "hub").join(order.select("band", F.col("ordered.hash").alias("those")), "band")
+    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "members")
     part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
     dealt = nodes.join(hubs.select("band", "parts"), "band").select("band", "node", "root", part)
     beside = dealt.join(sets.select("node", "size", "hashes"), "node").join(copies, ["band", "part"]).where("node <> hub")
-    differs = F.concat(F.array_except("hashes", "those"), F.array_except("those", "hashes"))
-    found = land(beside.select("band", "node", "root", "size", "hub", "hub_size", differs.alias("differs")), "differences")
+    beside = beside.select("*", F.size(F.array_except("hashes", "those")).alias("more"), F.array_except("those", "hashes").alias("lacks"))
+    found = beside.select(
+        "band", "node", "root", "size", "hub", "hub_size", "more", (F.col("more") + F.size("lacks")).alias("n"),
+        F.expr(f"slice(lacks, 1, {OF - SAME} * size div {SAME} + 1)").alias("lacks"),
+    )
+    found = land(found, "differences")
     drop(nodes, hubs)
-    return found
+    return found, held
 
 
-def _candidates(apart: DataFrame) -> DataFrame:
+def _candidates(apart: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of different roots whose differences from the hub may be alike enough.
 
     With n and m hashes in all and d and e of them in the differences, two sets are similar if the differences share at least
@@ -261,11 +279,15 @@ def _candidates(apart: DataFrame) -> DataFrame:
     it. What both share first, at the places p and q, leaves at most d - p and e - q to share; so q is at most m / 4, and
     p at most n / 8 if d is the smaller.
     """
-    each = apart.select("band", "node", "root", "size", F.size("differs").alias("n"), F.explode("differs").alias("hash"))
-    held = each.groupBy("band", "hash").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high"))
-    order = Window.partitionBy("node").orderBy("texts", "hash")
-    placed = each.join(held, ["band", "hash"]).withColumn("place", F.row_number().over(order) - 1)
-    early = placed.where(f"low < high AND {SAME} * place <= {OF - SAME} * size")
+    named = apart.select("band", "node", "root", "size", "more", "n")
+    more = named.join(sets.select("node", "hashes"), "node").select(*named.columns, F.explode("hashes").alias("hash"))
+    more = more.join(held.where("NOT of_hub"), ["band", "hash"])
+    lacks = apart.select(*named.columns, F.explode("lacks").alias("hash")).join(held.where("of_hub"), ["band", "hash"])
+    node = Window.partitionBy("node")
+    # What no other difference holds stands before all else.
+    alone = F.col("more") - F.count_if(~F.col("of_hub")).over(node)
+    placed = more.unionByName(lacks).withColumn("place", alone + F.row_number().over(node.orderBy("texts", "hash")) - 1)
+    early = placed.where(f"texts > 1 AND (of_hub OR low < high) AND {SAME} * place <= {OF - SAME} * size")
     early = land(early.select("band", "hash", "node", "root", "size", "n", "place"), "early")
     small = early.where(f"{2 * SAME} * place <= {OF - SAME} * size")
     small = small.select("band", "hash", *(F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "n", "place")))
@@ -280,12 +302,12 @@ def _candidates(apart: DataFrame) -> DataFrame:
 def _left(rest: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b) that connect the sets of ``rest`` that are similar enough, by their differences from one set of each band."""
     sets = _whole(rest.select("node").distinct(), prefixes, rows)
-    apart = _differences(rest, sets)
-    to_hub = apart.where(F.size("differs") * (SAME + OF) <= (F.col("size") + F.col("hub_size")) * (OF - SAME))
-    pairs = _candidates(apart)
+    apart, held = _differences(rest, sets)
+    to_hub = apart.where(F.col("n") * (SAME + OF) <= (F.col("size") + F.col("hub_size")) * (OF - SAME))
+    pairs = _candidates(apart, held, sets)
     ends = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
     found = land(_similar(pairs, sets).union(to_hub.select(*ends)), "left")
-    drop(sets, apart, pairs)
+    drop(sets, apart, held, pairs)
     return found
 
 

@@ -109,3 +109,29 @@ def test_pairs_that_fingerprints_link_come_first(make_documents, monkeypatch):
     found = {r.doc_id: r.component_id for r in nearcopies.groups(make_documents(rows)).collect()}
     assert found == brute_groups(rows)
     assert len(given) == 1 and given[0][0] > 100 and given[0][1] > 0
+
+
+def test_differences_from_a_larger_hub_are_cut_before_they_are_rows(make_documents, monkeypatch):
+    """A long text and a hundred passages of it hang together; each passage differs from the long text in nearly all of it."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    long = [word() for _ in range(3000)]
+    rows = [(1, " ".join(long))] + [(k + 2, " ".join(long[30 * k : 30 * k + 30])) for k in range(100)]
+    changed = list(long[:30])
+    changed[29] = word()
+    rows.append((102, " ".join(changed)))
+    land, held = nearcopies.land, []
+
+    def watched(df, name):
+        out = land(df, name)
+        if name == "differences":
+            arrays = [c for c, kind in out.dtypes if kind.startswith("array")]
+            held.append((out.count(), sum(len(r[c]) for r in out.collect() for c in arrays)))
+        return out
+
+    monkeypatch.setattr(nearcopies, "land", watched)
+    found = {r.doc_id: r.component_id for r in nearcopies.groups(make_documents(rows)).collect()}
+    assert found == brute_groups(rows)
+    (sets, kept), sizes = held[0], sum(len(shingle_set(x)) for _, x in rows)
+    assert sets > 50
+    assert kept <= sizes
