@@ -1,18 +1,19 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
-
-Each language has a model of character n-grams, trained on all trusted text. Characters fall into a
-fixed alphabet of 96 classes: blank, the letters a-z without case, digit, each ASCII sign,
-other signs, and 34 classes for all other letters by code point. Every split
-counts its n-grams first and Spark adds up the counts; adjusted counts, discounts
-and interpolation weights are joins and aggregates over those tables, keyed by context.
-
-Scoring joins the documents with the finished table inside the scan. The table is cut
-by a hash of (language, context) into shards of about ``SHARD_CONTEXTS`` contexts,
-each a row of 96 probabilities, so the bound of a broadcast follows from the
-alphabet; a document passes all shards in one stage, and each adds the log-probabilities
-of the contexts it holds. No text is shuffled.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of UTF-8 bytes.
+
+Each language has a model of n-grams of its texts' bytes, trained on all trusted text. ASCII letters
+lose their case, digits are one sign and so are blanks and controls; every byte of a character beyond
+ASCII is a sign of its own, so letters of any script are told apart. Every split counts its n-grams
+first and Spark adds up the counts; adjusted counts, discounts and interpolation weights are joins
+and aggregates over those tables, keyed by context.
+
+Scoring is joins as well. The n-grams of all documents are counted and joined, order by order, with
+the shards of the model, which gives the bits each takes. The documents are dealt out by hash into
+blocks of about ``BLOCK_BYTES``; a block's different n-grams are joined with their bits, and the two
+meet again by block. So a task holds a block and its n-grams, and neither
+model nor counts pass through the driver.
 """
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,18 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from agentmeter.llm.common import bodies, closed, land, opened, small_batches, tidy
 
-CLASSES = 96
+#: Boundary, blank, 26 letters, digit, 32 ASCII signs and 128 bytes of characters beyond ASCII.
+CLASSES = 189
 ORDER = 4
-#: Contexts of one broadcast; 96 four-byte numbers each.
+#: Contexts of one shard of the model.
 SHARD_CONTEXTS = 1 << 16
-#: Shards that a worker holds at once, about 25 MB each, and languages of them that it has indexed, 4 MB each.
-TOGETHER, INDEXES = 4, 16
+#: Text that is scored together.
+BLOCK_BYTES = 16 << 20
 #: Trusted ids up to this number are broadcast, eight bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 22
-#: Characters whose n-grams are worked out at once.
+#: Bytes whose n-grams are worked out at once.
 BLOCK = 1 << 19
 #: Share of a language's trusted documents that stay under its threshold.
 QUANTILE = 0.998
@@ -42,43 +45,32 @@ ROUNDING = 1e-9
 HELD_OUT = 5
 #: Signs of average text that every document's perplexity takes in besides its own.
 PRIOR_SIGNS = 100
-BOUNDARY, BLANK, DIGIT, OTHER_SIGN = 0, 1, 28, 61
-
-
-def _class_of() -> np.ndarray:
-    """Class by code point, below 0x250."""
-    signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
-    out = np.zeros(0x250, np.uint8)
-    for point in range(0x250):
-        sign = chr(point).lower()[0]
-        if sign.isspace() or point < 32 or 127 <= point < 161:
-            out[point] = BLANK
-        elif "a" <= sign <= "z":
-            out[point] = 2 + ord(sign) - ord("a")
-        elif sign.isnumeric():
-            out[point] = DIGIT
-        elif sign in signs:
-            out[point] = 29 + signs.index(sign)
-        elif sign.isalpha():
-            out[point] = 62 + ord(sign) % 34
-        else:
-            out[point] = OTHER_SIGN
+BOUNDARY, BLANK, DIGIT = 0, 1, 28
+
+
+def _sign_of() -> np.ndarray:
+    """Sign by byte."""
+    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
+    out = np.full(256, BLANK, np.uint8)
+    for byte in range(33, 256):
+        letter = chr(byte).lower()
+        if byte >= 128:
+            out[byte] = 61 + byte - 128
+        elif letter.isalpha():
+            out[byte] = 2 + ord(letter) - ord("a")
+        elif letter.isdigit():
+            out[byte] = DIGIT
+        elif byte in signs:
+            out[byte] = 29 + signs.index(byte)
     return out
 
 
-_CLASS_OF = _class_of()
+_SIGN_OF = _sign_of()
 
 
 def classes(body: bytes) -> np.ndarray:
-    """The class of each character of a text in UTF-8."""
-    text = body.decode("utf-8", "replace")
-    try:
-        return _CLASS_OF[np.frombuffer(text.encode("latin-1"), np.uint8)]
-    except UnicodeEncodeError:
-        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    sign = (points >= 0x2000) & (points < 0x2C00) | (points >= 0x3000) & (points < 0x3040)
-    far = np.where(sign, OTHER_SIGN, 62 + points % 34).astype(np.uint8)
-    return np.where(points < 0x250, _CLASS_OF[np.minimum(points, 0x24F)], far)
+    """The signs of a text in UTF-8, one for each byte."""
+    return _SIGN_OF[np.frombuffer(body, np.uint8)]
 
 
 def _grams_of(parts: list[np.ndarray]) -> np.ndarray:
@@ -86,8 +78,8 @@ def _grams_of(parts: list[np.ndarray]) -> np.ndarray:
 
     Boundary signs stand before each text; the n-grams that end in one mean nothing.
     """
-    pad = np.zeros(ORDER - 1, np.uint8)
-    signs = np.concatenate([x for part in parts for x in (pad, part)]).astype(np.int32)
+    pad = np.zeros(ORDER - 1, np.uint16)
+    signs = np.concatenate([x for part in parts for x in (pad, part)]).astype(np.int64)
     grams = signs[: len(signs) - ORDER + 1].copy()
     for k in range(1, ORDER):
         grams *= CLASSES
@@ -132,7 +124,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * len(part), pa.string()),
-                    pa.array(part, pa.int32()),
+                    pa.array(part, pa.int64()),
                     pa.array(counts[at : at + (1 << 16)], pa.int64()),
                 ],
                 names=["lang", "gram", "n"],
@@ -150,7 +142,7 @@ def count_grams(trusted: DataFrame, text: str = "text", lang: str = "lang") -> D
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
         F.col(text).cast("string").cast("binary").alias("body"),
     )
-    counted = rows.mapInArrow(tidy(_count), "lang string, gram int, n long")
+    counted = rows.mapInArrow(tidy(_count), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -186,7 +178,7 @@ def _level(grams: DataFrame) -> DataFrame:
     cut = keyed.join(_discounts(keyed), "lang").withColumn(
         "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     )
-    # A context is followed by 96 signs at most, so no group is larger.
+    # A context is followed by fewer than ``CLASSES`` signs, so no group is larger.
     row = cut.groupBy("lang", "context").agg(
         F.map_from_entries(F.collect_list(F.struct("sign", F.col("n") - F.col("d")))).alias("kept"),
         F.sum("n").alias("total"),
@@ -197,20 +189,25 @@ def _level(grams: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, size, context, logs): log2 probability of all 96 signs after each context seen.
+    """(lang, size, context, logs): log2 probability of all signs after each context seen.
 
     size is the number of signs in the context, ``ORDER`` - 1 down to 0: a longer
     context that was not seen is predicted from the longest end of it that was. Below
     the highest order an n-gram counts once for each different sign before it.
+
+    The rows are worked out when they are read. What they follow from is landed and much smaller, and
+    scoring needs no more: ``levels`` of the result, see ``_level``.
     """
     grams = land(count_grams(trusted, text, lang), "grams")
-    orders = {ORDER: grams.select("lang", F.col("gram").cast("long").alias("gram"), "n")}
+    orders = {ORDER: grams}
     for order in range(ORDER - 1, 0, -1):
         ends = (F.col("gram") % CLASSES**order).alias("gram")
         orders[order] = orders[order + 1].groupBy("lang", ends).agg(F.count("*").alias("n"))
-    tables = []
+    levels, tables = None, []
     for order in range(1, ORDER + 1):
-        level = _level(orders[order])
+        rows = _level(orders[order]).select("lang", F.lit(order - 1).alias("size"), "context", "seen", "weight")
+        level = land(rows, "level")
+        levels = levels.unionByName(level) if levels else level
         signs = F.sequence(F.lit(0), F.lit(CLASSES - 1))
         seen = lambda s: F.coalesce(F.try_element_at("seen", s), F.lit(0.0))
         if order == 1:
@@ -220,100 +217,112 @@ def train(trusted: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
             ending = (F.col("context") % CLASSES ** (order - 2)).alias("ending")
             level = level.select("*", ending).join(lower, ["lang", "ending"])
             p = F.transform(signs, lambda s: seen(s) + F.col("weight") * F.element_at("q", s + 1))
-        rows = level.select("lang", F.lit(order - 1).alias("size"), "context", p.alias("p"))
-        tables.append(land(rows, "model"))
+        tables.append(level.select("lang", "size", "context", p.alias("p")))
     model = tables[0]
     for rows in tables[1:]:
         model = model.unionByName(rows)
     logs = F.transform("p", lambda p: F.log2(p).cast("float"))
-    return model.select("lang", "size", "context", logs.alias("logs"))
+    model = model.select("lang", "size", "context", logs.alias("logs"))
+    model.levels = levels
+    return model
 
 
-@dataclass
-class _Shard:
-    """The rows of some contexts, and for each language where those of a context are."""
-
-    number: int
-    count: int
-    sizes: np.ndarray
-    contexts: np.ndarray
-    logs: np.ndarray
-    rows: dict[str, np.ndarray]
-
-    def index(self, lang: str) -> np.ndarray:
-        """For every context of ``ORDER`` - 1 signs the row that predicts after it; -1 in other shards."""
-        at = np.arange(CLASSES ** (ORDER - 1))
-        out = np.full(len(at), -1, np.int32)
-        mine = self.rows.get(lang)
-        if mine is None:
-            return out
-        for size in range(ORDER):
-            rows = mine[self.sizes[mine] == size]
-            place = np.full(CLASSES**size, -1, np.int32)
-            place[self.contexts[rows]] = rows
-            found = place[at % CLASSES**size]
-            out = np.where(found >= 0, found, out)
-        return np.where(_shard_of(at, self.count) == self.number, out, -1).astype(np.int32)
-
-
-def _shard_of(context, count: int):
-    """By the last two signs, so that a context shares its shard with the end it falls back on."""
-    return context % CLASSES**2 % count
-
-
-def shards(model: DataFrame) -> list:
-    """Broadcasts of the model, ``SHARD_CONTEXTS`` rows or so in each; one is collected at a time."""
-    model = land(model, "logs")
-    count = -(-model.count() // SHARD_CONTEXTS)
-    out = []
-    for k in range(count):
-        mine = model.where((F.col("size") < 2) | (F.col("context") % CLASSES**2 % count == k)).toArrow()
-        lang = np.array(mine["lang"].to_pylist(), object)
-        logs = np.asarray(mine["logs"].combine_chunks().flatten(), np.float32).reshape(-1, CLASSES)
-        shard = _Shard(
-            k,
-            count,
-            np.asarray(mine["size"]),
-            np.asarray(mine["context"]),
-            logs,
-            {x: np.flatnonzero(lang == x) for x in set(lang.tolist())},
-        )
-        out.append(model.sparkSession.sparkContext.broadcast(shard))
-    return out
+def shards(model: DataFrame) -> list[DataFrame]:
+    """The levels of the model in landed tables of ``SHARD_CONTEXTS`` contexts or so."""
+    rows = model.levels
+    count = -(-rows.count() // SHARD_CONTEXTS)
+    number = F.pmod(F.xxhash64("lang", "size", "context"), F.lit(count))
+    return [land(rows.where(number == k), "shard") for k in range(count)]
+
 
+def _costs(grams: DataFrame, model: list[DataFrame]) -> DataFrame:
+    """(lang, gram, bits) of all n-grams whose language has a model.
 
-def _scorer(broadcasts: list):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict[tuple[int, str], np.ndarray] = {}
-
-        def indexed(k: int, lang: str) -> np.ndarray:
-            if (k, lang) not in index:
-                if len(index) >= INDEXES:
-                    index.clear()
-                index[k, lang] = broadcasts[k].value.index(lang)
-            return index[k, lang]
-
-        for batch in batches:
-            bits = batch.column("bits").to_numpy(zero_copy_only=False).copy()
-            signs = batch.column("signs").to_numpy(zero_copy_only=False).copy()
-            body_of = bodies(batch)
-            groups: dict[str, list[int]] = {}
-            for i, lang in enumerate(batch.column("lang").to_pylist()):
-                groups.setdefault(lang, []).append(i)
-            for lang, members in groups.items():
-                rows = ((str(i), body_of[i] or b"") for i in members)
-                for block in _whole(rows):
-                    where = [int(i) for i, _ in block]
-                    parts = [classes(body) for _, body in block]
-                    for k, broadcast in enumerate(broadcasts):
-                        sums, counts = _block_bits(parts, indexed(k, lang), broadcast.value.logs)
-                        bits[where] += sums
-                        signs[where] = counts
-            columns = {"bits": pa.array(bits, pa.float64()), "signs": pa.array(signs, pa.int64())}
-            names = batch.schema.names
-            yield pa.RecordBatch.from_arrays([columns.get(c, batch.column(c)) for c in names], names=names)
-
-    return tidy(run)
+    Each order's different n-grams meet the level of their contexts and the probabilities of their
+    ends; at most ``CLASSES`` share a context or an end, so no key has many rows.
+    """
+    levels = grams.sparkSession.read.schema(model[0].schema).parquet(*(shard.landed_at for shard in model))
+    found = None
+    for order in range(1, ORDER + 1):
+        rows = grams.select("lang", (F.col("gram") % CLASSES**order).alias("gram")).distinct()
+        rows = rows.select(
+            "*",
+            F.floor(F.col("gram") / CLASSES).alias("context"),
+            (F.col("gram") % CLASSES).cast("int").alias("sign"),
+            (F.col("gram") % CLASSES ** (order - 1)).alias("ending"),
+        )
+        level = levels.where(F.col("size") == order - 1).drop("size")
+        share = F.coalesce(F.try_element_at("seen", "sign"), F.lit(0.0))
+        if found is None:
+            rows = rows.join(level, ["lang", "context"])
+            p = share + F.col("weight") / CLASSES
+        else:
+            lower = found.select("lang", F.col("gram").alias("ending"), F.col("p").alias("q"))
+            rows = rows.join(level, ["lang", "context"], "left").join(lower, ["lang", "ending"])
+            p = F.when(F.col("weight").isNull(), F.col("q")).otherwise(share + F.col("weight") * F.col("q"))
+        found = rows.select("lang", "gram", p.alias("p"))
+    return found.select("lang", "gram", (-F.log2("p")).cast("float").alias("bits"))
+
+
+def _by_language(table: pa.Table) -> dict[str, list[int]]:
+    members: dict[str, list[int]] = {}
+    for i, lang in enumerate(table.column("lang").to_pylist()):
+        members.setdefault(lang, []).append(i)
+    return members
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way to their block; size is a text's own length."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        body_of = bodies(batch)
+        size = [len(x or b"") for x in body_of]
+        packed = [codec.compress(x, asbytes=True) if x else x for x in body_of]
+        columns = {"body": pa.array(packed, pa.binary()), "size": pa.array(size, pa.int64())}
+        names = [*batch.schema.names, "size"]
+        yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c) for c in names], names=names)
+
+
+def _spread(table: pa.Table) -> list[bytes | None]:
+    pairs = zip(table.column("body").to_pylist(), table.column("size").to_pylist(), strict=True)
+    return [pa.decompress(x, n, "zstd", asbytes=True) if n else x for x, n in pairs]
+
+
+def _grams_of_block(table: pa.Table) -> pa.Table:
+    """(block, lang, gram): the different n-grams of a block's documents."""
+    rows = pa.table({"lang": table.column("lang"), "body": pa.array(_spread(table), pa.binary())})
+    rows = rows.filter(rows.column("body").is_valid())
+    found = pa.Table.from_batches(_count(iter(rows.to_batches())), _COUNTED).drop_columns("n")
+    block = pa.array(np.full(len(found), table.column("block")[0].as_py()), pa.int64())
+    return found.add_column(0, "block", block)
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+
+
+def _score_block(table: pa.Table, costs: pa.Table) -> pa.Table:
+    """(row, body, lang, bits, signs) of a block's documents from what their n-grams cost."""
+    bits, signs = np.zeros(len(table)), np.zeros(len(table), np.int64)
+    body_of = _spread(table)
+    priced = _by_language(costs)
+    known, cost = costs.column("gram").to_numpy(), costs.column("bits").to_numpy()
+    for lang, members in _by_language(table).items():
+        mine = np.array(priced.get(lang, []), np.int64)
+        mine = mine[np.argsort(known[mine])]
+        grams, price = known[mine], cost[mine]
+        for block in _whole((str(i), body_of[i] or b"") for i in members):
+            where = [int(i) for i, _ in block]
+            bits[where], signs[where] = _block_bits([classes(body) for _, body in block], grams, price)
+    text = pa.array(body_of, pa.binary()).view(pa.string())
+    return pa.table(
+        {
+            "row": table.column("row"),
+            "body": text,
+            "lang": table.column("lang"),
+            "bits": pa.array(bits),
+            "signs": pa.array(signs),
+        }
+    )
 
 
 def _whole(rows: Iterator[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
@@ -328,31 +337,43 @@ def _whole(rows: Iterator[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]
         yield held
 
 
-def _block_bits(parts: list[np.ndarray], index: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits that the characters of each text take, as far as this shard has their contexts; and their number."""
+def _block_bits(parts: list[np.ndarray], known: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that the bytes of each text take, none without a model; and their number."""
     counts = np.array([len(p) for p in parts], np.int64)
-    grams = _grams_of(parts)
-    sign = grams % CLASSES
-    row = index[grams // CLASSES]
-    cost = np.where((row >= 0) & (sign != BOUNDARY), -logs[row, sign], 0.0)
+    grams, place = np.unique(_grams_of(parts), return_inverse=True)
+    # What runs over from one text into the next ends in a boundary sign and has no price.
+    cost = np.zeros(len(grams))
+    at = np.searchsorted(known, grams)
+    met = at < len(known)
+    met[met] = known[at[met]] == grams[met]
+    cost[met] = price[at[met]]
     ends = np.cumsum(counts + ORDER - 1) - (ORDER - 1)
-    total = np.concatenate(([0.0], np.cumsum(cost, dtype=np.float64)))
+    total = np.concatenate(([0.0], np.cumsum(cost[place], dtype=np.float64)))
     return total[ends] - total[ends - counts], counts
 
 
-def _scored(documents: DataFrame, model: list, text: str, lang: str) -> DataFrame:
-    """(row, body, lang, bits, signs) of every document; one pass for all shards, ``TOGETHER`` of them in a worker."""
+def _scored(documents: DataFrame, model: list[DataFrame], text: str, lang: str) -> DataFrame:
+    """(row, body, lang, bits, signs) of every document; no bits without a model."""
     language = documents.columns.index(lang)
     out = opened(documents, text).select(
-        "row",
-        "body",
-        F.coalesce(F.col("row")[f"c{language}"].cast("string"), F.lit("")).alias("lang"),
-        F.lit(0.0).alias("bits"),
-        F.lit(0).cast("long").alias("signs"),
+        "row", "body", F.coalesce(F.col("row")[f"c{language}"].cast("string"), F.lit("")).alias("lang")
     )
-    for at in range(0, len(model), TOGETHER):
-        out = out.mapInArrow(_scorer(model[at : at + TOGETHER]), out.schema)
-    return out
+    if not model:
+        return out.select("*", F.lit(0.0).alias("bits"), F.lit(0).cast("long").alias("signs"))
+    counted = land(count_grams(documents, text, lang), "grams")
+    costs = land(_costs(counted, model), "costs")
+    # Every n-gram counted is a byte. Copies differ in their ids, so that they don't fill one block.
+    size = counted.agg(F.sum("n")).first()[0] or 0
+    fields = out.schema["row"].dataType.fields
+    plain = [F.col("row")[f.name] for f in fields if not re.search("map<|variant", f.dataType.simpleString())]
+    block = F.pmod(F.xxhash64(*plain, "body"), F.lit(-(-size // BLOCK_BYTES) or 1))
+    dealt = out.select("*", block.alias("block"))
+    squeezed = StructType([f if f.name != "body" else StructField("body", BinaryType()) for f in dealt.schema]).add("size", "long")
+    blocks = dealt.mapInArrow(tidy(_squeezed), squeezed).groupBy("block")
+    grams = blocks.applyInArrow(_grams_of_block, "block long, lang string, gram long")
+    priced = grams.join(costs, ["lang", "gram"]).groupBy("block")
+    schema = StructType([*out.schema, *StructType().add("bits", "double").add("signs", "long")])
+    return blocks.cogroup(priced).applyInArrow(_score_block, schema)
 
 
 def _perplexity() -> Column:

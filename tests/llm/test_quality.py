@@ -129,3 +129,26 @@ def test_many_ids_are_joined_by_a_shuffle(spark, make_documents, monkeypatch):
     many = sorted(quality.classify(make_documents(rows), labels).collect())
     assert [r.accepted for r in few] == [r.accepted for r in many]
     np.testing.assert_allclose([r.perplexity for r in few], [r.perplexity for r in many])
+
+
+def test_far_letters_are_told_apart(spark, make_documents):
+    plain = [(i, f"日本語の文章はここに {i} あります。", "ja") for i in range(60)]
+    shifted = "".join(chr(ord(c) + 34) if ord(c) > 0x3040 else c for c in plain[0][1])
+    assert quality.classes(shifted.encode()).tolist() != quality.classes(plain[0][1].encode()).tolist()
+    labels = labels_of(spark, [(r[0], 1, 0) for r in plain])
+    found = {r.doc_id: r for r in quality.classify(make_documents([*plain, (100, shifted * 9, "ja")]), labels).collect()}
+    assert found[100].perplexity > 2 * max(found[r[0]].perplexity for r in plain)
+    assert not found[100].accepted
+
+
+def test_model_and_texts_meet_by_shuffles(spark, model, make_documents, odd, monkeypatch):
+    def bits():
+        rows = quality._scored(make_documents(odd), quality.shards(model), "text", "lang").collect()
+        return sorted((str(r["row"]["c0"]), r.body or "", r.signs, round(r.bits, 3)) for r in rows)
+
+    assert all(isinstance(shard, type(model)) for shard in quality.shards(model))
+    whole = bits()
+    assert sorted((str(i), x or "") for i, x in odd) == [r[:2] for r in whole]
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 1 << 10)
+    monkeypatch.setattr(quality, "SHARD_CONTEXTS", 40)
+    assert bits() == whole
