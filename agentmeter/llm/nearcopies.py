@@ -33,15 +33,16 @@ one set, which links them already. Versions with changes of their own in differe
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentmeter.llm import simhash
-from agentmeter.llm.common import drop, land, small_batches, tidy
+from agentmeter.llm.common import drop, land, shuffles_dropped, small_batches, tidy
 from agentmeter.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -54,6 +55,8 @@ COUNTED, OFTEN, PLACES = 0.6, 2, 1 << 24
 HUBS = (1, 8)
 #: Sets of a band that one copy of its chosen set is dealt to.
 DEALT = 256
+#: Hashes, beside the pairs they belong to, that are compared at once; or twice those of the sets, if that is more.
+AT_ONCE = 1 << 24
 
 
 def shingles(body: bytes | None) -> np.ndarray:
@@ -173,10 +176,29 @@ def _whole(asked: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
     return sets
 
 
+def _compared(pairs: DataFrame, sets: DataFrame, enough: Column, name: str) -> DataFrame:
+    """The (a, b) of the landed ``pairs`` that ``enough`` holds for beside their sets, landed.
+
+    A set travels with every pair it is in. Members of a large group are in many pairs, so those are compared
+    slice by slice, and what is on disk at once follows the sets.
+    """
+    each = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("times"))
+    held = F.size("hashes").cast("long")
+    total = sets.join(each, "node").agg(F.sum(held * F.col("times")).alias("asked"), F.sum(held).alias("held")).first()
+    slices = -(-(total.asked or 0) // max(AT_ONCE, 2 * (total.held or 0))) or 1
+    of = F.pmod(F.xxhash64("a", "b"), F.lit(slices))
+    found = [land(_beside(pairs.where(of == i), sets).where(enough).select("a", "b"), name) for i in range(slices)]
+    if slices == 1:
+        return found[0]
+    whole = land(reduce(DataFrame.union, found), name)
+    drop(*found)
+    return whole
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets are similar enough, landed."""
+    """The (a, b) of the landed ``pairs`` whose whole sets are similar enough, landed."""
     both, sizes = F.size(F.array_intersect("these", "those")), F.col("size_a") + F.col("size_b")
-    return land(_beside(pairs, sets).where(both * (SAME + OF) >= sizes * SAME).select("a", "b"), "near")
+    return _compared(pairs, sets, both * (SAME + OF) >= sizes * SAME, "near")
 
 
 def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -187,10 +209,7 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame) -> DataFra
     pairs = land(pairs.distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     some = land(prefixes.select("node", "size", "hashes").join(asked, "node", "left_semi"), "asked")
-    near = land(
-        _beside(pairs, some).where((both + beyond) * (SAME + OF) >= sizes * SAME).select("a", "b"),
-        "possible",
-    )
+    near = _compared(pairs, some, (both + beyond) * (SAME + OF) >= sizes * SAME, "possible")
     drop(pairs, some)
     sets = _whole(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), prefixes, rows)
     found = _similar(near, sets)
@@ -347,16 +366,17 @@ def groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     small_batches(documents.sparkSession)
     body = F.col(text).cast("string").cast("binary")
     rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body"))
-    table = documents.sparkSession.sparkContext.broadcast(_table(rows))
-    prefixes = land(_shingled(rows, table, OFTEN <= 2), "prefixes")
-    names = land(prefixes.select("key", "node"), "names")
-    # A set of many exact copies is one node, with the smallest of their keys.
-    first = prefixes.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.first("most").alias("most"), F.min("fingerprint").alias("fingerprint"))
-    first = land(first, "first")
-    drop(prefixes)
-    roots = components(_links(first, rows)).withColumnRenamed("node", "of")
-    rooted = first.join(roots, first.node == roots.of, "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-    rooted = land(rooted, "rooted")
+    with shuffles_dropped(documents.sparkSession):
+        table = documents.sparkSession.sparkContext.broadcast(_table(rows))
+        prefixes = land(_shingled(rows, table, OFTEN <= 2), "prefixes")
+        names = land(prefixes.select("key", "node"), "names")
+        # A set of many exact copies is one node, with the smallest of their keys.
+        first = prefixes.groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.first("most").alias("most"), F.min("fingerprint").alias("fingerprint"))
+        first = land(first, "first")
+        drop(prefixes)
+        roots = components(_links(first, rows)).withColumnRenamed("node", "of")
+        rooted = first.join(roots, first.node == roots.of, "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+        rooted = land(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("key").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
     return names.join(named, "node").select(F.col("key").alias(key), "component_id")

@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 import corpus_pipeline
@@ -135,3 +136,42 @@ def test_differences_from_a_larger_hub_are_cut_before_they_are_rows(make_documen
     (sets, kept), sizes = held[0], sum(len(shingle_set(x)) for _, x in rows)
     assert sets > 50
     assert kept <= sizes
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_shuffles_of_earlier_queries_leave_the_disk(spark, make_documents):
+    before = shuffle_files(spark)
+    nearcopies.groups(make_documents(planted()[:30]))
+    end = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.5)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_pairs_of_a_large_group_are_compared_in_slices(make_documents, monkeypatch):
+    """120 versions of a text, most pairs just below 0.8; what lies beside the pairs at once follows the sets."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, rows = [word() for _ in range(160)], []
+    for k in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 160, 8), 4):
+            copy[at] = word() if k % 3 else base[at][::-1]
+        rows.append((k + 1, " ".join(copy)))
+    monkeypatch.setattr(nearcopies, "AT_ONCE", 1, raising=False)
+    beside, given = nearcopies._beside, []
+
+    def watched(pairs, sets):
+        given.append((pairs.count(), sets.count()))
+        return beside(pairs, sets)
+
+    monkeypatch.setattr(nearcopies, "_beside", watched)
+    found = {r.doc_id: r.component_id for r in nearcopies.groups(make_documents(rows)).collect()}
+    assert found == brute_groups(rows)
+    assert sum(pairs for pairs, _ in given) > 240
+    assert all(pairs <= 2 * sets for pairs, sets in given)
