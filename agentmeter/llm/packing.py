@@ -127,7 +127,7 @@ def _packer(path: str, end_id: int, window: int):
         if block:
             yield packed(block)
 
-    return tidy(run)
+    return tidy(run, keep=True)
 
 
 def pack(

@@ -290,7 +290,7 @@ def _spread(table: pa.Table) -> list[bytes | None]:
 
 def _grams_of_block(table: pa.Table) -> pa.Table:
     """(block, lang, gram): the different n-grams of a block's documents."""
-    trim()
+    trim(keep=False)
     rows = pa.table({"lang": table.column("lang"), "body": pa.array(_spread(table), pa.binary())})
     rows = rows.filter(rows.column("body").is_valid())
     found = pa.Table.from_batches(_count(iter(rows.to_batches())), _COUNTED).drop_columns("n")
@@ -303,7 +303,7 @@ _COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int6
 
 def _score_block(table: pa.Table, costs: pa.Table) -> pa.Table:
     """(row, body, lang, bits, signs) of a block's documents from what their n-grams cost."""
-    trim()
+    trim(keep=False)
     bits, signs = np.zeros(len(table)), np.zeros(len(table), np.int64)
     body_of = _spread(table)
     priced = _by_language(costs)

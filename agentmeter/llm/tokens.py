@@ -14,6 +14,8 @@ from functools import cache
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from agentmeter.llm.common import KEPT
+
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces remembered by a Python worker; beyond it the memory starts anew.
 PIECES = 300_000
@@ -108,5 +110,8 @@ def encoder(path: str, width: int = 4, plain: bool = False) -> Encoder:
     return Encoder(path, width, plain)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)

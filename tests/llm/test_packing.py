@@ -116,3 +116,13 @@ def test_little_padding(spark):
     pieces = packing.digests(packing.pack(docs))
     total, sequences = pieces.selectExpr("sum(length)", "count(distinct sequence_id)").first()
     assert total / (sequences * 4096) > 0.99
+
+
+def test_other_stages_start_without_the_encoder():
+    from agentmeter.llm import common, tokens
+
+    tokens.encoder(tokens.default_path())
+    list(common.tidy(iter, keep=True)([1]))
+    held = tokens.encoder.cache_info().currsize
+    list(common.tidy(iter)([1]))
+    assert (held, tokens.encoder.cache_info().currsize) == (1, 0)
